@@ -37,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 
 class BpeAutomaton:
     def __init__(self, merges: list[tuple[bytes, bytes]], vocab: dict[bytes, int], special: dict[str, int] | None = None):
-        self.vocab, self.special = vocab, special or {}
+        self.vocab, self.special = dict(vocab), special or {}
         self.labels = [b""] * (max([*vocab.values(), *self.special.values()], default=0) + 1)
         for label, i in vocab.items():
             self.labels[i] = label
@@ -46,9 +46,13 @@ class BpeAutomaton:
         n = len(self.labels)
         self.born, self.left, self.right = [0] * n, [0] * n, [0] * n
         self.removed: dict[tuple[int, int], int] = {}
+        self.last = 0
         for number, (u, v) in enumerate(merges, 1):
-            self._add_gadget(number, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max(map(len, vocab), default=1)
+            if u in self.vocab and v in self.vocab and self._arc(vocab[u], vocab[v]):
+                self._add_gadget(number, vocab[u], vocab[v], vocab[u + v])
+            else:  # no path takes these two arcs in a row, so no path gets the new one
+                self.vocab.pop(u + v, None)
+        self.longest = max(map(len, self.vocab), default=1)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
@@ -69,11 +73,11 @@ class BpeAutomaton:
 
     def _add_gadget(self, number: int, u: int, v: int, w: int) -> None:
         self.born[w], self.left[w], self.right[w] = number, u, v
-        self.removed[u, v] = number
+        self.removed[u, v] = self.last = number
 
     def _arc(self, state: int, token: int) -> bool:
         """Whether the state keeps the arc, by going back through the gadgets that made state and token."""
-        born, before = self.born, len(self.removed) + 1
+        born, before = self.born, self.last + 1
         while True:
             if self.removed.get((state, token), before) < before:
                 return False
@@ -92,7 +96,7 @@ class BpeAutomaton:
     def path(self, word: bytes) -> list[int]:
         """The accepting path: longest arcs first, stepping back where a state lacks the arc; dead ends are met once."""
         vocab, arcs, n = self.vocab, self.arcs, len(word)
-        if word in vocab and self._accepts_alone(word):
+        if word in vocab:  # the product of a rule that some path takes is its own encoding
             return [vocab[word]]
         out: list[int] = []
         ends = [0]
@@ -125,10 +129,6 @@ class BpeAutomaton:
                 tries.pop()
         return out
 
-    def _accepts_alone(self, word: bytes) -> bool:
-        """A token is its own encoding if its parts, back to bytes, are joined by allowed steps; true for any rule's product."""
-        return len(word) == 1 or self.born[self.vocab[word]] > 0
-
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
