@@ -1,9 +1,10 @@
-"""Session helpers: make the package importable in Python workers."""
+"""Session helpers: the package in Python workers, the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _SHIPPED[app] = path
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="larder-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{scratch_dir(spark)}/larder/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
