@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,29 @@ from larder.llm.common import materialise, prefix_sums, tune
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of the chunk cache in one Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two generations of the chunk cache in one Python worker.
+CACHE_ENTRIES = 600_000
+#: Marks after a word that form a word of their own with each other; not the apostrophe, which may begin a contraction.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Generations(dict):
+    """A cache in two generations: a full young one becomes the old one, and what is looked up there moves back."""
+
+    old: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class ChunkEncoder:
     """A tokenizers file whose pre-tokenizer drops white space: chunks between ASCII white space encode on their own.
 
@@ -38,27 +55,64 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cache = Generations()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the tokenizer lower-cases all but special tokens
         chunks = set().union(*split) if split else set()
-        missing = list(chunks.difference(self.cache))
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = list(chunks)
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.turn()
+        have, old = self.cache, self.cache.old
+        words, other, joined = set(), set(), []
+        for c in chunks.difference(have):
+            if c in old:
+                continue
+            word = c.rstrip(MARKS)
+            if not is_word(word):
+                other.add(c)
+            elif len(word) == len(c):
+                words.add(c)
+            else:  # letters and then marks are two words of the pre-tokenizer
+                marks = c[len(word) :]
+                joined.append((c, word, marks))
+                if word not in have and word not in old:
+                    words.add(word)
+                if marks not in have and marks not in old:
+                    other.add(marks)
+        for part in batched(words, 10_000):
+            if not self._encode_words(part):
+                other.update(part)
+        for part in batched(other, 10_000):
             got = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
-            ids, words = np.array(got.ids, dtype=self.dtype), np.array(got.word_ids, dtype=np.int64)
-            ends = np.searchsorted(words, np.arange(len(part) + 1)) * self.dtype.itemsize
-            packed, ends = ids.tobytes(), ends.tolist()
-            self.cache.update((c, packed[ends[i] : ends[i + 1]]) for i, c in enumerate(part))
-        look = self.cache.__getitem__
+            self._add(part, got.ids, np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)))
+        for c, word, marks in joined:
+            have[c] = have[word] + have[marks]
+        look = have.__getitem__
         return [b"".join(map(look, s)) for s in split]
 
+    def _encode_words(self, part: tuple[bytes, ...]) -> bool:
+        """Encode many words as one text, told apart by the tokens that end a word; False where the words don't add up."""
+        got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+        ends = np.r_[0, np.flatnonzero(self.ends_word[got]) + 1]
+        if len(ends) != len(part) + 1:
+            return False
+        self._add(part, got, ends)
+        return True
+
+    def _add(self, chunks, ids: list[int], ends: np.ndarray) -> None:
+        packed, at = np.array(ids, dtype=self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
+        self.cache.update((c, packed[at[i] : at[i + 1]]) for i, c in enumerate(chunks))
+
+
+def is_word(chunk: bytes) -> bool:
+    """Whether a chunk is letters of Latin-1 alone, which the pre-tokenizer never splits."""
+    return chunk.isalpha() or (not chunk.isascii() and max(text := chunk.decode()) <= "\xff" and text.isalpha())
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
