@@ -1,8 +1,8 @@
 """Chat formatting: link tool calls with their results, order them, check arguments, write canonical JSON.
 
-Calls and results meet in a hash join on conversation and call id. A call comes after the calls its ``needs`` name;
-levels settle in rounds of joins, one round per step of the longest chain. Within a level the turn decides. Arguments are
-checked against the tool's parameter schema. Each linked message is written as JSON with sorted keys and no spaces.
+Calls and results meet in a hash join on conversation and call id. A call comes after the calls its ``needs`` name. Where
+all needs stand in earlier turns, the turns are a topological order; other conversations get levels, in rounds of joins,
+one per step of their longest chain, and within a level the turn decides. Arguments are checked against the tool's parameter schema. Each linked message is written as JSON with sorted keys and no spaces.
 """
 
 from __future__ import annotations
@@ -123,16 +123,17 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     tune(events.sparkSession)
     e = events.withColumns({"conv": F.coalesce("conv_id", F.lit(-1)), "id": F.coalesce("call_id", F.lit(""))})
     e = materialise(e.withColumn("uid", F.monotonically_increasing_id()), "chat-events")
-    first = e.filter("kind <> 'message' and id <> ''").groupBy("conv", "id").agg(
+    tools = e.filter("kind <> 'message' and id <> ''")
+    first = tools.groupBy("conv", "id").agg(
         F.min(F.when(F.col("kind") == "call", F.struct("turn", "uid"))).alias("call"), F.min(F.when(F.col("kind") == "result", F.struct("turn", "uid"))).alias("result")
     )
-    one = e.filter("kind = 'call' and id <> ''").select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
-    levels = call_levels(one).select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), "level", F.lit(True).alias("is_call"))
-    linked = e.join(first, ["conv", "id"], "left").join(levels, ["conv", "id"], "left")
+    late = materialise(late_conversations(tools), "chat-late")
+    calls = tools.filter("kind = 'call'").join(late, "conv", "left_semi").select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "needs")
+    levels = call_levels(calls).select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), "level", F.lit(True).alias("is_late"))
+    linked = tools.join(materialise(first, "chat-first"), ["conv", "id"], "left").join(levels, ["conv", "id"], "left")
     call, result, mine = F.col("call"), F.col("result"), F.col("uid")
     status = (
-        F.when(F.col("kind") == "message", "message")
-        .when((F.col("kind") == "call") & F.col("is_call") & F.col("level").isNull(), "cyclic")
+        F.when((F.col("kind") == "call") & F.col("is_late") & F.col("level").isNull(), "cyclic")
         .when((F.col("kind") == "call") & (call["uid"] != mine), "duplicate")
         .when((F.col("kind") == "call") & result.isNotNull(), "linked")
         .when(F.col("kind") == "call", "unanswered")
@@ -142,12 +143,12 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .otherwise("linked")
     )
     at = F.when(status == "linked", call["turn"]).otherwise(F.col("turn"))
-    level = F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.coalesce("level", F.lit(0)))
-    rows = linked.select("*", status.alias("status"), at.alias("at"), level.alias("lv"), F.when(F.col("kind") == "result", 1).otherwise(0).alias("after"))
-    # A level moves a call back only where what it needs stands later, so calls in turn order stay in turn order.
-    late = linked_late(rows)
-    placed, _ = with_rank(in_order(rows.join(late, "conv", "left").withColumn("lv", F.when(F.col("late"), F.col("lv")).otherwise(0)).drop("late"), ["conv", "lv", "at", "after", "turn", "uid"], "chat-order"))
-    start = placed.groupBy("conv").agg(F.min("rank").alias("start"))
+    with_call = linked.select(*e.columns, status.alias("status"), at.alias("at"), F.coalesce("level", F.lit(0)).alias("lv"))
+    alone = F.when(F.col("kind") == "call", "unanswered").when(F.col("kind") == "result", "orphan").otherwise("message")
+    others = e.filter("kind = 'message' or id = ''").select(*e.columns, alone.alias("status"), F.col("turn").alias("at"), F.lit(0).alias("lv"))
+    rows = with_call.unionByName(others).withColumn("after", F.when(F.col("kind") == "result", 1).otherwise(0))
+    placed, _ = with_rank(in_order(rows, ["conv", "lv", "at", "after", "turn", "uid"], "chat-order"))
+    start = materialise(placed.groupBy("conv").agg(F.min("rank").alias("start")), "chat-starts")
     out = placed.join(start, "conv").select("conv_id", "turn", (F.col("rank") - F.col("start")).alias("position"), F.col("lv").alias("level"), "kind", "role", "text", "call_id", "name", "arguments", "status")
     columns = [c for c in out.columns if c != "position"]
     written = out.select("position", *columns)
@@ -160,12 +161,12 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return written.mapInArrow(with_position, "position long, " + LINKED_SCHEMA).select("conv_id", "turn", "position", "level", "kind", "call_id", "status", "valid", "canonical")
 
 
-def linked_late(rows: DataFrame) -> DataFrame:
-    """(conv, late): conversations in which some call stands before one it needs, so that turn order is not enough."""
-    calls = rows.filter("kind = 'call' and id <> ''")
+def late_conversations(tools: DataFrame) -> DataFrame:
+    """(conv): conversations in which some call stands at or before one it needs, so that the turns' order is not enough."""
+    calls = tools.filter("kind = 'call'")
     needs = calls.select("conv", "turn", F.explode("needs").alias("need"))
     at = calls.groupBy("conv", F.col("id").alias("need")).agg(F.min("turn").alias("need_turn"))
-    return needs.join(at, ["conv", "need"]).filter("need_turn >= turn").select("conv").distinct().withColumn("late", F.lit(True))
+    return needs.join(at, ["conv", "need"]).filter("need_turn >= turn").select("conv").distinct()
 
 
 #: Tools that ``events_of_turns`` reads into a conversation.
