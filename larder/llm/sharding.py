@@ -105,7 +105,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 4) -> DataFram
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = slim.agg(*[F.percentile_approx(c, points, 1000).alias(c) for c in names]).first()
     head = slim.groupBy("text_key", "size").agg(F.min(F.struct("doc_id", "lang_key", "source_key")).alias("head"), F.count("*").alias("copies"))
-    groups = head.filter("copies > 1").select("text_key", "size", F.col("head.lang_key").alias("l"), F.col("head.source_key").alias("s"), F.col("head.doc_id").alias("d"))
+    # Written first: a join of two plain exchanges is one whose large partitions Spark can split.
+    groups = materialise(
+        head.filter("copies > 1").select("text_key", "size", F.col("head.lang_key").alias("l"), F.col("head.source_key").alias("s"), F.col("head.doc_id").alias("d")), "shard-groups"
+    )
     meta = slim.join(groups, ["text_key", "size"], "left").withColumns(
         {"l": F.coalesce("l", "lang_key"), "s": F.coalesce("s", "source_key"), "d": F.coalesce("d", "doc_id")}
     )
