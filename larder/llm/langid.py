@@ -1,8 +1,9 @@
 """Language ID: nearest of several clustered centroids per language, by cosine of TF-IDF n-gram vectors.
 
 A text's vector counts hashed byte n-grams of its lower-cased whole text. Training takes a bounded sample of labelled
-rows; IDF and centroids (spherical k-means within each language) come from it. A prediction whose distance to the nearest
-centroid is far beyond the training texts' is marked rejected.
+rows; IDF and centroids (spherical k-means within each language) come from it; a centroid that mostly draws other
+languages' rows is dropped. A prediction whose distance to the nearest centroid is far beyond the training texts' is
+marked rejected.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larder.llm.common import tune
 
@@ -20,6 +21,9 @@ SIZES = (2, 3)
 #: Labelled rows taken for training, over all languages; rows for each are this over the number of languages.
 SAMPLE_ROWS = 2400
 CENTROIDS = 4
+#: How much of what is left from the farthest training text to a right angle is still within reach.
+SLACK = 0.6
+NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -37,8 +41,8 @@ def counts(text: bytes) -> np.ndarray:
 
 
 def vector_bytes(text: str | None) -> bytes:
-    """What the vectors see: lower-cased text with white space runs as single spaces, one at either end."""
-    return (" " + " ".join((text or "").lower().split()) + " ").encode()
+    """What the vectors see: lower-cased text, runs of white space, digits and ASCII marks as single spaces, one at either end."""
+    return (" " + " ".join((text or "").lower().translate(NO_LETTERS).split()) + " ").encode()
 
 
 def has_letter(text: str | None) -> bool:
@@ -100,12 +104,18 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
     spark = labelled.sparkSession
     tune(spark)
     ids = labelled.filter("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    n_langs = ids.select("lang").distinct().count()
-    each = max(1, sample_rows // max(1, n_langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).orderBy("r", "lang").limit(sample_rows)
-    picked = sorted({r["doc_id"] for r in chosen.select("doc_id").collect() if r["doc_id"] is not None})
-    wanted = spark.createDataFrame([(i,) for i in picked], "doc_id long")  # at most sample_rows ids
+    rows_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # one row per label of the classifier
+    each = max(1, sample_rows // max(1, len(rows_of)))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    share = [x for g, n in rows_of.items() for x in (F.lit(g), F.lit(min(1 << 31, 3 * each * (1 << 31) // n)))]
+    near = ids.filter(draw < F.element_at(F.create_map(*share), F.col("lang"))).select("lang", draw.alias("draw"), "doc_id").distinct().collect() if share else []  # some three times the sample
+    place: dict[str, int] = {}
+    picked = set()
+    for r in sorted(r for r in near if r["doc_id"] is not None):
+        place[r["lang"]] = place.get(r["lang"], 0) + 1
+        if place[r["lang"]] <= each:
+            picked.add(r["doc_id"])
+    wanted = spark.createDataFrame([(i,) for i in sorted(picked)], "doc_id long")  # at most sample_rows ids
     rows = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(wanted), "doc_id", "left_semi")
 
     def sparse(batches):
@@ -131,10 +141,14 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
     if not found:
         return model
     c, owner = np.concatenate(found).astype(np.float32), np.concatenate([np.full(len(f), g) for g, f in enumerate(found)])
-    # Short texts lie far from any centroid, so the reach is wide: beyond the farthest training text of the language by a
-    # quarter of what is left to a right angle.
+    # Mislabelled rows can gather in a centroid of their own; one that is nearest mostly to other languages' rows goes.
+    near = (x @ c.T).argmax(axis=1)
+    own = np.array([(label[near == j] == owner[j]).mean() if (near == j).any() else 0.0 for j in range(len(c))])
+    keep = (own > 0.5) | np.array([own[j] == own[owner == owner[j]].max() for j in range(len(c))])
+    c, owner = c[keep], owner[keep]
+    # Short texts lie far from any centroid, so the reach is wide; text in an unknown script is nearly at a right angle.
     far = np.array([(1 - (x[label == g] @ c[owner == g].T).max(axis=1)).max() for g in range(len(langs))])
-    return LanguageModel(tuple(langs), idf, c, owner, (far + (1 - far) / 4)[owner])
+    return LanguageModel(tuple(langs), idf, c, owner, (far + (1 - far) * SLACK)[owner])
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
