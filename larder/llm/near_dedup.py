@@ -203,7 +203,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep"), F.col("rep").alias("rep"), F.col("n").alias("n"))).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    occupied = materialise(members.join(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "buckets")
+    # Written first: a join of two plain exchanges is one whose large partitions Spark can split.
+    centres = materialise(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    occupied = materialise(members.join(centres, "key"), "buckets")
     near = occupied.filter("rep <> centre").filter(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
     pairs = near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     wanted = occupied.select(F.col("rep").alias("doc_id")).distinct()
