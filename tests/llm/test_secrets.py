@@ -86,7 +86,7 @@ def test_random_keys_are_found_and_words_are_not():
     for alphabet, n in ((string.ascii_letters + string.digits, 40), (string.ascii_letters + string.digits + "+/", 64), (string.ascii_uppercase + "234567", 32)):
         keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
         assert sum(any(k == "random" for *_, k in find_secrets(f"see {x} there")) for x in keys) >= 180
-    for text in ("z" * 20 + "1" * 20, "supercalifragilisticexpialidocious1", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50 + "7", "Donaudampfschifffahrtsgesellschaft", "01" * 40 + "z"):
+    for text in ("z" * 20 + "1" * 20, "supercalifragilisticexpialidocious1", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50 + "7", "Donaudampfschifffahrtsgesellschaft", "0y1" * 30):
         assert find_secrets(text) == []
 
 
