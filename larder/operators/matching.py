@@ -67,17 +67,22 @@ def exact(names: DataFrame, cands: DataFrame) -> DataFrame:
 def shortlist(names: DataFrame, cands: DataFrame, most: int = SHORTLIST) -> DataFrame:
     """For each (pool, name) the candidates that share a bigram, the best ``most`` by Jaccard, then basis and key.
 
-    Both sides are joined on (pool, bigram); the count of joined rows is the intersection's size, so no set travels.
+    Names meet distinct keys in a join on (pool, bigram); the count of joined rows is the intersection's size, so no set
+    travels. A key stays only while the keys nearer to the name hold fewer than ``most`` candidates, and of each key's
+    candidates only its first ``most`` can be listed, so foods of one name do not multiply the pairs.
     """
-    n = names.select("pool", "name", bigrams(F.col("name")).alias("grams"))
-    c = cands.withColumn("cand", F.struct("basis", "ordinal", "food_code", "food_name", "key", "key_flat", "allow_contain", "key_tokens", "major_category", "origin"))
-    left = n.select("pool", "name", F.size("grams").alias("n_name"), F.explode("grams").alias("gram"))
-    right = c.select("pool", F.xxhash64("food_code", "ordinal", "key").alias("cand_id"), F.size("key_grams").alias("n_key"), F.explode("key_grams").alias("gram"))
-    shared = left.join(right, ["pool", "gram"]).groupBy("pool", "name", "cand_id", "n_name", "n_key").agg(F.count("*").alias("both"))
-    scored = shared.select("pool", "name", "cand_id", (F.col("both") / (F.col("n_name") + F.col("n_key") - F.col("both"))).alias("jaccard"))
-    full = scored.join(c.select("pool", F.xxhash64("food_code", "ordinal", "key").alias("cand_id"), "cand"), ["pool", "cand_id"])
-    order = Window.partitionBy("pool", "name").orderBy(F.desc("jaccard"), "cand.basis", "cand.ordinal")
-    return full.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("pool", "name", "jaccard", "place", "cand.*")
+    keys = cands.groupBy("pool", "key").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+    left = names.select("pool", "name", bigrams(F.col("name")).alias("g")).select("pool", "name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
+    right = keys.select("pool", "key", "n", bigrams(F.col("key")).alias("g")).select("pool", "key", "n", F.size("g").alias("n_key"), F.explode("g").alias("gram"))
+    shared = left.join(right, ["pool", "gram"]).groupBy("pool", "name", "key", "n", "n_name", "n_key").agg(F.count("*").alias("both"))
+    scored = shared.select("pool", "name", "key", "n", (F.col("both") / (F.col("n_name") + F.col("n_key") - F.col("both"))).alias("jaccard"))
+    nearer = Window.partitionBy("pool", "name").orderBy(F.desc("jaccard")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("n").over(nearer) - F.sum("n").over(Window.partitionBy("pool", "name", "jaccard"))
+    near = scored.withColumn("before", before).filter(F.col("before") < most).select("pool", "name", "key", "jaccard")
+    by_key = Window.partitionBy("pool", "key").orderBy("basis", "ordinal")
+    first = cands.withColumn("nth", F.row_number().over(by_key)).filter(F.col("nth") <= most).drop("nth", "key_grams")
+    order = Window.partitionBy("pool", "name").orderBy(F.desc("jaccard"), "basis", "ordinal")
+    return near.join(first, ["pool", "key"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
 def top_candidates(listed: DataFrame, most: int = 10) -> DataFrame:
