@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.llm import exact_dedup, langid, near_dedup, packing, secrets
 from larder.llm.common import materialise
@@ -21,11 +21,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays; repeated rows of it become one."""
-    decided = materialise(exact_dedup.exact_dedup(docs, keep="largest").select("doc_id", "kept", "group_size"), "exact-decisions")
-    single = decided.filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(single.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return kept if decided.filter("group_size > 1").groupBy("doc_id").count().filter("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Of documents with equal texts the one with the largest doc_id stays; repeated rows of it become one.
+
+    Rows without a doc_id stay only if no row with one has their text, and then once.
+    """
+    named, unnamed = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    decided = materialise(exact_dedup.exact_dedup(named, keep="largest"), "exact-decisions")
+    single = decided.filter("kept").select("doc_id").distinct()
+    kept = named.join(single.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if not decided.filter("group_size > 1").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    if unnamed.select("doc_id").isEmpty():
+        return kept
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    fresh = unnamed.join(decided.select("text_sha256").distinct(), digest == F.col("text_sha256"), "left_anti")
+    return kept.unionByName(fresh.dropDuplicates(["text"]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

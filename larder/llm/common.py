@@ -1,13 +1,10 @@
-"""Shared helpers: the shared scratch folder, materialised tables, Arrow batch size."""
+"""Shared helpers: materialised tables, ranks over a whole table, Arrow batch size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.runtime import ship
+from larder.runtime import scratch_path, ship
 
 #: Rows in one Arrow batch sent to Python. Whole texts travel in it, so it is far below Spark's default of 10,000.
 ARROW_ROWS = 500
@@ -19,27 +16,14 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="larder-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that survives lost executors.
 
     The folder is deleted when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/larder/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prefix_sums(totals: list[tuple[int, int]]) -> dict[int, int]:
