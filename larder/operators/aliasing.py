@@ -36,10 +36,17 @@ class FakeClient:
 
 
 def name_groups(unmatched: DataFrame) -> DataFrame:
-    """(normalized_name, menu_name, restaurant_name, menu_ids): each name once, with its first menu's texts and all ids."""
-    return unmatched.groupBy("normalized_name").agg(
-        F.min_by("menu_name", "menu_id").alias("menu_name"), F.min_by("restaurant_name", "menu_id").alias("restaurant_name"), F.array_sort(F.collect_list("menu_id")).alias("menu_ids")
-    )
+    """(normalized_name, menu_name, restaurant_name, menus, first_id): each name once, with its first menu's texts and the
+    number of its menus. Decisions go back to the menus by a join on the name, so no list of ids is gathered."""
+    first = F.min_by(F.struct("menu_name", "restaurant_name"), "menu_id")
+    by = unmatched.groupBy("normalized_name").agg(first.alias("f"), F.count("*").alias("menus"), F.min("menu_id").alias("first_id"))
+    return by.select("normalized_name", "f.menu_name", "f.restaurant_name", "menus", "first_id")
+
+
+def matches_of(unmatched: DataFrame, decided: DataFrame) -> DataFrame:
+    """(menu_id, food_code, matched_by, confidence) of every menu whose name was decided for a food."""
+    d = decided.filter("food_code is not null").select("normalized_name", "food_code")
+    return unmatched.join(d, "normalized_name").select("menu_id", "food_code", F.lit("LLM").alias("matched_by"), F.lit(METHOD_CONFIDENCE["LLM"]).cast("decimal(4,3)").alias("confidence"))
 
 
 def with_alias(groups: DataFrame, alias: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def report(groups: DataFrame, decided: DataFrame) -> DataFrame:
     """One row of counts of names and menus by outcome; names that were never asked count as waiting."""
     joined = groups.join(decided.select("normalized_name", "decision", F.col("food_code").alias("new_code")), "normalized_name", "left")
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    known, d, menus = F.col("known"), F.coalesce("decision", F.lit("")), F.size("menu_ids")
+    known, d, menus = F.col("known"), F.coalesce("decision", F.lit("")), F.col("menus")
     matched = (known & F.col("food_code").isNotNull()) | (d == "matched")
     return joined.agg(
         F.count("*").alias("names"), n(known).alias("cached"), n(d != "").alias("asked"), n(matched).alias("matched_names"), F.coalesce(F.sum(F.when(matched, menus)), F.lit(0)).cast("long").alias("matched_menus"),

@@ -8,7 +8,6 @@ from larder.enums import DISEASE_ISSUES, DISEASE_PRIORITY, FALLBACK_ISSUES, ISSU
 from larder.functions.rules import disease_rank
 from larder.operators import health, scans, upsert
 from larder.plans.catalog import query
-from larder.plans.tables_catalog import parsed_scans
 from larder.plans.views import Views
 
 DAY = lambda c="measured_at": F.col(c).cast("string").alias("measured_at")
@@ -137,6 +136,28 @@ def fn_disease_rank(v: Views) -> DataFrame:
     return v.member_disease.select("member_id", "disease", disease_rank(F.col("disease")).cast("int").alias("rank"))
 
 
-@query("scan_extract")
+#: What a member's scan shows: (label, its height) and (value, its x, its y); some values are out of range or out of place.
+SHEET = (
+    ("체중", 1000, "50 + id % 40", "340 + id % 400", 1020), ("골격근량", 1100, "10 + id % 60", "500", 1120), ("체지방률", 1200, "5 + id % 50", "590 + id % 200", 1220),
+    ("기초대사량", 1300, "400 + id % 3000", "340", 1305), ("내장지방레벨", 1400, "id % 25", "120", 1450), ("인바디점수", 1500, "id % 130", "250", 1580),
+)
+
+
+def member_scans(v: Views) -> DataFrame:
+    def field(text: str, x: str, y: str) -> str:
+        corners = ", ".join(f"named_struct('x', cast({x} as double) + {dx}, 'y', cast({y} as double) + {dy})" for dx in (-30, 30) for dy in (-10, 10))
+        return f"named_struct('inferText', {text}, 'inferConfidence', 0.9D, 'boundingPoly', named_struct('vertices', array({corners})))"
+
+    fields = [f for label, y, value, x, value_y in SHEET for f in (field(f"'{label}'", "100", str(y)), field(f"concat({value}, '점')", x, str(value_y)))]
+    dated = field("'측정일 2024.02.03'", "700", "200")
+    return v.member.select("id", F.expr(f"array(named_struct('fields', array({', '.join([*fields, dated])})))").alias("images"))
+
+
+@query("scan_extract", """
+    SELECT id, CASE WHEN NOT 240 + id % 400 BETWEEN 251 AND 599 THEN 'failed(weight)' WHEN 10 + id % 60 > 60 THEN 'failed(muscle_mass)' WHEN NOT 490 + id % 200 BETWEEN 500 AND 650 THEN 'failed(body_fat_percentage)'
+        WHEN 400 + id % 3000 < 500 OR 400 + id % 3000 > 3000 THEN 'failed(bmr)' WHEN NOT id % 25 BETWEEN 1 AND 20 THEN 'failed(visceral_fat_level)' WHEN id % 130 > 100 THEN 'failed(inbody_score)' ELSE 'ok' END AS status,
+        CASE WHEN 240 + id % 400 BETWEEN 251 AND 599 THEN CAST(50 + id % 40 AS DOUBLE) END AS weight, CAST(CASE WHEN 400 + id % 3000 BETWEEN 500 AND 3000 THEN 400 + id % 3000 END AS INT) AS bmr, '2024-02-03' AS measured_at
+    FROM member
+""")
 def scan_extract(v: Views) -> DataFrame:
-    return scans.extract(parsed_scans(v)).groupBy("status").agg(F.count("*").alias("scans"))
+    return scans.extract(member_scans(v), "id").select("id", "status", F.col("weight").cast("double").alias("weight"), "bmr", DAY())

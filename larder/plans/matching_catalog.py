@@ -11,6 +11,7 @@ from larder.operators import aliasing, evaluation, matching, upsert
 from larder.plans.catalog import query
 from larder.plans.functions_catalog import CLASS_SQL, _GRAMS, _RANK
 from larder.plans.views import BRANDS, Views
+from larder.runtime import in_order, with_rank
 
 GENERAL = matching.GENERAL
 
@@ -173,8 +174,7 @@ _GROUPS = f"g AS (SELECT normalized_name, arg_min(menu_name, menu_id) AS menu_na
 
 @query("agg_name_groups", f"WITH {_GROUPS} SELECT * FROM g")
 def agg_name_groups(v: Views) -> DataFrame:
-    g = aliasing.name_groups(unmatched(v))
-    return g.select("normalized_name", "menu_name", "restaurant_name", F.size("menu_ids").cast("long").alias("menus"), F.get("menu_ids", F.lit(0)).alias("first_id"))
+    return aliasing.name_groups(unmatched(v))
 
 
 def alias(v: Views) -> DataFrame:
@@ -207,10 +207,15 @@ def lim_llm(v: Views) -> DataFrame:
 
 @query("win_batch_no", "WITH o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM restaurant) SELECT id, (n - 1) // 20 AS batch FROM o")
 def win_batch_no(v: Views) -> DataFrame:
-    from pyspark.sql import Window
+    ranked, _ = with_rank(in_order(v.restaurant.select("id"), ["id"], "batches"))
+    return ranked.select("id", aliasing.batch_of(F.col("rank") + 1, aliasing.BATCH_CLOUD).alias("batch"))
 
-    n = F.row_number().over(Window.orderBy("id"))
-    return v.restaurant.select("id", n.alias("n")).select("id", aliasing.batch_of(F.col("n"), aliasing.BATCH_CLOUD).alias("batch"))
+
+@query("snk_apply_decisions", f"""
+    SELECT u.menu_id, concat('code ', u.normalized_name) AS food_code, 'LLM' AS matched_by, {METHOD_CONFIDENCE['LLM']}e0 AS confidence FROM ({_UNMATCHED}) u WHERE contains(u.normalized_name, 'red')
+""")
+def snk_apply_decisions(v: Views) -> DataFrame:
+    return aliasing.matches_of(unmatched(v), alias(v)).select("menu_id", "food_code", "matched_by", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("llm_decisions")
