@@ -1,10 +1,10 @@
-"""Shared helpers: materialised tables, ranks over a whole table, Arrow batch size."""
+"""Shared helpers of the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
-from larder.runtime import scratch_path, ship
+from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
 
 #: Rows in one Arrow batch sent to Python. Whole texts travel in it, so it is far below Spark's default of 10,000.
 ARROW_ROWS = 500
@@ -14,43 +14,3 @@ def tune(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so a batch of long texts fits a Python worker; send the package to the workers."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that survives lost executors.
-
-    The folder is deleted when the driver's JVM ends.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def prefix_sums(totals: list[tuple[int, int]]) -> dict[int, int]:
-    """Exclusive prefix sums of (partition, total) in partition order; one pair per partition, never per row."""
-    out, run = {}, 0
-    for part, total in sorted(totals):
-        out[part] = run
-        run += total
-    return out
-
-
-def in_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` range-sorted by ``keys`` and materialised, with ``mid``: partition number in the high bits, place in the low 33.
-
-    Written once, so every later read sees one order; range bounds alone may differ between two runs of one plan.
-    """
-    return materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("mid", F.monotonically_increasing_id()), name)
-
-
-def with_rank(placed: DataFrame) -> tuple[DataFrame, int]:
-    """Adds ``rank`` (gapless from 0 over the whole table) to what ``in_order`` made, and the number of rows.
-
-    Two passes: the partitions' counts, one row each, give the offsets; then rank is offset plus place.
-    """
-    part = F.shiftright("mid", 33)
-    counts = [(r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()]
-    offsets = placed.sparkSession.createDataFrame(list(prefix_sums(counts).items()) or [(0, 0)], "part long, base long")
-    ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
-    place = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranked.withColumn("rank", F.col("base") + place).drop("part", "base", "mid"), sum(n for _, n in counts)
