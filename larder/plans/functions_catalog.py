@@ -363,10 +363,10 @@ def fn_json_path(v: Views) -> DataFrame:
     return v.events.select("event_id", answers.model_text(reply).alias("first_text"), answers.model_texts(reply).alias("all_text"))
 
 
-def nearest_sql(label: str, where: str, order: str, label_where: str = "true") -> str:
+def nearest_sql(label: str, where: str, order: str) -> str:
     return f"""
     WITH f AS (SELECT *, TRY_CAST(nullif(regexp_extract(replace(text, ' ', ''), '^\\d+(\\.\\d+)?'), '') AS DOUBLE) AS value FROM ocr_field),
-    l AS (SELECT doc, arg_min(cx, pos) AS lx, arg_min(cy, pos) AS ly FROM f WHERE replace(text, ' ', '') = '{label}' AND {label_where} GROUP BY doc),
+    l AS (SELECT doc, arg_min(cx, pos) AS lx, arg_min(cy, pos) AS ly FROM f WHERE replace(text, ' ', '') = '{label}' GROUP BY doc),
     c AS (SELECT f.doc, value, pos, cx - lx AS dx, cy - ly AS dy FROM f JOIN l USING (doc) WHERE value IS NOT NULL)
     SELECT doc, value FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {order}) AS n FROM c WHERE {where}) WHERE n = 1"""
 
@@ -377,11 +377,6 @@ def jn_ocr_nearest(v: Views) -> DataFrame:
     return found.select("doc", F.col("value").cast("double"))
 
 
-@query("jn_ocr_weight", nearest_sql("체중", "dx > 250 AND dx < 600 AND dy > 0 AND dy < 50", "abs(dx), pos", "cy > 800 AND cy < 1200"))
-def jn_ocr_weight(v: Views) -> DataFrame:
-    return scans.weight(v.ocr_field, "doc").select("doc", F.col("value").cast("double"))
-
-
 @query("fn_match_reason", """
     SELECT m.id, CASE WHEN contains(replace(m.normalized_name, ' ', ''), 'ring') OR contains(lower(replace(m.name, ' ', '')), 'ring') THEN 0 WHEN contains(lower(r.name), 'ring') THEN 1
         WHEN confidence >= 0.85 AND contains(representative_name, 'ring') THEN 2 ELSE 3 END AS reason

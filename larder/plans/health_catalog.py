@@ -161,3 +161,8 @@ def member_scans(v: Views) -> DataFrame:
 """)
 def scan_extract(v: Views) -> DataFrame:
     return scans.extract(member_scans(v), "id").select("id", "status", F.col("weight").cast("double").alias("weight"), "bmr", DAY())
+
+
+@query("jn_ocr_weight", "SELECT id, CAST(50 + id % 40 AS DOUBLE) AS value FROM member WHERE 240 + id % 400 BETWEEN 251 AND 599")
+def jn_ocr_weight(v: Views) -> DataFrame:
+    return scans.weight(scans.flatten_fields(member_scans(v), "id"), "id").select("id", F.col("value").cast("double"))
