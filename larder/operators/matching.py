@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from larder.enums import CAFE, CONTAIN_LEAST_LENGTH, CONTAIN_LEAST_RATIO, EDIT_LEAST, NGRAM_LEAST, SHORTLIST
 from larder.functions.numeric import confidence
 from larder.functions.text import basis_key, bigrams, candidate_keys, flat, has_term, is_branch, strict_subset, tokens
-from larder.runtime import ship
+from larder.runtime import materialise, ship
 
 GENERAL = ""
 
@@ -110,6 +110,8 @@ def with_ratio(listed: DataFrame) -> DataFrame:
 def cascade(names: DataFrame, cands: DataFrame) -> DataFrame:
     """(pool, name, food_code, food_name, method) of each distinct name that some stage matches; brands' pools have no
     bigram stage."""
+    # Both are used several times; written once, the menus and foods behind them are read once.
+    names, cands = materialise(names.select("pool", "name"), "match-names"), materialise(cands, "match-candidates")
     found = exact(names, cands)
     rest = names.select("pool", "name").join(found, ["pool", "name"], "left_anti")
     food = ("food_code", "food_name")
