@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import tune
+from larder.llm.common import Generations, own_worker, tune
 
-CACHE_ENTRIES = 300_000
+#: Entries of each of the two generations of a worker's caches of words and of what lies between spaces.
+CACHE_ENTRIES = 400_000
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode White_Space
 #: The pre-split pattern of the vocabulary's published tokenizer (fixed value).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -44,6 +46,7 @@ class BpeAutomaton:
         for text, i in self.special.items():
             self.labels[i] = text.encode()
         n = len(self.labels)
+        self.code = "H" if n <= 1 << 16 else "I"
         self.born, self.left, self.right = [0] * n, [0] * n, [0] * n
         self.removed: dict[tuple[int, int], int] = {}
         self.last = 0
@@ -52,11 +55,14 @@ class BpeAutomaton:
                 self._add_gadget(number, vocab[u], vocab[v], vocab[u + v])
             else:  # no path takes these two arcs in a row, so no path gets the new one
                 self.vocab.pop(u + v, None)
-        self.longest = max(map(len, self.vocab), default=1)
+        self.prefixes: dict[bytes, int] = {}  # every beginning of a label: the token it is, or -1
+        for label in self.vocab:
+            for size in range(1, len(label)):
+                self.prefixes.setdefault(label[:size], -1)
+        self.prefixes.update(self.vocab)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Generations(), Generations()
 
     @classmethod
     def from_file(cls, path: str) -> BpeAutomaton:
@@ -95,61 +101,73 @@ class BpeAutomaton:
 
     def path(self, word: bytes) -> list[int]:
         """The accepting path: longest arcs first, stepping back where a state lacks the arc; dead ends are met once."""
-        vocab, arcs, n = self.vocab, self.arcs, len(word)
-        if word in vocab:  # the product of a rule that some path takes is its own encoding
-            return [vocab[word]]
+        if word in self.vocab:  # the product of a rule that some path takes is its own encoding
+            return [self.vocab[word]]
+        prefixes, arcs, labels, n = self.prefixes, self.arcs, self.labels, len(word)
         out: list[int] = []
         ends = [0]
-        tries = [min(self.longest, n)]
+        open_arcs: list[list[int]] = []
         dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            at, state, size = ends[-1], out[-1] if out else -1, tries[-1]
-            while size:
-                token = vocab.get(word[at : at + size])
-                if token is not None and (at + size, token) not in dead:
-                    if state < 0:
-                        break
+        at = 0
+        while at < n:
+            if len(open_arcs) < len(ends):  # a state just reached: the arcs whose labels come next, shortest first
+                found: list[int] = []
+                end = at + 1
+                while end <= n and (token := prefixes.get(word[at:end])) is not None:
+                    if token >= 0:
+                        found.append(token)
+                    end += 1
+                open_arcs.append(found)
+            left = open_arcs[-1]
+            state = out[-1] if out else -1
+            while left:
+                token = left.pop()
+                if state >= 0:
                     key = (state, token)
                     ok = arcs.get(key)
                     if ok is None:
                         ok = arcs[key] = self._arc(state, token)
-                    if ok:
-                        break
-                size -= 1
-            if size:
-                tries[-1] = size - 1
+                    if not ok:
+                        continue
+                end = at + len(labels[token])
+                if dead and (end, token) in dead:
+                    continue
                 out.append(token)
-                ends.append(at + size)
-                tries.append(min(self.longest, n - at - size))
+                ends.append(end)
+                at = end
+                break
             else:
                 if not out:
                     raise ValueError("a byte is missing from the vocabulary")
                 dead.add((at, out.pop()))
                 ends.pop()
-                tries.pop()
+                open_arcs.pop()
+                at = ends[-1]
         return out
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
+        try:
+            return self.words[word]
+        except KeyError:
             if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            got = self.words[word] = np.array(self.path(word.encode()), dtype="<u2" if len(self.labels) <= 1 << 16 else "<u4").tobytes()
-        return got
+                self.words.turn()
+            got = self.words[word] = array(self.code, self.path(word.encode())).tobytes()
+            return got
 
     def _plain(self, text: str) -> bytes:
         if TWO_SPACES.search(text):
             return b"".join(map(self._word, SPLIT.findall(text)))
         # With no two spaces in a row, a single space always begins a word: what lies between spaces splits on its own.
-        out, chunks = [], self.chunks
+        out, chunks, word = [], self.chunks, self._word
         head, *rest = text.split(" ")
         for chunk in ([head] if head else []) + [" " + c for c in rest]:
-            got = chunks.get(chunk)
-            if got is None:
+            try:
+                out.append(chunks[chunk])
+            except KeyError:
                 if len(chunks) >= CACHE_ENTRIES:
-                    chunks.clear()
-                got = chunks[chunk] = b"".join(map(self._word, SPLIT.findall(chunk)))
-            out.append(got)
+                    chunks.turn()
+                got = chunks[chunk] = word(chunk) if chunk.isascii() and chunk.lstrip(" ").isalpha() else b"".join(map(word, SPLIT.findall(chunk)))
+                out.append(got)
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
@@ -173,8 +191,14 @@ def automaton(path: str) -> BpeAutomaton:
     return _AUTOMATA[path]
 
 
+def forget() -> None:
+    """Let go of this worker's caches. A function of the module, so that tasks reach the worker's own and carry none."""
+    _AUTOMATA.clear()
+
+
 def _round_trip(path: str):
     def run(batches):
+        own_worker("bpe", forget)
         bpe = automaton(path)
         for batch in batches:
             n, ids_hash, text_hash = [], [], []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
@@ -10,7 +12,33 @@ from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank
 ARROW_ROWS = 500
 
 
+_OWNER: dict[str, Callable[[], None]] = {}
+
+
+def own_worker(name: str, clear: Callable[[], None] | None = None) -> None:
+    """To be called where an operator's task starts in a Python worker: workers serve one operator after another, so what
+    another one keeps there is let go. ``clear`` lets go of this operator's own caches."""
+    for other in [o for o in _OWNER if o != name]:
+        _OWNER.pop(other)()
+    if clear is not None:
+        _OWNER[name] = clear
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so a batch of long texts fits a Python worker; send the package to the workers."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+class Generations(dict):
+    """A cache in two generations: a full young one becomes the old one, and what is looked up there moves back."""
+
+    old: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import materialise, prefix_sums, tune
+from larder.llm.common import Generations, materialise, own_worker, prefix_sums, tune
 
 WINDOW = 2048
 END_ID = 1
@@ -28,20 +28,6 @@ TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids bina
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Generations(dict):
-    """A cache in two generations: a full young one becomes the old one, and what is looked up there moves back."""
-
-    old: dict = {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-
 class ChunkEncoder:
     """A tokenizers file whose pre-tokenizer drops white space: chunks between ASCII white space encode on their own.
 
@@ -124,10 +110,16 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Let go of this worker's caches. A function of the module, so that tasks reach the worker's own and carry none."""
+    _ENCODERS.clear()
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        own_worker("packing", forget)
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
