@@ -87,7 +87,7 @@ def src_table_scan(v: Views) -> DataFrame:
     SELECT page_id, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS raw_category, url AS source_url, CAST(menus AS BIGINT) AS menus FROM one WHERE n = 1
 """)
 def src_web_crawl(v: Views) -> DataFrame:
-    found = crawler.create("stored_pages", v.pages).crawl(crawler.CrawlTarget("anywhere", max_count=2**31 - 1))
+    found = crawler.create("stored_pages", v.pages).crawl(crawler.CrawlTarget("anywhere", max_count=None))
     return found.select("page_id", "raw_category", "source_url", F.size("menus").cast("long").alias("menus"))
 
 

@@ -15,10 +15,10 @@ from larder.functions.text import menu_row, place_id
 class CrawlTarget:
     area: str
     keyword: str | None = None
-    max_count: int = 50
+    max_count: int | None = 50
 
     def __post_init__(self):
-        if not self.area.strip() or self.max_count < 1:
+        if not self.area.strip() or (self.max_count is not None and self.max_count < 1):
             raise ValueError("a crawl needs an area and a positive count")
 
 
@@ -43,7 +43,7 @@ class StoredPages:
     """Restaurants from stored HTML pages (page_id, url, html): the title is the name, list items are menu rows.
 
     One restaurant per place; those without menus are dropped; at most ``max_count`` of the target's area come back, the
-    first by page.
+    first by page; all of them where it is None.
     """
 
     def __init__(self, pages: DataFrame):
@@ -64,7 +64,7 @@ class StoredPages:
         if target.keyword:
             rows = rows.filter(F.contains("name", F.lit(target.keyword)))
         one = rows.groupBy("place").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "place"]), "page_id").alias("r")).select("r.*")
-        return one.orderBy("page_id").limit(target.max_count)
+        return one if target.max_count is None else one.orderBy("page_id").limit(target.max_count)
 
 
 register("stored_pages", StoredPages)
