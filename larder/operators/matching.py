@@ -99,24 +99,25 @@ def is_structural() -> Column:
     return F.col("allow_contain") & (holds | ((F.size("key_tokens") > 0) & strict_subset(F.col("key_tokens"), tokens(name))))
 
 
-def with_ratio(listed: DataFrame) -> DataFrame:
+def with_ratio(listed: DataFrame, least: float = EDIT_LEAST) -> DataFrame:
     """The shortlist with ``ratio``; Python sees only pairs whose lengths can reach the threshold."""
     ship(listed.sparkSession)
     a, b = flat(F.col("name")), F.col("key_flat")
-    possible = 2 * F.least(F.length(a), F.length(b)) >= EDIT_LEAST * (F.length(a) + F.length(b))
+    possible = 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
     return listed.withColumn("ratio", seq_ratio(F.when(possible, a), F.when(possible, b)))
 
 
-def cascade(names: DataFrame, cands: DataFrame) -> DataFrame:
+def cascade(names: DataFrame, cands: DataFrame, edit_least: float | None = EDIT_LEAST) -> DataFrame:
     """(pool, name, food_code, food_name, method) of each distinct name that some stage matches; brands' pools have no
-    bigram stage."""
+    bigram stage. Without ``edit_least`` the edit stage is left out, and with it all Python."""
     # Both are used several times; written once, the menus and foods behind them are read once.
     names, cands = materialise(names.select("pool", "name"), "match-names"), materialise(cands, "match-candidates")
     found = exact(names, cands)
     rest = names.select("pool", "name").join(found, ["pool", "name"], "left_anti")
     food = ("food_code", "food_name")
-    listed = with_ratio(shortlist(rest, cands))
-    edit = F.min(F.when(F.col("ratio") >= EDIT_LEAST, F.struct((-F.col("ratio")).alias("r"), "place", *food)))
+    listed = shortlist(rest, cands)
+    listed = listed.withColumn("ratio", F.lit(None).cast("double")) if edit_least is None else with_ratio(listed, edit_least)
+    edit = F.min(F.when(F.col("ratio") >= F.lit(edit_least).cast("double"), F.struct((-F.col("ratio")).alias("r"), "place", *food)))
     struct = F.min(F.when(is_structural(), F.struct(F.length("key").alias("n"), "basis", "ordinal", *food)))
     ngram = F.min(F.when((F.col("jaccard") >= NGRAM_LEAST) & F.col("allow_contain") & (F.col("pool") == GENERAL), F.struct("place", *food)))
     one = listed.groupBy("pool", "name").agg(edit.alias("EDIT"), struct.alias("STRUCT"), ngram.alias("NGRAM"))

@@ -69,8 +69,11 @@ def win_topn_food(v: Views) -> DataFrame:
     return matching.top_candidates(listed(v), 10).select("name", "food_code", "nth")
 
 
-@query("jn_struct", _LIST_SQL + """, ok AS (SELECT * FROM listed WHERE allow AND ((length(key) >= 2 AND contains(name, key) AND length(key) / length(name) >= 0.5)
-        OR (len(list_filter(string_split(key, ' '), lambda t : NOT list_contains(string_split(name, ' '), t))) = 0 AND len(list_distinct(string_split(key, ' '))) < len(list_distinct(string_split(name, ' '))))))
+_STRUCT_SQL = """, ok AS (SELECT * FROM listed WHERE allow AND ((length(key) >= 2 AND contains(name, key) AND length(key) / length(name) >= 0.5)
+        OR (len(list_filter(string_split(key, ' '), lambda t : NOT list_contains(string_split(name, ' '), t))) = 0 AND len(list_distinct(string_split(key, ' '))) < len(list_distinct(string_split(name, ' '))))))"""
+
+
+@query("jn_struct", _LIST_SQL + _STRUCT_SQL + """
     SELECT name, food_code, key FROM ok QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(key), basis, origin_rank, food_code, ordinal) = 1
 """)
 def jn_struct(v: Views) -> DataFrame:
@@ -101,6 +104,17 @@ def fn_cascade(v: Views) -> DataFrame:
     return matching.cascade(names(v), general(v)).select("name", "food_code", "method")
 
 
+@query("fn_cascade_native", _LIST_SQL + _STRUCT_SQL + """,
+    e AS (SELECT name, arg_min(food_code, struct_pack(b := basis, o := origin_rank, c := food_code)) AS food_code FROM name JOIN cand ON key = name GROUP BY name),
+    s AS (SELECT name, food_code FROM ok QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(key), basis, origin_rank, food_code, ordinal) = 1),
+    n AS (SELECT name, food_code FROM listed WHERE jaccard >= 0.65 AND allow QUALIFY row_number() OVER (PARTITION BY name ORDER BY place) = 1)
+    SELECT name, coalesce(e.food_code, s.food_code, n.food_code) AS food_code, CASE WHEN e.food_code IS NOT NULL THEN 'EXACT' WHEN s.food_code IS NOT NULL THEN 'STRUCT' ELSE 'NGRAM' END AS method
+    FROM name LEFT JOIN e USING (name) LEFT JOIN s USING (name) LEFT JOIN n USING (name) WHERE coalesce(e.food_code, s.food_code, n.food_code) IS NOT NULL
+""")
+def fn_cascade_native(v: Views) -> DataFrame:
+    return matching.cascade(names(v), general(v), edit_least=None).select("name", "food_code", "method")
+
+
 _BRAND_LIST = ", ".join(f"'{b}'" for b in BRANDS)
 _BRAND = f"(SELECT b FROM (SELECT unnest([{_BRAND_LIST}]) AS b) WHERE contains(lower(name), b) ORDER BY length(b) DESC LIMIT 1)"
 
