@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import tune
+from larder.llm.common import own_worker, tune
 
 DIMS = 4096
 SIZES = (2, 3)
@@ -23,7 +23,7 @@ SAMPLE_ROWS = 2400
 CENTROIDS = 4
 #: How much of what is left from the farthest training text to a right angle is still within reach.
 SLACK = 0.6
-NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
+NO_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -42,7 +42,7 @@ def counts(text: bytes) -> np.ndarray:
 
 def vector_bytes(text: str | None) -> bytes:
     """What the vectors see: lower-cased text, runs of white space, digits and ASCII marks as single spaces, one at either end."""
-    return (" " + " ".join((text or "").lower().translate(NO_LETTERS).split()) + " ").encode()
+    return b" " + b" ".join((text or "").lower().encode().translate(NO_LETTERS).split()) + b" "
 
 
 def has_letter(text: str | None) -> bool:
@@ -119,6 +119,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
     rows = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(wanted), "doc_id", "left_semi")
 
     def sparse(batches):
+        own_worker("langid")
         for b in batches:
             keep = [(t, g) for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()) if has_letter(t)]
             got = [counts(vector_bytes(t)) for t, _ in keep]
@@ -160,6 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches):
+        own_worker("langid")
         for b in batches:
             lang, score, out = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
@@ -173,6 +175,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        own_worker("langid")
         for b in batches:
             yield b.filter(pa.array([not r for r in model.predict(b.column(at).to_pylist())[2]], pa.bool_()))
 
