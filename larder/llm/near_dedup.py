@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import materialise, tune
+from larder.llm.common import materialise, own_worker, tune
 from larder.llm.components import components
 
 #: The chance to miss a pair exactly at the threshold; sets the number of bands.
@@ -46,6 +46,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _WORDS: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    """Let go of this worker's caches. A function of the module, so that tasks reach the worker's own and carry none."""
+    _WORDS.clear()
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's k-word shingles, A-Z lower-cased, words split at ASCII white space.
 
@@ -107,6 +112,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches):
+        own_worker("near_dedup", forget)
         hashing = MinMax(bands, rows)
         for b in batches:
             sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), k)
@@ -125,6 +131,7 @@ def _sign(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches):
+        own_worker("near_dedup", forget)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), k))], names=["rep", "shingles"])
 
@@ -175,7 +182,7 @@ def _rest(occupied: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     members = materialise(occupied.filter("rep <> centre").join(named, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "bucket-members")
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    buckets = buckets.select("key", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rest_blocks"))
+    buckets = materialise(buckets.select("key", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rest_blocks")), "open-buckets")
     open_ = members.join(buckets, "key").withColumn("residual", F.col("label") != F.col("main"))
     own = F.xxhash64("rep")
     every = open_.select("key", "rep", "label", F.lit(False).alias("residual"), F.pmod(own, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1)).alias("rest"))
