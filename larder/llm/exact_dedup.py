@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import materialise, tune
+from larder.llm.common import materialise, own_worker, tune
 
 RUN_SCHEMA = "digest binary, n_bytes long, check64 long, run int, keep_id long, n long, ids array<long>"
 KEY = ("digest", "n_bytes", "check64")
@@ -32,6 +32,7 @@ def _make_run(largest: bool):
     def run(batches):
         from pyspark import TaskContext
 
+        own_worker("exact_dedup")
         number = TaskContext.get().partitionId()
         found: dict[tuple, list] = {}
         for batch in batches:

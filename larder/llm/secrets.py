@@ -16,7 +16,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import tune
+from larder.llm.common import own_worker, tune
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns and least lengths (fixed values).
@@ -124,6 +124,7 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches):
+    own_worker("secrets")
     for batch in batches:
         found = [find_secrets(t or "") for t in batch.column("text").to_pylist()]
         base = [[s for s in f if s[2] != "random"] for f in found]
@@ -163,6 +164,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
+        own_worker("secrets")
         for batch in batches:
             texts = pa.array([mask(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
