@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
@@ -11,17 +15,21 @@ from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank
 #: Rows in one Arrow batch sent to Python. Whole texts travel in it, so it is far below Spark's default of 10,000.
 ARROW_ROWS = 500
 
-
 _OWNER: dict[str, Callable[[], None]] = {}
 
 
 def own_worker(name: str, clear: Callable[[], None] | None = None) -> None:
     """To be called where an operator's task starts in a Python worker: workers serve one operator after another, so what
-    another one keeps there is let go. ``clear`` lets go of this operator's own caches."""
-    for other in [o for o in _OWNER if o != name]:
+    another one keeps there is let go and its memory given back. ``clear`` lets go of this operator's own caches."""
+    others = [o for o in _OWNER if o != name]
+    for other in others:
         _OWNER.pop(other)()
-    if clear is not None:
-        _OWNER[name] = clear
+    _OWNER[name] = clear or (lambda: None)
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def tune(spark: SparkSession) -> None:
