@@ -175,7 +175,7 @@ def fn_contains_all_tokens(v: Views) -> DataFrame:
 
 @query("lim_tokens", "SELECT page_id, array_to_string(list_slice(list_filter(regexp_split_to_array(lower(trim(substr(html, 1, 500))), '\\s+'), lambda t : t <> ''), 1, 5), '|') AS tokens FROM pages")
 def lim_tokens(v: Views) -> DataFrame:
-    return v.pages.select("page_id", F.array_join(text.keyword_tokens(F.substring("html", 1, 500), 5), "|").alias("tokens"))
+    return v.pages.select("page_id", F.array_join(text.keyword_tokens(F.col("html"), 5), "|").alias("tokens"))
 
 
 @query("fn_ocr_normalize", "SELECT doc, pos, replace(text, ' ', '') AS text FROM ocr_field")
