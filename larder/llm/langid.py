@@ -98,25 +98,28 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on (doc_id, text, lang). Rows with null lang or without a letter are left out.
 
-    At most ``sample_rows`` rows are used, the first of each language by a hash of doc_id; the driver gets their sparse
-    counts alone. Without labelled rows the model knows no language and answers ``und``.
+    At most ``sample_rows`` documents are used (one for each language, where there are more languages), the first of
+    each language by a hash of doc_id; the driver gets their sparse counts alone. Repeated rows of a language and doc_id
+    count once; of their texts the first in order that has a letter is used. Without labelled rows the model knows no
+    language and answers ``und``.
     """
     spark = labelled.sparkSession
     tune(spark)
     ids = labelled.filter("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    rows_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # one row per label of the classifier
-    each = max(1, sample_rows // max(1, len(rows_of)))
+    ids_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).collect()}  # one row per label of the classifier
+    each = max(1, sample_rows // max(1, len(ids_of)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    share = [x for g, n in rows_of.items() for x in (F.lit(g), F.lit(min(1 << 31, 3 * each * (1 << 31) // n)))]
+    share = [x for g, n in ids_of.items() for x in (F.lit(g), F.lit(min(1 << 31, 3 * each * (1 << 31) // max(1, n))))]
     near = ids.filter(draw < F.element_at(F.create_map(*share), F.col("lang"))).select("lang", draw.alias("draw"), "doc_id").distinct().collect() if share else []  # some three times the sample
     place: dict[str, int] = {}
     picked = set()
     for r in sorted(r for r in near if r["doc_id"] is not None):
         place[r["lang"]] = place.get(r["lang"], 0) + 1
         if place[r["lang"]] <= each:
-            picked.add(r["doc_id"])
-    wanted = spark.createDataFrame([(i,) for i in sorted(picked)], "doc_id long")  # at most sample_rows ids
-    rows = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(wanted), "doc_id", "left_semi")
+            picked.add((r["lang"], r["doc_id"]))
+    wanted = spark.createDataFrame(sorted(picked), "lang string, doc_id long")  # at most sample_rows ids
+    every = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(wanted), ["lang", "doc_id"], "left_semi")
+    rows = every.groupBy("lang", "doc_id").agg(F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))).alias("text"))
 
     def sparse(batches):
         own_worker("langid")
@@ -129,7 +132,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
                 names=["lang", "at", "n"],
             )
 
-    table = rows.mapInArrow(sparse, "lang string, at binary, n binary").orderBy("lang", "at", "n").limit(2 * sample_rows).toArrow()
+    table = rows.mapInArrow(sparse, "lang string, at binary, n binary").orderBy("lang", "at", "n").toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     raw = np.zeros((table.num_rows, DIMS), dtype=np.float32)
     for i, (a, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist())):
