@@ -80,17 +80,17 @@ def _margin(idx: Column, model: UrlModel) -> Column:
 def labelled_from_rules(pages: DataFrame, rules: list[Rule], per_verdict: int = SAMPLE_PER_VERDICT) -> DataFrame:
     """A small labelled table (url, blocked): of the distinct urls that a rule decides, the first by hash for each verdict.
 
-    Rows are counted by verdict, and only those whose hash lies in a share of some three times the sample are made
-    distinct and ordered, so the table is not shuffled.
+    Distinct urls are counted (approximately) by verdict, and only those whose hash lies in a share of some three times
+    the sample are made distinct and ordered, so the table is not shuffled.
     """
     host, path = host_and_path(F.col("url"))
     ruled = pages.select("url", rule_column(host, path, rules, "verdict").alias("v")).filter("v is not null")
-    rows = {r["v"]: r["count"] for r in ruled.groupBy("v").count().collect()}
+    urls = {r["v"]: r["count"] for r in ruled.groupBy("v").agg(F.approx_count_distinct("url").alias("count")).collect()}
     draw = F.pmod(F.xxhash64("url"), F.lit(1 << 31))
     parts = [
-        ruled.filter((F.col("v") == v) & (draw < min(1 << 31, 3 * per_verdict * (1 << 31) // rows[v]))).select("url", draw.alias("draw")).distinct().orderBy("draw", "url").limit(per_verdict)
+        ruled.filter((F.col("v") == v) & (draw < min(1 << 31, 3 * per_verdict * (1 << 31) // urls[v]))).select("url", draw.alias("draw")).distinct().orderBy("draw", "url").limit(per_verdict)
         .select("url", F.lit(float(v == "block")).alias("blocked"))
-        for v in ("allow", "block") if rows.get(v)
+        for v in ("allow", "block") if urls.get(v)
     ]
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else ruled.select("url", F.lit(0.0).alias("blocked")).limit(0)
 
