@@ -1,8 +1,8 @@
-"""Exact deduplication by a tree merge of sorted digest runs.
+"""Exact deduplication by rounds of hash aggregation over digest runs.
 
 Every input partition makes one run: its texts' SHA-256 digests, sorted, with the best identifier and the identifiers of
 all its rows folded per digest. Runs then meet in rounds: round r merges the runs whose numbers agree after division by
-the fan-in, digest by digest, keeping the best identifier and summing counts. A digest held by a third of all rows is at
+the fan-in by a groupBy on digest, keeping the best identifier and summing counts; the runs' order is not used. A digest held by a third of all rows is at
 most one row per run before the first round and at most ``fan_in`` rows for one merge in any later one.
 A merge needs digest, byte length and an independent 64-bit hash to agree, so a retained identifier is verified at every
 level.
@@ -75,7 +75,7 @@ def fan_in_for(runs: int, rounds: int = 2, least: int = 8) -> int:
 
 
 def merge_rounds(runs: DataFrame, n_runs: int, largest: bool, fan_in: int | None = None) -> DataFrame:
-    """Merge level-0 runs pairwise by run number until one run is left: (digest.., keep_id, win_run, n)."""
+    """Aggregate level-0 runs, ``fan_in`` by run number at a time, until one run is left: (digest.., keep_id, win_run, n)."""
     fan_in = fan_in or fan_in_for(n_runs)
     best = (F.max if largest else F.min)(F.struct(F.col("keep_id").isNull() != F.lit(largest), "keep_id", "win_run"))
     level = runs.select(*KEY, "run", "keep_id", F.col("run").alias("win_run"), "n")
