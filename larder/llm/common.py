@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
-from larder.runtime import in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
+from larder.runtime import discard, in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
 
-#: Rows in one Arrow batch sent to Python. Whole texts travel in it, so it is far below Spark's default of 10,000.
-ARROW_ROWS = 500
+#: Bytes of text that an operator works on at once in a Python worker. Spark bounds the bytes of a whole Arrow batch.
+PART_BYTES = 4 << 20
+
+#: Rows of a table of narrow keys that may be broadcast; some tens of MB at most.
+BROADCAST_ROWS = 400_000
 
 _OWNER: dict[str, Callable[[], None]] = {}
 
@@ -27,26 +32,64 @@ def own_worker(name: str, clear: Callable[[], None] | None = None) -> None:
     _OWNER[name] = clear or (lambda: None)
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: where its task ends, so that an idle worker holds its caches alone."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A materialised table of narrow keys, one side of a join with whole texts: sent to every task where it has at most
+    ``BROADCAST_ROWS`` rows, so that no text is shuffled, else hashed within a join of two exchanges."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
 
 
-def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so a batch of long texts fits a Python worker; send the package to the workers."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def parts_of(batch: pa.RecordBatch, column: str | int = "text", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a column, one row at least, so that what is made of a slice is
+    bounded however long the texts of a batch are."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 class Generations(dict):
-    """A cache in two generations: a full young one becomes the old one, and what is looked up there moves back."""
+    """A cache in two generations of at most ``most`` bytes each: a full young one becomes the old one, and what is found
+    there moves back. Keys and values are bytes or strings."""
+
+    #: Bytes that an entry takes besides what its key and value hold.
+    ENTRY = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held, self.old = most, 0, {}
+
+    def add(self, keys, values) -> None:
+        self.update(zip(keys, values))
+        self.held += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation holds; those of the old one move to the young one."""
+        new = keys.difference(self)
+        back = [k for k in new if k in self.old] if self.old else []
+        if back:
+            self.add(back, [self.old[k] for k in back])
+            new.difference_update(back)
+        return new
 
-    old: dict = {}
+    def make_room(self) -> None:
+        """To be called before keys are asked for and added."""
+        if self.held > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
 
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
+#: The name by which modules that are to follow call it.
+tune = ship

@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from larder.llm.bpe import BpeAutomaton, bpe_digests
+from larder.llm.bpe import TOGETHER, Bpe, BpeAutomaton, bpe_digests
 from larder.llm.queries import BPE_TOKENIZER, tokenizer_path
 from tests.llm.helpers import DOCS, awkward, documents
 
@@ -31,7 +32,7 @@ def test_awkward_and_empty(spark):
 
 
 def test_random_strings_against_the_library():
-    library, mine, rng = Tokenizer.from_file(PATH), BpeAutomaton.from_file(PATH), random.Random(5)
+    library, mine, rng = Tokenizer.from_file(PATH), Bpe(PATH), random.Random(5)
     pieces = ["a", "b", "e", "th", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", "é", "中", "😀", "\xa0", "\x1c", "\x85", "<|endoftext|>", "ß", "ſ", "\u0301", "\u2003", "_", "==", "THE", " the", "aaaa"]
     for _ in range(4000):
         text = "".join(rng.choices(pieces, k=rng.randint(0, 24)))
@@ -40,9 +41,19 @@ def test_random_strings_against_the_library():
         assert mine.decode(ids) == text
 
 
+def test_many_texts_at_once_with_a_small_cache():
+    library, mine, rng = Tokenizer.from_file(PATH), Bpe(PATH), random.Random(6)
+    mine.words.most = 2000
+    letters = "aeinorst é,.'-12 \n"
+    for _ in range(30):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 200))) for _ in range(20)] + [None, "x" * 500, "日本語" * 40]
+        got = [np.frombuffer(g, mine.kind).tolist() for g in mine.encode_all(pa.array(texts))]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def plain_bpe(word, merges):
     rank = {m: i for i, m in enumerate(merges)}
-    parts = [bytes([b]) for b in word]
+    parts = list(word)
     while True:
         best = min(((rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank), default=None)
         if best is None:
@@ -62,7 +73,7 @@ def plain_bpe(word, merges):
 def test_random_merge_tables_against_plain_merging():
     rng = random.Random(11)
     for _ in range(150):
-        tokens = [bytes([c]) for c in b"abc"]
+        tokens = list("abc")
         merges = []
         for _ in range(rng.randint(1, 14)):
             pair = (rng.choice(tokens), rng.choice(tokens))
@@ -70,6 +81,6 @@ def test_random_merge_tables_against_plain_merging():
                 merges.append(pair)
                 tokens.append(pair[0] + pair[1])
         bpe = BpeAutomaton(merges, {t: i for i, t in enumerate(tokens)})
-        for _ in range(40):
-            word = bytes(rng.choices(b"abc", k=rng.randint(1, 18)))
-            assert [tokens[i] for i in bpe.path(word)] == plain_bpe(word, merges), (merges, word)
+        words = ["".join(rng.choices("abc", k=rng.randint(1, 18))) for _ in range(40)] + ["".join(rng.choices("abc", k=TOGETHER + 20))]
+        got = [[tokens[i] for i in np.frombuffer(p, bpe.kind)] for p in bpe.paths([w.encode() for w in words])]
+        assert got == [plain_bpe(w, merges) for w in words], merges
