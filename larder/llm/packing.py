@@ -13,16 +13,17 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import Generations, materialise, own_worker, prefix_sums, tune
+from larder.llm.bpe import MARKS, read_file
+from larder.llm.common import Generations, materialise, own_worker, parts_of, prefix_sums, ship
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of each of the two generations of the chunk cache in one Python worker.
-CACHE_ENTRIES = 600_000
-#: Marks after a word that form a word of their own with each other; not the apostrophe, which may begin a contraction.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that each of the two generations of the chunk cache in one Python worker may hold.
+CACHE_BYTES = 32 << 20
+BYTE_MARKS = MARKS.encode()
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -31,7 +32,9 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 class ChunkEncoder:
     """A tokenizers file whose pre-tokenizer drops white space: chunks between ASCII white space encode on their own.
 
-    Each distinct chunk is encoded once while it stays in the cache; a text's ids are the joined ids of its chunks.
+    Chunks are numbered in Arrow, each distinct one is encoded once while it stays in the cache, and a text's ids are the
+    joined ids of its chunks. Words of plain letters go through the file's automaton many at a time, all else through the
+    library.
     """
 
     def __init__(self, path: str):
@@ -41,58 +44,56 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache = Generations()
+        self.automaton, self.special, _ = read_file(path)
+        self.dtype = self.automaton.kind
+        self.cache = Generations(CACHE_BYTES)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the tokenizer lower-cases all but special tokens
-        chunks = set().union(*split) if split else set()
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.turn()
-        have, old = self.cache, self.cache.old
-        words, other, joined = set(), set(), []
-        for c in chunks.difference(have):
-            if c in old:
-                continue
-            word = c.rstrip(MARKS)
+        texts = texts.fill_null("")
+        odd = pa.array(np.zeros(len(texts), bool))
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        plain = pc.ascii_split_whitespace(pc.ascii_lower(texts.filter(pc.invert(odd))))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        if len(plain):
+            coded = plain.flatten().cast(pa.binary()).dictionary_encode()
+            begin, index = plain.offsets.to_numpy().tolist(), coded.indices.to_numpy().tolist()
+            look = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()).__getitem__
+            for i, a, b in zip(np.flatnonzero(~odd).tolist(), begin, begin[1:]):
+                out[i] = b"".join(map(look, index[a:b]))
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
+
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        have = self.cache
+        have.make_room()
+        words: set[bytes] = set()
+        other: set[bytes] = set()
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        for c in have.missing(set(chunks)):
+            word = c.rstrip(BYTE_MARKS)
             if not is_word(word):
                 other.add(c)
             elif len(word) == len(c):
                 words.add(c)
             else:  # letters and then marks are two words of the pre-tokenizer
-                marks = c[len(word) :]
-                joined.append((c, word, marks))
-                if word not in have and word not in old:
-                    words.add(word)
-                if marks not in have and marks not in old:
-                    other.add(marks)
-        for part in batched(words, 10_000):
-            if not self._encode_words(part):
-                other.update(part)
+                joined.append((c, word, c[len(word) :]))
+        words |= have.missing({w for _, w, _ in joined})
+        other |= have.missing({m for _, _, m in joined})
+        other.discard(b"")
+        have.add([b""], [b""])
+        todo = list(words)
+        have.add(todo, self.automaton.paths([w if w.isascii() else w.decode().lower().encode() for w in todo], ended=True))
         for part in batched(other, 10_000):
             got = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
-            self._add(part, got.ids, np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)))
-        for c, word, marks in joined:
-            have[c] = have[word] + have[marks]
+            packed, at = np.array(got.ids, dtype=self.dtype).tobytes(), (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
+            have.add(part, [packed[a:b] for a, b in zip(at, at[1:])])
         look = have.__getitem__
-        return [b"".join(map(look, s)) for s in split]
-
-    def _encode_words(self, part: tuple[bytes, ...]) -> bool:
-        """Encode many words as one text, told apart by the tokens that end a word; False where the words don't add up."""
-        got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
-        ends = np.r_[0, np.flatnonzero(self.ends_word[got]) + 1]
-        if len(ends) != len(part) + 1:
-            return False
-        self._add(part, got, ends)
-        return True
-
-    def _add(self, chunks, ids: list[int], ends: np.ndarray) -> None:
-        packed, at = np.array(ids, dtype=self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
-        self.cache.update((c, packed[at[i] : at[i + 1]]) for i, c in enumerate(chunks))
+        have.add([c for c, _, _ in joined], [look(w) + look(m) for _, w, m in joined])
+        return list(map(look, chunks))
 
 
 def is_word(chunk: bytes) -> bool:
@@ -122,25 +123,26 @@ def _tokenise(path: str, end_id: int):
         own_worker("packing", forget)
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype=enc.dtype).tobytes()
-        for batch in batches:
-            ids = [x + tail for x in enc.encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])]
-            n = np.array([len(x) // enc.dtype.itemsize for x in ids], dtype=np.int64)
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
-                names=["doc_id", "part", "local_start", "n_tokens", "ids"],
-            )
+        for whole in batches:
+            for batch in parts_of(whole):
+                ids = [x + tail for x in enc.encode_all(batch.column("text").cast(pa.string()))]
+                n = np.array([len(x) // enc.dtype.itemsize for x in ids], dtype=np.int64)
+                start = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
+                    names=["doc_id", "part", "local_start", "n_tokens", "ids"],
+                )
 
     return run
 
 
-def _cut(window: int, itemsize: int):
+def _cut(window: int):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, begin, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "begin", "n_tokens", "ids"))):
-                wide = np.frombuffer(ids, dtype=f"<u{itemsize}").astype("<u4")
+                wide = np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4")
                 at = begin
                 while at < begin + n:
                     sequence, offset = divmod(at, window)
@@ -161,9 +163,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     A null or empty text is the end id alone. Repeated rows are packed each; an empty table gives an empty result. Only
     doc_id and text are read.
     """
-    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     tokens = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenise(tokenizer_path, end_id), TOKEN_SCHEMA), "pack-tokens")
     totals = [(r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]
     offsets = docs.sparkSession.createDataFrame(list(prefix_sums(totals).items()) or [(0, 0)], "part int, base long")
     placed = tokens.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("begin"), "n_tokens", "ids")
-    return placed.mapInArrow(_cut(window, encoder(tokenizer_path).dtype.itemsize), PIECE_SCHEMA)
+    return placed.mapInArrow(_cut(window), PIECE_SCHEMA)

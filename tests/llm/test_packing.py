@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from larder.llm.packing import ChunkEncoder, pack
@@ -49,6 +51,12 @@ def test_awkward_rows_and_small_windows(spark):
 
 
 def test_chunks_encode_as_the_library_does():
-    tokenizer, mine = Tokenizer.from_file(PATH), ChunkEncoder(PATH)
-    for text in ("", "It's  <|endoftext|>x<|startoftext|>", "ÀÉ\x85a\xa0b\x1cc\u2003d e\u0301", "12 3,4;;  ((", "İstanbul ſtraße ΑΣ", "日本語 テキスト"):
-        assert np.frombuffer(mine.encode([text.encode()])[0], mine.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer, mine, rng = Tokenizer.from_file(PATH), ChunkEncoder(PATH), random.Random(5)
+    texts = ["", None, "It's  <|endoftext|>x<|startoftext|>", "ÀÉ\x85a\xa0b\x1cc\u2003d e\u0301", "12 3,4;;  ((", "İstanbul ſtraße ΑΣ", "日本語 テキスト", "x" * 3000]
+    pieces = ["a", "th", " ", "  ", "\n", "'s", "1", "é", "É", "中", "😀", "\xa0", "\x1c", "<|", "ß", "ſ", "\u0301", "_", "==", "THE", "ª", "µ", "Å", ". ", ", "]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(0, 24))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        mine.cache.most = 20_000 if at else 200
+        part = texts[at : at + 500]
+        got = [np.frombuffer(g, mine.dtype).tolist() for g in mine.encode_all(pa.array(part))]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
