@@ -10,8 +10,15 @@ from larder.enums import ABSTAIN_WORDS, EXCLUDE_ANSWERS
 from larder.functions.text import FOOD_CODE
 
 PROMPT_HEADER = (
-    "식당 메뉴 {count}건을 음식 영양표의 후보와 짝짓는다. 후보의 수치를 그 메뉴의 것으로 보여도 될 때만 번호를 고르고, 애매하면 없음이라고 답한다.\n"
-    "메뉴마다 한 줄씩 <메뉴번호>: <후보번호 또는 없음> 만 쓴다."
+    "식당 메뉴 {count}건을 음식 영양표의 후보와 짝짓는다. 메뉴마다 따로 판단한다.\n\n"
+    "기준:\n"
+    "1. 후보의 영양 수치를 그 메뉴의 수치로 손님에게 보여도 될 때만 번호를 고른다.\n"
+    "2. 주재료가 다르거나 조리 방식이 달라지면 같은 음식이 아니다.\n"
+    "3. 메뉴 이름에 꾸밈말만 더 붙었다면 같은 음식으로 볼 수 있다.\n"
+    "4. 후보 뒤 대괄호는 [기원 · 분류]다. 같은 음식이 여럿이면 외식(분석함량), 외식(재료량 기반 산출함량), 가정식 차례로 고른다.\n"
+    "5. 고기 부위나 재료 하나의 이름뿐인 메뉴는 요리가 아니므로 없음이다.\n"
+    "6. 맞는 후보가 아예 없는 일이 많다. 확실하지 않으면 없음이라고 답한다.\n\n"
+    "메뉴마다 한 줄씩 <메뉴번호>: <후보번호 또는 없음> 만 쓰고 다른 말은 쓰지 않는다. (보기: 1: 2)"
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -11,14 +13,31 @@ from larder.enums import METHOD_CONFIDENCE
 from larder.functions.answers import answer_lines, parse_choice, prompt, prompt_item
 from larder.functions.text import food_label
 from larder.operators.upsert import upsert
-from larder.runtime import ship
+from larder.runtime import materialise, ship
 
 BATCH_CLOUD, BATCH_LOCAL = 20, 5
-MAX_FAILURES = 3
+#: Batches that may fail one after another before a task stops asking; calls of one batch after the first; seconds before
+#: the first of them, doubled for each other one; calls a minute of a client with a quota.
+MAX_FAILURES, RETRIES, RETRY_SECONDS, CALLS_A_MINUTE = 3, 3, 2.0, 5
+#: Names that one task numbers into batches.
+DEAL_NAMES = 10_000
+
+
+class Busy(Exception):
+    """Raised by a client whose call may succeed later; ``wait`` is the time in seconds that the server asks for, if any."""
+
+    def __init__(self, message: str = "", wait: float | None = None):
+        super().__init__(message)
+        self.wait = wait
+
+
+class Refused(Exception):
+    """Raised by a client with which no call can succeed, as with a wrong key or model; it ends the run."""
 
 
 class LlmClient(Protocol):
-    """Answers a prompt with one line per item. ``persists`` tells whether its decisions may be stored."""
+    """Answers a prompt with one line per item. ``persists`` tells whether its decisions may be stored. Raises ``Busy`` or
+    ``Refused``; any other error fails one batch."""
 
     name: str
     persists: bool
@@ -27,12 +46,16 @@ class LlmClient(Protocol):
 
 
 class FakeClient:
-    """Chooses the first candidate of every item whose number is odd, and none for the others; nothing is stored."""
+    """Chooses the first candidate of every item whose number is odd, and none for the others; nothing is stored. Items
+    whose number ``skip`` divides get no line."""
 
     name, persists = "fake", False
 
+    def __init__(self, skip: int = 0):
+        self.skip = skip
+
     def ask(self, prompt: str, items: int) -> str:
-        return "\n".join(f"{i}: {1 if i % 2 else '없음'}" for i in range(1, items + 1))
+        return "\n".join(f"{i}: {1 if i % 2 else '없음'}" for i in range(1, items + 1) if not self.skip or i % self.skip)
 
 
 def name_groups(unmatched: DataFrame) -> DataFrame:
@@ -71,9 +94,9 @@ def batch_of(order: Column, size: int) -> Column:
 
 
 def prompts(asked: DataFrame, size: int = BATCH_CLOUD) -> DataFrame:
-    """(batch, prompt, n, items): names in chunks of at most ``size``; names are dealt to groups by hash, so that no task
-    numbers them all."""
-    groups = max(1, asked.sparkSession.sparkContext.defaultParallelism)
+    """(batch, prompt, n, items): names in chunks of at most ``size``, in their order. More than ``DEAL_NAMES`` names are
+    dealt to groups by hash first, so that no task numbers them all; the cluster's size plays no part."""
+    groups = max(1, -(-asked.count() // DEAL_NAMES))
     dealt = asked.withColumn("deal", F.pmod(F.xxhash64("normalized_name"), F.lit(groups)))
     nth = F.row_number().over(Window.partitionBy("deal").orderBy("normalized_name"))
     numbered = dealt.withColumn("nth", nth).withColumns({"chunk": batch_of(F.col("nth"), size), "index": ((F.col("nth") - 1) % size + 1).cast("int")})
@@ -84,38 +107,71 @@ def prompts(asked: DataFrame, size: int = BATCH_CLOUD) -> DataFrame:
     return by.select(F.format_string("%d-%d", "deal", "chunk").alias("batch"), prompt(n, F.transform("items", lambda i: i["text"])).alias("prompt"), n.alias("n"), "items")
 
 
-def ask(batches: DataFrame, client: LlmClient) -> DataFrame:
-    """Batches with the client's ``raw`` answer, null where it failed; after three failures in a row a task asks no more."""
+class Caller:
+    """Calls of one client from one task: spaced to a number a minute, and repeated while the client is busy."""
+
+    def __init__(self, client: LlmClient, a_minute: int = 0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.client, self.gap, self.sleep, self.clock = client, 60.0 / a_minute if a_minute > 0 else 0.0, sleep, clock
+        self.next = None
+
+    def __call__(self, text: str, n: int) -> str:
+        for retry in range(RETRIES + 1):
+            now = self.clock()
+            if self.next is not None and now < self.next:
+                self.sleep(self.next - now)
+                now = self.next
+            self.next = now + self.gap
+            try:
+                return self.client.ask(text, n)
+            except Busy as e:
+                if retry == RETRIES:
+                    raise
+                self.sleep(RETRY_SECONDS * 2**retry if e.wait is None else e.wait)
+        raise AssertionError
+
+
+def ask(batches: DataFrame, client: LlmClient, a_minute: int = 0) -> DataFrame:
+    """Batches with the client's ``raw`` answer, null where it failed; after three failures in a row a task asks no more.
+
+    Prompts and answers are written, so that no later read calls the client again. With a number of calls a minute one task
+    asks all batches, as the quota is one for all.
+    """
     ship(batches.sparkSession)
+    batches = materialise(batches, "llm-batches")
 
     def run(frames):
-        failures = 0
+        failures, caller = 0, Caller(client, a_minute)
         for df in frames:
             raw = []
             for text, n in zip(df["prompt"], df["n"]):
                 answer = None
                 if failures < MAX_FAILURES:
                     try:
-                        answer, failures = client.ask(text, int(n)), 0
+                        answer, failures = caller(text, int(n)), 0
+                    except Refused:
+                        raise
                     except Exception:  # noqa: BLE001  a failed batch is asked again in the next run
                         failures += 1
                 raw.append(answer)
             yield pd.DataFrame({"batch": df["batch"], "raw": raw})
 
-    answered = batches.select("batch", "prompt", "n").mapInPandas(run, "batch string, raw string")
-    return batches.join(answered, "batch")
+    wanted = batches.select("batch", "prompt", "n")
+    answered = (wanted.coalesce(1) if a_minute else wanted).mapInPandas(run, "batch string, raw string")
+    return batches.join(materialise(answered, "llm-answers"), "batch")
 
 
 def decisions(answered: DataFrame) -> DataFrame:
-    """(normalized_name, decision, food_code, raw_answer): matched, abstained, or failed where an answer is missing or
-    cannot be read; of several lines for one item the first counts."""
+    """(normalized_name, decision, food_code, raw_answer): matched, abstained, or failed where no answer can be read; of
+    several lines for one item the first that can be read counts."""
     items = answered.select("batch", "raw", F.explode("items").alias("i")).select("batch", "i.index", "i.normalized_name", "i.codes")
     lines = answered.select("batch", F.posexplode(answer_lines(F.col("raw"))).alias("pos", "l")).select("batch", "pos", "l.index", "l.answer")
-    first = lines.groupBy("batch", "index").agg(F.min_by("answer", "pos").alias("answer"))
-    joined = items.join(first, ["batch", "index"], "left").withColumn("p", parse_choice(F.col("answer"), F.size("codes")))
+    sizes = items.select("batch", "index", F.size("codes").alias("n"))
+    read = lines.join(sizes, ["batch", "index"]).select("batch", "index", "pos", parse_choice(F.col("answer"), F.col("n")).alias("p")).filter("p.ok")
+    first = read.groupBy("batch", "index").agg(F.min_by("p", "pos").alias("p"))
+    joined = items.join(first, ["batch", "index"], "left")
     code = F.get("codes", F.col("p.choice") - 1)
-    decision = F.when(~F.col("p.ok"), "failed").when(F.col("p.choice").isNull(), "abstained").otherwise("matched")
-    raw_answer = F.when(F.col("p.ok"), F.coalesce(F.col("p.choice").cast("string"), F.lit("없음")))
+    decision = F.when(F.col("p").isNull(), "failed").when(F.col("p.choice").isNull(), "abstained").otherwise("matched")
+    raw_answer = F.when(F.col("p").isNotNull(), F.coalesce(F.col("p.choice").cast("string"), F.lit("없음")))
     return joined.select("normalized_name", decision.alias("decision"), code.alias("food_code"), raw_answer.alias("raw_answer"))
 
 

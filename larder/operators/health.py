@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.enums import CARBOHYDRATE_SHARE, CARDS, DISEASE_ISSUES, DISEASE_PRIORITY, FALLBACK_ISSUES, FAT_SHARE, PROTEIN_SHARE, TREND_ROWS, TREND_ROWS_EXPANDED
 from larder.functions.numeric import macro_grams, per_meal, per_meal_int, target_calories
 from larder.functions.rules import fallback_summary, issue_label, stale
+from larder.runtime import materialise, ship
 
 
 def keep_latest(inbody: DataFrame) -> DataFrame:
@@ -84,12 +88,42 @@ def deficiency_cards(members: DataFrame) -> DataFrame:
     return first.unionByName(others.select("member_id", "priority", "issue", "related"))
 
 
+class AiClient(Protocol):
+    """Writes the text of a member's cards from the score and (issue, related diseases) of each: a summary and a
+    description for every card. Targets and other computed values are not given to it."""
+
+    def generate(self, score: int, cards: list[tuple[str, list[str]]]) -> tuple[str, list[str]]: ...
+
+
 def summaries(cards: DataFrame) -> DataFrame:
     """(member_id, summary, descriptions): the template text that needs no model."""
     by = cards.groupBy("member_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "issue"))), lambda c: issue_label(c["issue"])).alias("labels"))
     return by.select("member_id", fallback_summary(F.col("labels")).alias("summary"), F.transform("labels", lambda x: F.concat(x, F.lit(" 관리를 권장합니다."))).alias("descriptions"))
 
 
+def written_summaries(cards: DataFrame, scores: DataFrame, client: AiClient) -> DataFrame:
+    """(member_id, summary, descriptions, by): a client's text for every member of ``cards`` with a score, and the template
+    where it fails, gives an empty summary, or not one description for each card; ``by`` is ``model`` or ``template``."""
+    ship(cards.sparkSession)
+    listed = cards.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("priority", "issue", "related"))).alias("cards"))
+
+    def run(frames):
+        for df in frames:
+            rows = []
+            for member, score, own in zip(df["member_id"], df["inbody_score"], df["cards"]):
+                try:
+                    summary, texts = client.generate(int(score), [(c["issue"], list(c["related"])) for c in own])
+                    good = bool(summary and summary.strip()) and len(texts) == len(own)
+                except Exception:  # noqa: BLE001  the template stands in
+                    good = False
+                rows.append((member, summary, list(texts)) if good else (member, None, None))
+            yield pd.DataFrame(rows, columns=["member_id", "s", "d"])
+
+    asked = listed.join(scores.select("member_id", "inbody_score"), "member_id").mapInPandas(run, "member_id long, s string, d array<string>")
+    both = summaries(cards).join(materialise(asked, "ai-texts"), "member_id", "left")  # written: no later read calls again
+    return both.select("member_id", F.coalesce("s", "summary").alias("summary"), F.coalesce("d", "descriptions").alias("descriptions"), F.when(F.col("s").isNotNull(), "model").otherwise("template").alias("by"))
+
+
 def report(members: DataFrame, inbody: DataFrame) -> DataFrame:
     """One row per member with a measurement: score, target, cards and summary."""
     cards = deficiency_cards(members.select(F.col("id").alias("member_id"), "diseases"))

@@ -18,6 +18,8 @@ from larder.functions.text import basis_key, bigrams, candidate_keys, flat, has_
 from larder.runtime import materialise, ship
 
 GENERAL = ""
+#: Rows (key, bigram) that may be broadcast, some hundred bytes each; the whole food table has about 300,000.
+BROADCAST_GRAMS = 500_000
 
 
 @F.pandas_udf(DoubleType())
@@ -68,12 +70,17 @@ def shortlist(names: DataFrame, cands: DataFrame, most: int = SHORTLIST) -> Data
     """For each (pool, name) the candidates that share a bigram, the best ``most`` by Jaccard, then basis and key.
 
     Names meet distinct keys in a join on (pool, bigram); the count of joined rows is the intersection's size, so no set
-    travels. A key stays only while the keys nearer to the name hold fewer than ``most`` candidates, and of each key's
-    candidates only its first ``most`` can be listed, so foods of one name do not multiply the pairs.
+    travels. Where the keys' bigrams are few enough to be sent to every task, names are dealt out once, and the pairs are
+    joined, counted and pruned where their name is: no pair is shuffled and no common bigram meets in one task. Beyond
+    that both sides are dealt out by bigram. A key stays only while the keys nearer to the name hold fewer than ``most``
+    candidates, and of each key's candidates only its first ``most`` can be listed, so foods of one name do not multiply
+    the pairs.
     """
     keys = cands.groupBy("pool", "key").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
-    left = names.select("pool", "name", bigrams(F.col("name")).alias("g")).select("pool", "name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
+    left = names.repartition("pool", "name").select("pool", "name", bigrams(F.col("name")).alias("g")).select("pool", "name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
     right = keys.select("pool", "key", "n", bigrams(F.col("key")).alias("g")).select("pool", "key", "n", F.size("g").alias("n_key"), F.explode("g").alias("gram"))
+    right = materialise(right, "key-bigrams")
+    right = F.broadcast(right) if right.count() <= BROADCAST_GRAMS else right
     shared = left.join(right, ["pool", "gram"]).groupBy("pool", "name", "key", "n", "n_name", "n_key").agg(F.count("*").alias("both"))
     scored = shared.select("pool", "name", "key", "n", (F.col("both") / (F.col("n_name") + F.col("n_key") - F.col("both"))).alias("jaccard"))
     nearer = Window.partitionBy("pool", "name").orderBy(F.desc("jaccard")).rangeBetween(Window.unboundedPreceding, Window.currentRow)

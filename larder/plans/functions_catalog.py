@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from larder.enums import CATEGORY_HINTS, DISEASE_ISSUES, ISSUE_LABELS, METHOD_CONFIDENCE, NUTRITION_FILTERS
 from larder.functions import answers, numeric, rules, text
-from larder.operators import scans
+from larder.operators import aliasing, scans
 from larder.plans.catalog import query
 from larder.plans.views import BRANDS, Views
 
@@ -46,9 +46,9 @@ def fn_is_beverage(v: Views) -> DataFrame:
     return v.menu.select("name").distinct().select("name", text.is_beverage(F.col("name")).alias("beverage"))
 
 
-@query("fn_normalize_term", "SELECT page_id, lower(regexp_replace(substr(html, 1, 400), '\\s+', '', 'g')) AS term FROM pages")
+@query("fn_normalize_term", "SELECT page_id, lower(regexp_replace(html, '\\s+', '', 'g')) AS term FROM pages")
 def fn_normalize_term(v: Views) -> DataFrame:
-    return v.pages.select("page_id", text.normalize_term(F.substring("html", 1, 400)).alias("term"))
+    return v.pages.select("page_id", text.normalize_term(F.col("html")).alias("term"))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, length(replace({0}, ' ', ''))), lambda i : substr(replace({0}, ' ', ''), i, 2)))"
@@ -173,7 +173,7 @@ def fn_contains_all_tokens(v: Views) -> DataFrame:
     return v.menu.select("name").distinct().select("name", text.contains_all(F.col("name"), F.array(F.lit("ri"), F.lit("hot"))).alias("found"))
 
 
-@query("lim_tokens", "SELECT page_id, array_to_string(list_slice(list_filter(regexp_split_to_array(lower(trim(substr(html, 1, 500))), '\\s+'), lambda t : t <> ''), 1, 5), '|') AS tokens FROM pages")
+@query("lim_tokens", "SELECT page_id, array_to_string(list_slice(list_filter(regexp_split_to_array(lower(trim(html)), '\\s+'), lambda t : t <> ''), 1, 5), '|') AS tokens FROM pages")
 def lim_tokens(v: Views) -> DataFrame:
     return v.pages.select("page_id", F.array_join(text.keyword_tokens(F.col("html"), 5), "|").alias("tokens"))
 
@@ -208,13 +208,28 @@ def fn_parse_choice(v: Views) -> DataFrame:
     return v.label_row.select("row_no", answers.parse_choice(shown, F.lit(2)).alias("p")).select("row_no", "p.ok", "p.choice")
 
 
-@query("fn_parse_batch", "SELECT row_no, 1 AS index, '2' AS answer FROM label_row UNION ALL SELECT row_no, 2, coalesce(raw_choice, '?') FROM label_row")
-def fn_parse_batch(v: Views) -> DataFrame:
+@query("fn_answer_lines", "SELECT row_no, 1 AS index, '2' AS answer FROM label_row UNION ALL SELECT row_no, 2, coalesce(raw_choice, '?') FROM label_row")
+def fn_answer_lines(v: Views) -> DataFrame:
     raw = F.concat(F.lit("<think>1: 9\n</think>답\n 1: 2 \n설명\n2) "), F.coalesce("raw_choice", F.lit("?")))
     lines = v.label_row.select("row_no", F.explode(answers.answer_lines(raw)).alias("l"))
     return lines.select("row_no", "l.index", "l.answer")
 
 
+@query("fn_parse_batch", """
+    WITH c AS (SELECT row_no, raw_choice IS NOT NULL AND NOT coalesce(try_cast(raw_choice AS INT) > 2, false) AS ok, CASE WHEN try_cast(raw_choice AS INT) BETWEEN 1 AND 2 THEN CAST(raw_choice AS INT) END AS choice FROM label_row)
+    SELECT concat(CAST(row_no AS STRING), '-1') AS normalized_name, 'matched' AS decision, 'a2' AS food_code, '2' AS raw_answer FROM c
+    UNION ALL SELECT concat(CAST(row_no AS STRING), '-2'), CASE WHEN NOT ok THEN 'failed' WHEN choice IS NULL THEN 'abstained' ELSE 'matched' END, CASE choice WHEN 1 THEN 'b1' WHEN 2 THEN 'b2' END,
+        CASE WHEN ok THEN coalesce(CAST(choice AS STRING), '없음') END FROM c
+    UNION ALL SELECT concat(CAST(row_no AS STRING), '-3'), 'failed', NULL, NULL FROM c
+""")
+def fn_parse_batch(v: Views) -> DataFrame:
+    """Of three items the first has a line out of range before one that can be read, and the third has none."""
+    item = lambda i, *codes: F.struct(F.lit(i).alias("index"), F.concat(F.col("row_no").cast("string"), F.lit(f"-{i}")).alias("normalized_name"), F.array(*map(F.lit, codes)).alias("codes"))
+    raw = F.concat(F.lit("<think>1: 1\n</think>\n1: 9\n1: 2\n1: 1\n9: 1\n2) "), F.coalesce("raw_choice", F.lit("?")))
+    answered = v.label_row.select(F.col("row_no").cast("string").alias("batch"), raw.alias("raw"), F.array(item(1, "a1", "a2"), item(2, "b1", "b2"), item(3, "c1")).alias("items"))
+    return aliasing.decisions(answered)
+
+
 @query("fn_build_prompt", "SELECT food_code, concat('[메뉴 1]\n메뉴명: ', food_name, '\n식당: ', CASE WHEN partkey % 2 = 0 THEN '(알 수 없음)' ELSE 'r' END, '\n후보:\n  1. a\n  2. b\n') AS prompt FROM official_food")
 def fn_build_prompt(v: Views) -> DataFrame:
     place = F.when(F.col("partkey") % 2 == 0, "").otherwise("r")

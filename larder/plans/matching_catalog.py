@@ -73,6 +73,42 @@ _STRUCT_SQL = """, ok AS (SELECT * FROM listed WHERE allow AND ((length(key) >=
         OR (len(list_filter(string_split(key, ' '), lambda t : NOT list_contains(string_split(name, ' '), t))) = 0 AND len(list_distinct(string_split(key, ' '))) < len(list_distinct(string_split(name, ' '))))))"""
 
 
+#: Ratcliff/Obershelp similarity of the pairs (a, b): the longest common stretch, the first in a and then in b, and the
+#: same again on either side of it, until none is left.
+_RATIO_SQL = """
+    seg AS (SELECT a AS pa, b AS pb, a, b, 0::BIGINT AS found FROM pairs
+        UNION ALL SELECT pa, pb, unnest([substr(a, 1, m.i - 1), substr(a, m.i + m.l)]), unnest([substr(b, 1, m.j - 1), substr(b, m.j + m.l)]), unnest([m.l, 0])
+        FROM (SELECT *, struct_pack(l := x.l, i := -x.i, j := instr(b, substr(a, -x.i, x.l))) AS m FROM (SELECT *, list_max(flatten(list_transform(range(1, length(a) + 1),
+            lambda i : list_transform(list_filter(range(1, length(a) - i + 2), lambda l : contains(b, substr(a, i, l))), lambda l : struct_pack(l := l, i := -i))))) AS x
+          FROM seg WHERE a <> '' AND b <> '') WHERE x IS NOT NULL)),
+    ratio AS (SELECT pa, pb, 2.0e0 * sum(found) / (length(pa) + length(pb)) AS ratio FROM seg GROUP BY pa, pb)"""
+
+#: Names (pool, name) and foods (pool, food_code) of one pool, without brands.
+_ONE_POOL = "WITH RECURSIVE name AS (SELECT DISTINCT '' AS pool, normalized_name AS name FROM menu), pfood AS (SELECT '' AS pool, food_code FROM official_food)"
+
+
+def cascade_sql() -> str:
+    """Further common tables on ``name`` and ``pfood``, up to hit (pool, name, food_code, method)."""
+    return f""", pcand AS (SELECT pool, c.* FROM ({cand_sql()}) c JOIN pfood USING (food_code)),
+    pkeys AS (SELECT pool, key, {_GRAMS.format('key')} AS kg FROM (SELECT DISTINCT pool, key FROM pcand)), png AS (SELECT pool, name, {_GRAMS.format('name')} AS ng FROM name),
+    pnear AS (SELECT png.pool, name, key, len(list_intersect(ng, kg)) AS i, len(ng) AS a, len(kg) AS b FROM png JOIN pkeys USING (pool)),
+    pscored AS (SELECT pool, name, key, food_code, basis, origin_rank, ordinal, allow, i / (a + b - i) AS jaccard FROM pnear JOIN pcand USING (pool, key) WHERE i > 0),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY pool, name ORDER BY jaccard DESC, basis, origin_rank, food_code, ordinal) AS place FROM pscored QUALIFY place <= 50)
+    {_STRUCT_SQL},
+    pairs AS (SELECT DISTINCT replace(name, ' ', '') AS a, replace(key, ' ', '') AS b FROM listed
+        WHERE 2 * least(length(replace(name, ' ', '')), length(replace(key, ' ', ''))) >= 0.9e0 * (length(replace(name, ' ', '')) + length(replace(key, ' ', '')))),
+    {_RATIO_SQL},
+    e AS (SELECT pool, name, arg_min(food_code, struct_pack(b := basis, o := origin_rank, c := food_code)) AS food_code FROM name JOIN pcand USING (pool) WHERE key = name GROUP BY pool, name),
+    d AS (SELECT pool, name, arg_min(food_code, struct_pack(r := -ratio, p := place)) AS food_code, max(ratio) AS ratio FROM listed JOIN ratio ON pa = replace(name, ' ', '') AND pb = replace(key, ' ', '')
+        WHERE ratio >= 0.9e0 GROUP BY pool, name),
+    s AS (SELECT pool, name, food_code FROM ok QUALIFY row_number() OVER (PARTITION BY pool, name ORDER BY length(key), basis, origin_rank, food_code, ordinal) = 1),
+    n AS (SELECT pool, name, food_code FROM listed WHERE pool = '' AND jaccard >= 0.65 AND allow QUALIFY row_number() OVER (PARTITION BY pool, name ORDER BY place) = 1),
+    hit AS (SELECT pool, name, coalesce(e.food_code, d.food_code, s.food_code, n.food_code) AS food_code, concat(CASE WHEN pool <> '' THEN 'BRAND_' ELSE '' END,
+            CASE WHEN e.food_code IS NOT NULL THEN 'EXACT' WHEN d.food_code IS NOT NULL THEN 'EDIT' WHEN s.food_code IS NOT NULL THEN 'STRUCT' ELSE 'NGRAM' END) AS method
+        FROM name LEFT JOIN e USING (pool, name) LEFT JOIN d USING (pool, name) LEFT JOIN s USING (pool, name) LEFT JOIN n USING (pool, name)
+        WHERE coalesce(e.food_code, d.food_code, s.food_code, n.food_code) IS NOT NULL)"""
+
+
 @query("jn_struct", _LIST_SQL + _STRUCT_SQL + """
     SELECT name, food_code, key FROM ok QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(key), basis, origin_rank, food_code, ordinal) = 1
 """)
@@ -87,19 +123,22 @@ def jn_ngram_accept(v: Views) -> DataFrame:
     return ok.groupBy("name").agg(F.min_by("food_code", "place").alias("food_code"))
 
 
-@query("jn_edit")
+@query("jn_edit", _ONE_POOL + cascade_sql() + "SELECT name, food_code, ratio FROM d")
 def jn_edit(v: Views) -> DataFrame:
     close = matching.with_ratio(listed(v)).filter("ratio >= 0.9")
     return close.groupBy("name").agg(F.min_by(F.struct("food_code", "ratio"), F.struct(-F.col("ratio"), F.col("place"))).alias("b")).select("name", "b.food_code", "b.ratio")
 
 
-@query("fn_seq_ratio")
+@query("fn_seq_ratio", f"""
+    WITH RECURSIVE pairs AS (SELECT DISTINCT food_name AS a, representative_name AS b FROM official_food), {_RATIO_SQL}
+    SELECT food_code, round(ratio, 6) AS ratio FROM official_food JOIN ratio ON pa = food_name AND pb = representative_name
+""")
 def fn_seq_ratio(v: Views) -> DataFrame:
     rows = v.official_food.select("food_code", "food_name", "representative_name")
     return rows.select("food_code", F.round(matching.seq_ratio(F.col("food_name"), F.col("representative_name")), 6).alias("ratio"))
 
 
-@query("fn_cascade")
+@query("fn_cascade", _ONE_POOL + cascade_sql() + "SELECT name, food_code, method FROM hit")
 def fn_cascade(v: Views) -> DataFrame:
     return matching.cascade(names(v), general(v)).select("name", "food_code", "method")
 
@@ -143,28 +182,45 @@ def matched(v: Views) -> DataFrame:
     return matching.match_menus(menus_to_match(v).withColumn("scope", scope), v.official_food, BRANDS)
 
 
-@query("jn_brand_route")
-def jn_brand_route(v: Views) -> DataFrame:
-    return matched(v).select("menu_id", "pool", "food_code", "matched_by", F.col("confidence").cast("double").alias("confidence"))
-
-
 def scope_sql(franchise: bool) -> str:
     first = f"WHEN len(list_filter([{_BRAND_LIST}], lambda b : contains(lower(r.name), b))) > 0 THEN 'excluded_franchise'" if franchise else ""
     return f"CASE {first} WHEN r.name LIKE '%점' THEN 'excluded_branch' WHEN cuisine = 'CAFE_DESSERT' THEN 'excluded_cafe' ELSE 'kept' END"
 
 
+#: Common tables up to matched: every menu with its scope, pool and match.
+_MATCHED = f"""
+    WITH RECURSIVE brand AS (SELECT unnest([{_BRAND_LIST}]) AS pool), owned AS (SELECT pool, food_code FROM official_food JOIN brand ON contains(lower(company_name), pool)),
+    pfood AS (SELECT pool, food_code FROM owned UNION ALL SELECT '', food_code FROM official_food WHERE food_code NOT IN (SELECT food_code FROM owned)),
+    place AS (SELECT id, name, cuisine, coalesce({_BRAND}, '') AS pool FROM restaurant),
+    placed AS (SELECT m.id AS menu_id, m.name AS menu_name, normalized_name, r.name AS restaurant_name, pool, {scope_sql(False)} AS scope FROM menu m JOIN place r ON r.id = restaurant_id),
+    name AS (SELECT DISTINCT pool, normalized_name AS name FROM placed WHERE normalized_name <> '')
+    {cascade_sql()},
+    matched AS (SELECT placed.*, food_code, method AS matched_by, CASE method {" ".join(f"WHEN '{m}' THEN {c}e0" for m, c in METHOD_CONFIDENCE.items())} END AS confidence
+        FROM placed LEFT JOIN hit ON hit.pool = placed.pool AND hit.name = normalized_name)"""
+
+
+@query("jn_brand_route", _MATCHED + "SELECT menu_id, pool, food_code, matched_by, confidence FROM matched")
+def jn_brand_route(v: Views) -> DataFrame:
+    return matched(v).select("menu_id", "pool", "food_code", "matched_by", F.col("confidence").cast("double").alias("confidence"))
+
+
 @query("flt_scope", f"SELECT {scope_sql(True)} AS scope, count(*) AS menus FROM menu m JOIN restaurant r ON r.id = restaurant_id GROUP BY 1")
 def flt_scope(v: Views) -> DataFrame:
     scope = matching.scope_label(F.col("restaurant_name"), F.col("cuisine"), BRANDS, franchise=True, branch=True, cafe=True)
     return menus_to_match(v).groupBy(scope.alias("scope")).agg(F.count("*").alias("menus"))
 
 
-@query("agg_match_report")
+@query("agg_match_report", _MATCHED + """, c AS (SELECT count(*) FILTER (scope = 'excluded_franchise') AS excluded_franchise, count(*) FILTER (scope = 'excluded_branch') AS excluded_branch,
+        count(*) FILTER (scope = 'excluded_cafe') AS excluded_cafe, count(*) FILTER (scope = 'kept') AS total_menus, count(*) FILTER (scope = 'kept' AND matched_by IS NOT NULL) AS matched,
+        count(*) FILTER (scope = 'kept' AND pool <> '') AS brand_menus, count(*) FILTER (scope = 'kept' AND pool <> '' AND matched_by IS NOT NULL) AS brand_matched FROM matched)
+    SELECT *, total_menus - matched AS unmatched, round(coalesce(matched / nullif(total_menus, 0), 0) * 100, 1) AS rate, round(coalesce((matched - brand_matched) / nullif(total_menus - brand_menus, 0), 0) * 100, 1) AS general_rate,
+        round(coalesce(brand_matched / nullif(brand_menus, 0), 0) * 100, 1) AS brand_rate FROM c
+""")
 def agg_match_report(v: Views) -> DataFrame:
     return evaluation.match_report(matched(v))
 
 
-@query("agg_match_methods")
+@query("agg_match_methods", _MATCHED + "SELECT matched_by, count(*) AS menus FROM matched WHERE scope = 'kept' AND matched_by IS NOT NULL GROUP BY 1")
 def agg_match_methods(v: Views) -> DataFrame:
     return evaluation.by_method(matched(v))
 
@@ -174,19 +230,17 @@ def agg_distinct_branch(v: Views) -> DataFrame:
     return evaluation.branch_names(v.restaurant.select(F.col("name").alias("restaurant_name"))).filter(is_branch(F.col("restaurant_name")))
 
 
-_UNMATCHED = "SELECT m.id AS menu_id, m.name AS menu_name, normalized_name, r.name AS restaurant_name FROM menu m JOIN restaurant r ON r.id = restaurant_id WHERE normalized_name LIKE 'big %' OR normalized_name LIKE '%특선'"
+_GROUPS = _MATCHED + """, u AS (SELECT menu_id, menu_name, normalized_name, restaurant_name FROM matched WHERE scope = 'kept' AND pool = '' AND matched_by IS NULL AND normalized_name <> ''),
+    g AS (SELECT normalized_name, arg_min(menu_name, menu_id) AS menu_name, arg_min(restaurant_name, menu_id) AS restaurant_name, count(*) AS menus, min(menu_id) AS first_id FROM u GROUP BY 1)"""
 
 
 def unmatched(v: Views) -> DataFrame:
-    """Menus taken as unmatched, by the form of their name, so that the oracle needs no edit ratio."""
-    rows = menus_to_match(v).filter(F.col("normalized_name").startswith("big ") | F.col("normalized_name").endswith("특선"))
-    return rows.select("menu_id", "menu_name", "normalized_name", "restaurant_name")
+    """Menus of the general pool that no stage matches."""
+    rows = lambda: matched(v).filter((F.col("scope") == "kept") & (F.col("pool") == GENERAL) & F.col("matched_by").isNull() & (F.col("normalized_name") != ""))
+    return v.once("unmatched", lambda: rows().select("menu_id", "menu_name", "normalized_name", "restaurant_name"))
 
 
-_GROUPS = f"g AS (SELECT normalized_name, arg_min(menu_name, menu_id) AS menu_name, arg_min(restaurant_name, menu_id) AS restaurant_name, count(*) AS menus, min(menu_id) AS first_id FROM ({_UNMATCHED}) GROUP BY 1)"
-
-
-@query("agg_name_groups", f"WITH {_GROUPS} SELECT * FROM g")
+@query("agg_name_groups", _GROUPS + "SELECT * FROM g")
 def agg_name_groups(v: Views) -> DataFrame:
     return aliasing.name_groups(unmatched(v))
 
@@ -199,21 +253,31 @@ def alias(v: Views) -> DataFrame:
     return rows.select("normalized_name", code.alias("food_code"), F.lit("LLM").alias("matched_by"), F.lit(None).cast("decimal(3,2)").alias("confidence"), none.alias("model"), none.alias("raw_answer"))
 
 
-_KNOWN = "contains(normalized_name, 'red') OR contains(normalized_name, 'blue')"
+_KNOWN = "(contains(normalized_name, 'red') OR contains(normalized_name, 'blue'))"
 
 
-@query("jn_alias_cache", f"WITH {_GROUPS} SELECT normalized_name, {_KNOWN} AS known, CASE WHEN contains(normalized_name, 'red') THEN concat('code ', normalized_name) END AS food_code FROM g")
+@query("jn_alias_cache", _GROUPS + f"SELECT normalized_name, {_KNOWN} AS known, CASE WHEN contains(normalized_name, 'red') THEN concat('code ', normalized_name) END AS food_code FROM g")
 def jn_alias_cache(v: Views) -> DataFrame:
     return aliasing.with_alias(aliasing.name_groups(unmatched(v)), alias(v)).select("normalized_name", "known", "food_code")
 
 
+def top_of(v: Views, wanted: DataFrame) -> DataFrame:
+    """The candidates to show for names: of the general pool, which has no company's foods."""
+    pool = matching.pools(v.official_food, BRANDS).filter(F.col("pool") == GENERAL)
+    return matching.top_candidates(matching.shortlist(wanted.select(F.lit(GENERAL).alias("pool"), F.col("normalized_name").alias("name")).distinct(), matching.candidates(pool)), 10)
+
+
 def groups_and_top(v: Views) -> tuple[DataFrame, DataFrame]:
     groups = aliasing.with_alias(aliasing.name_groups(unmatched(v)), alias(v))
-    n = groups.filter("not known").select(F.lit(GENERAL).alias("pool"), F.col("normalized_name").alias("name"))
-    return groups, matching.top_candidates(matching.shortlist(n, general(v)), 10)
+    return groups, top_of(v, groups.filter("not known"))
 
 
-@query("lim_llm", f"WITH {_GROUPS} SELECT normalized_name FROM g WHERE NOT ({_KNOWN}) ORDER BY normalized_name LIMIT 15")
+#: The first food listed for every unmatched name, and the names to ask, numbered within their batches.
+_ASKED = _GROUPS + f""", t AS (SELECT name AS normalized_name, arg_min(food_code, place) AS code FROM listed WHERE pool = '' GROUP BY name),
+    asked AS (SELECT normalized_name, code, (row_number() OVER (ORDER BY normalized_name) - 1) % 20 + 1 AS i FROM g JOIN t USING (normalized_name) WHERE NOT {_KNOWN})"""
+
+
+@query("lim_llm", _ASKED + "SELECT normalized_name FROM asked ORDER BY normalized_name LIMIT 15")
 def lim_llm(v: Views) -> DataFrame:
     groups, top = groups_and_top(v)
     return aliasing.to_ask(groups, top, limit=15).select("normalized_name")
@@ -225,22 +289,25 @@ def win_batch_no(v: Views) -> DataFrame:
     return ranked.select("id", aliasing.batch_of(F.col("rank") + 1, aliasing.BATCH_CLOUD).alias("batch"))
 
 
-@query("snk_apply_decisions", f"""
-    SELECT u.menu_id, concat('code ', u.normalized_name) AS food_code, 'LLM' AS matched_by, {METHOD_CONFIDENCE['LLM']}e0 AS confidence FROM ({_UNMATCHED}) u WHERE contains(u.normalized_name, 'red')
-""")
+@query("snk_apply_decisions", _GROUPS + f"SELECT menu_id, concat('code ', normalized_name) AS food_code, 'LLM' AS matched_by, {METHOD_CONFIDENCE['LLM']}e0 AS confidence FROM u WHERE contains(normalized_name, 'red')")
 def snk_apply_decisions(v: Views) -> DataFrame:
     return aliasing.matches_of(unmatched(v), alias(v)).select("menu_id", "food_code", "matched_by", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("llm_decisions")
-def llm_decisions(v: Views) -> DataFrame:
+def decided(v: Views, skip: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The groups, and a fake client's decisions on those that are not known."""
     groups, top = groups_and_top(v)
-    answered = aliasing.ask(aliasing.prompts(aliasing.to_ask(groups, top)), aliasing.FakeClient())
-    return aliasing.decisions(answered).select("normalized_name", "decision", "food_code", "raw_answer")
+    return groups, aliasing.decisions(aliasing.ask(aliasing.prompts(aliasing.to_ask(groups, top)), aliasing.FakeClient(skip)))
+
 
+@query("llm_decisions", _ASKED + """
+    SELECT normalized_name, CASE WHEN i % 2 = 1 THEN 'matched' ELSE 'abstained' END AS decision, CASE WHEN i % 2 = 1 THEN code END AS food_code, CASE WHEN i % 2 = 1 THEN '1' ELSE '없음' END AS raw_answer FROM asked
+""")
+def llm_decisions(v: Views) -> DataFrame:
+    return decided(v)[1].select("normalized_name", "decision", "food_code", "raw_answer")
 
-@query("snk_upsert_alias", f"""
-    WITH {_GROUPS}, old AS (SELECT normalized_name, CASE WHEN contains(normalized_name, 'red') THEN concat('code ', normalized_name) END AS food_code FROM g WHERE {_KNOWN}),
+
+@query("snk_upsert_alias", _GROUPS + f""", old AS (SELECT normalized_name, CASE WHEN contains(normalized_name, 'red') THEN concat('code ', normalized_name) END AS food_code FROM g WHERE {_KNOWN}),
     new AS (SELECT normalized_name, CASE WHEN contains(normalized_name, 'hot') OR contains(normalized_name, 'big red') THEN 'new' END AS food_code FROM g WHERE contains(normalized_name, 'hot') OR contains(normalized_name, 'red'))
     SELECT coalesce(n.normalized_name, o.normalized_name) AS normalized_name, CASE WHEN n.normalized_name IS NULL THEN o.food_code ELSE n.food_code END AS food_code,
            CASE WHEN n.food_code IS NOT NULL THEN {METHOD_CONFIDENCE['LLM']}e0 END AS confidence
@@ -255,15 +322,13 @@ def snk_upsert_alias(v: Views) -> DataFrame:
     return aliasing.store(alias(v), decided.unionByName(extra), "m" * 80).select("normalized_name", "food_code", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("agg_llm_report", f"""
-    WITH {_GROUPS} SELECT count(*) AS names, count(*) FILTER ({_KNOWN}) AS cached, CAST(0 AS BIGINT) AS asked, count(*) FILTER (contains(normalized_name, 'red')) AS matched_names,
-        CAST(coalesce(sum(menus) FILTER (contains(normalized_name, 'red')), 0) AS BIGINT) AS matched_menus, count(*) FILTER (contains(normalized_name, 'blue') AND NOT contains(normalized_name, 'red')) AS abstained_names,
-        CAST(0 AS BIGINT) AS failed_names, count(*) FILTER (NOT ({_KNOWN})) AS waiting_names FROM g
+@query("agg_llm_report", _ASKED + f""", r AS (SELECT g.*, i, {_KNOWN} AS known, CASE WHEN i % 5 = 0 THEN 'failed' WHEN i % 2 = 1 THEN 'matched' WHEN i IS NOT NULL THEN 'abstained' ELSE '' END AS d FROM g LEFT JOIN asked USING (normalized_name)),
+    h AS (SELECT *, known AND contains(normalized_name, 'red') OR d = 'matched' AS good FROM r)
+    SELECT count(*) AS names, count(*) FILTER (known) AS cached, count(*) FILTER (d <> '') AS asked, count(*) FILTER (good) AS matched_names, CAST(coalesce(sum(menus) FILTER (good), 0) AS BIGINT) AS matched_menus,
+        count(*) FILTER (known AND NOT contains(normalized_name, 'red') OR d = 'abstained') AS abstained_names, count(*) FILTER (d = 'failed') AS failed_names, count(*) FILTER (NOT known AND d = '') AS waiting_names FROM h
 """)
 def agg_llm_report(v: Views) -> DataFrame:
-    groups = aliasing.with_alias(aliasing.name_groups(unmatched(v)), alias(v))
-    none = v.spark.createDataFrame([], "normalized_name string, decision string, food_code string, raw_answer string")
-    return aliasing.report(groups, none)
+    return aliasing.report(*decided(v, skip=5))
 
 
 @query("agg_label_score", f"""
@@ -311,20 +376,24 @@ def smp_seeded(v: Views) -> DataFrame:
     return evaluation.sample_rows(v.menu, "id", 50).select("id")
 
 
-_SHEET = f"""
-    WITH u AS ({_UNMATCHED}), s AS (SELECT * FROM u ORDER BY md5(concat('42-', CAST(menu_id AS STRING))), menu_id LIMIT 50)
-    SELECT CAST(row_number() OVER (ORDER BY menu_id) AS INT) AS row_no, menu_id, normalized_name, CASE WHEN contains(normalized_name, 'red') THEN '3' ELSE '' END AS answer FROM s
+_SHEET = _ASKED + """, sheet AS (SELECT * FROM u ORDER BY md5(concat('42-', CAST(menu_id AS STRING))), menu_id LIMIT 50)
+    SELECT CAST(row_number() OVER (ORDER BY menu_id) AS INT) AS row_no, menu_id, normalized_name, code AS code_1,
+        CASE WHEN contains(normalized_name, 'red') THEN CASE WHEN code IS NULL THEN '' ELSE '1' END WHEN contains(normalized_name, 'blue') THEN 'D999-1-1' WHEN contains(normalized_name, 'hot') THEN '제외'
+             WHEN normalized_name LIKE 'big %' THEN '0' ELSE '' END AS answer
+    FROM sheet LEFT JOIN t USING (normalized_name)
 """
 
 
 @query("snk_csv_label", _SHEET)
 def snk_csv_label(v: Views) -> DataFrame:
+    """The sheet written over an earlier one, in which the first food stood at place two and another order held."""
     rows = unmatched(v)
-    top = matching.top_candidates(matching.shortlist(rows.select(F.lit(GENERAL).alias("pool"), F.col("normalized_name").alias("name")).distinct(), general(v)), 10)
-    shown = top.withColumn("label", food_label(F.col("food_name"), F.col("origin"), F.col("major_category")))
-    old = rows.filter(F.contains("normalized_name", F.lit("red"))).select("normalized_name", F.lit("3").alias("answer"))
+    shown = v.once("shown", lambda: top_of(v, rows).withColumn("label", food_label(F.col("food_name"), F.col("origin"), F.col("major_category"))))
+    has = lambda w: F.contains("normalized_name", F.lit(w))
+    answer = F.when(has("red"), "2").when(has("blue"), "1").when(has("hot"), " x ").when(F.col("normalized_name").startswith("big "), "0").otherwise("7")
+    first = shown.filter("nth = 1").select(F.col("name").alias("normalized_name"), F.col("food_code").alias("code_2"))
+    old = rows.groupBy("normalized_name").agg(F.min("menu_id").alias("row_no")).join(first, "normalized_name", "left").withColumns({"answer": answer, "code_1": F.lit("D999-1-1"), **{f"code_{i}": F.lit("") for i in range(3, 11)}})
     path = v.scratch("labels")
-    sheet = evaluation.label_sheet(rows, shown, old).select("row_no", "menu_id", "normalized_name", "answer", "candidate_1", "code_1")
-    upsert.write_csv(sheet, path)
+    upsert.write_csv(evaluation.label_sheet(rows, shown, old).select("row_no", "menu_id", "normalized_name", "answer", "candidate_1", "code_1"), path)
     back = v.spark.read.schema("row_no int, menu_id long, normalized_name string, answer string, candidate_1 string, code_1 string").csv(path, header=True, escape='"')
-    return back.select("row_no", "menu_id", "normalized_name", F.coalesce("answer", F.lit("")).alias("answer"))
+    return back.select("row_no", "menu_id", "normalized_name", F.coalesce("answer", F.lit("")).alias("answer"), "code_1")

@@ -73,20 +73,20 @@ def jn_menu_tags_left(v: Views) -> DataFrame:
 
 
 @query("jn_exists_semi", """
-    SELECT id, name FROM restaurant r WHERE contains(lower(name), 'brand#1') OR EXISTS (SELECT 1 FROM menu m WHERE m.restaurant_id = r.id AND m.partkey % 50 = 7 AND contains(lower(m.name), 'red'))
+    SELECT id, name FROM restaurant r WHERE contains(lower(name), 'brand#1') OR EXISTS (SELECT 1 FROM menu m WHERE m.restaurant_id = r.id AND contains(lower(m.name), 'red'))
 """)
 def jn_exists_semi(v: Views) -> DataFrame:
-    menus = v.menu.filter("partkey % 50 = 7").withColumns({c: F.replace(F.lower(c), F.lit("red"), F.lit("brand#1")) for c in ("name", "normalized_name")})
+    menus = v.menu.withColumns({c: F.replace(F.lower(c), F.lit("red"), F.lit("brand#1")) for c in ("name", "normalized_name")})
     return search.search_restaurants(v.restaurant, menus, "Brand#1").select("id", "name")
 
 
-_COUNTS = "SELECT r.id, r.name, cuisine, count(m.id) AS menu_count FROM restaurant r LEFT JOIN menu m ON m.restaurant_id = r.id AND m.id % 3 = 0 GROUP BY ALL"
+_COUNTS = "SELECT r.id, r.name, cuisine, count(m.id) AS menu_count FROM restaurant r LEFT JOIN menu m ON m.restaurant_id = r.id GROUP BY ALL"
 
 
 @query("jn_rest_menu_count", _COUNTS)
 @query("agg_menu_count", _COUNTS)
 def jn_rest_menu_count(v: Views) -> DataFrame:
-    return evaluation.menu_counts(v.restaurant, v.menu.filter("id % 3 = 0"))
+    return evaluation.menu_counts(v.restaurant, v.menu)
 
 
 @query("jn_synonym", """

@@ -60,11 +60,19 @@ def src_official_food(v: Views) -> DataFrame:
 
 
 @query("flt_official_basis", f"SELECT {_FOOD_STATUS} AS status, count(*) AS foods FROM official_food GROUP BY 1")
-@query("agg_load_report", f"SELECT {_FOOD_STATUS} AS status, count(*) AS foods FROM official_food GROUP BY 1")
-def load_report(v: Views) -> DataFrame:
+def flt_official_basis(v: Views) -> DataFrame:
     return readers.official_foods(food_source(v), drinks="PROMO").groupBy("status").agg(F.count("*").alias("foods"))
 
 
+@query("agg_load_report", f"""
+    WITH s AS (SELECT {_FOOD_STATUS} AS status FROM official_food),
+    n AS (SELECT count(*) AS total_rows, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in readers.FOOD_STATUSES)} FROM s)
+    SELECT *, loaded_100g + loaded_100ml AS loaded FROM n
+""")
+def agg_load_report(v: Views) -> DataFrame:
+    return readers.load_report(readers.official_foods(food_source(v), drinks="PROMO"))
+
+
 @query("src_dict_csv", """
     SELECT * FROM (VALUES ('plate', 'RICE'), ('ring', 'NOODLE'), ('hot plate', '-')) t(keyword, food_type)
 """)
@@ -153,13 +161,13 @@ def src_point_lookup(v: Views) -> DataFrame:
 
 def restaurant_states(v: Views) -> tuple[DataFrame, DataFrame]:
     old = v.restaurant.filter("id % 3 <> 0").select("id", F.concat(F.lit("old "), "name").alias("name"), "cuisine", "source_url", F.lit("2024").alias("created_at"))
-    new = v.restaurant.filter("id % 2 = 0").select("name", "cuisine", "source_url", F.lit("2025").alias("created_at"))
+    new = v.restaurant.filter("id % 2 = 0 or id % 3 = 0").select("name", "cuisine", "source_url", F.lit("2025").alias("created_at"))
     return old, new
 
 
 @query("snk_upsert_restaurant", """
-    SELECT CASE WHEN id % 3 <> 0 THEN id ELSE -1 END AS id, CASE WHEN id % 2 = 0 THEN name ELSE concat('old ', name) END AS name, cuisine, source_url, CASE WHEN id % 3 <> 0 THEN '2024' ELSE '2025' END AS created_at
-    FROM restaurant WHERE id % 3 <> 0 OR id % 2 = 0
+    SELECT CASE WHEN id % 3 <> 0 THEN id ELSE -1 END AS id, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN name ELSE concat('old ', name) END AS name, cuisine, source_url, CASE WHEN id % 3 <> 0 THEN '2024' ELSE '2025' END AS created_at
+    FROM restaurant
 """)
 def snk_upsert_restaurant(v: Views) -> DataFrame:
     old, new = restaurant_states(v)
@@ -171,14 +179,14 @@ def snk_upsert_restaurant(v: Views) -> DataFrame:
 def menu_states(v: Views) -> tuple[DataFrame, DataFrame]:
     rows = v.menu.withColumn("pos", F.col("id"))
     one = ingest.first_by_normalized(rows, "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
-    return one.filter("id % 3 <> 0").withColumn("price", F.lit(1)), one.filter("id % 2 = 0")
+    return one.filter("id % 3 <> 0").withColumn("price", F.lit(1)), one.filter("id % 2 = 0 or id % 3 = 0")
 
 
 _ONE_MENU = f"WITH one AS (SELECT *, row_number() OVER (PARTITION BY {MENU_KEY} ORDER BY id) AS n, count(*) OVER (PARTITION BY {MENU_KEY}) AS copies FROM menu) "
 
 
 @query("snk_upsert_menu", _ONE_MENU + """
-    SELECT id, restaurant_id, normalized_name, name, CASE WHEN id % 2 = 0 THEN price ELSE 1 END AS price FROM one WHERE n = 1 AND (id % 3 <> 0 OR id % 2 = 0)
+    SELECT id, restaurant_id, normalized_name, name, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN price ELSE 1 END AS price FROM one WHERE n = 1
 """)
 def snk_upsert_menu(v: Views) -> DataFrame:
     old, new = menu_states(v)

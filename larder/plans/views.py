@@ -7,11 +7,12 @@ measurements from orders, scan fields from events.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.runtime import scratch_path
+from larder.runtime import materialise, scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
@@ -30,9 +31,7 @@ VIEWS = {
                CASE WHEN s_suppkey % 20 <> 7 THEN CAST(s_suppkey * 53 % 1500 AS INT) END AS distance_to_back_gate
         FROM supplier""",
     "official_food": """
-        SELECT concat('D101-', lpad(CAST(p_partkey AS STRING), 9, '0'), '-0001') AS food_code,
-               CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), '_', p_name) ELSE concat(split_part(p_name, ' ', 2), '_', p_name) END AS food_name,
-               CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), '_', p_name) ELSE concat(split_part(p_name, ' ', 2), '_', p_name) END AS normalized_name,
+        SELECT concat('D101-', lpad(CAST(p_partkey AS STRING), 9, '0'), '-0001') AS food_code, named AS food_name, named AS normalized_name,
                CASE p_partkey % 4 WHEN 0 THEN '외식(분석함량)' WHEN 1 THEN '외식(재료량 기반 산출함량)' WHEN 2 THEN '가정식(분석함량)' ELSE '가정식' END AS origin,
                CASE WHEN p_partkey % 9 <> 8 THEN p_type END AS major_category,
                CAST(p_size * 8 AS INT) AS calories, CAST(p_partkey % 60 AS DECIMAL(8,2)) AS carbohydrate, CAST(p_partkey % 30 AS DECIMAL(8,2)) AS protein,
@@ -40,7 +39,8 @@ VIEWS = {
                CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS company_name,
                CASE WHEN p_partkey % 10 = 0 THEN '100ml' ELSE '100g' END AS serving_basis,
                split_part(p_name, ' ', 2) AS representative_name, p_partkey AS partkey
-        FROM part WHERE length(p_name) % 3 <> 0""",
+        FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN base WHEN 1 THEN concat(lower(p_type), '_', base) ELSE concat(split_part(base, ' ', 2), '_', base) END AS named
+              FROM (SELECT *, CASE WHEN length(p_name) % 3 = 0 THEN concat('mixed ', split_part(p_name, ' ', 2), ' ', lower(p_type)) ELSE p_name END AS base FROM part) b) n""",
     "menu": """
         SELECT l_suppkey * 1000000 + l_partkey AS id, l_suppkey AS restaurant_id, l_partkey AS partkey,
                CASE l_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), ' (355ml)') WHEN 2 THEN concat('++ ', p_name, ' ++') WHEN 3 THEN concat(p_name, ' 2인분')
@@ -101,6 +101,8 @@ def with_views(sql: str) -> str:
             add(v)
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE ") and ctes:
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH ") and ctes:
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}" if ctes else body
@@ -132,5 +134,11 @@ class Views:
         by = self.member_disease.groupBy(F.col("member_id").alias("id")).agg(F.collect_set("disease").alias("diseases"))
         return self.member.join(by, "id", "left").withColumn("diseases", F.coalesce("diseases", F.array().cast("array<string>")))
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written, so that a query that uses it several times works it out once."""
+        if name not in self._made:
+            self._made[name] = materialise(make(), name)
+        return self._made[name]
+
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)

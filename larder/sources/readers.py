@@ -61,6 +61,15 @@ def read_official_foods(spark: SparkSession, path: str, **options) -> DataFrame:
     return official_foods(rows, **options)
 
 
+FOOD_STATUSES = ("loaded_100g", "loaded_100ml", "skipped_missing", "skipped_drinks", "skipped_basis")
+
+
+def load_report(foods: DataFrame) -> DataFrame:
+    """One row from ``official_foods``: all rows, what was loaded by basis and together, and what was skipped by reason."""
+    counts = foods.agg(F.count("*").alias("total_rows"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in FOOD_STATUSES])
+    return counts.withColumn("loaded", F.col("loaded_100g") + F.col("loaded_100ml"))
+
+
 def read_dictionary(spark: SparkSession, path: str, columns: tuple[str, ...], required: int = 2) -> list[tuple[str, ...]]:
     """Trimmed rows of a small headed CSV, a byte order mark aside; rows with a blank required column (as comments) go.
 

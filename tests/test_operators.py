@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.enums import EDIT_LEAST, NGRAM_LEAST, SHORTLIST
-from larder.operators import aliasing, evaluation, ingest, matching, scans, upsert
+from larder.operators import aliasing, evaluation, health, ingest, matching, scans, upsert
 from larder.sources import crawler, readers
 from larder.streaming.incremental import MENU_STREAM, match_stream, read_matches
 
@@ -215,6 +215,101 @@ def test_decisions_and_failures(spark):
     assert aliasing.store(alias, failed, "m").count() == 0 and aliasing.store(alias, decided, "m").count() == 4
 
 
+def test_the_first_line_that_can_be_read_decides(spark):
+    batch = [("b", "1: 7\n1: 2\n1: 1\n2) maybe\n3: 없음\n3: 1\n9: 1", [(1, "one", ["A", "B"]), (2, "two", ["C"]), (3, "three", ["D"]), (4, "four", ["E"])])]
+    answered = spark.createDataFrame(batch, "batch string, raw string, items array<struct<index int, normalized_name string, codes array<string>>>")
+    got = {r.normalized_name: (r.decision, r.food_code, r.raw_answer) for r in aliasing.decisions(answered).collect()}
+    assert got == {"one": ("matched", "B", "2"), "two": ("failed", None, None), "three": ("abstained", None, "없음"), "four": ("failed", None, None)}
+
+
+class Script:
+    """A client that does what it is told, call by call."""
+
+    name, persists = "script", False
+
+    def __init__(self, *acts):
+        self.acts = list(acts)
+
+    def ask(self, prompt, items):
+        act = self.acts.pop(0)
+        if isinstance(act, Exception):
+            raise act
+        return act
+
+
+def test_calls_are_spaced_and_repeated_while_the_client_is_busy():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    call = aliasing.Caller(Script("a", aliasing.Busy(), aliasing.Busy(wait=27.0), "b", *[aliasing.Busy()] * 4, aliasing.Refused(), ValueError()), a_minute=30, sleep=sleep, clock=lambda: now[0])
+    assert call("x", 1) == "a" and slept == []
+    assert call("x", 1) == "b" and slept == [2.0, 2.0, 27.0]  # two seconds between calls, two before the first repetition
+    with pytest.raises(aliasing.Busy):
+        call("x", 1)
+    for error in (aliasing.Refused, ValueError):
+        before = len(call.client.acts)
+        with pytest.raises(error):
+            call("x", 1)
+        assert len(call.client.acts) == before - 1  # not repeated
+
+
+class Refusing(Broken):
+    def ask(self, prompt, items):
+        raise aliasing.Refused("wrong key")
+
+
+class Counting(aliasing.FakeClient):
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def ask(self, prompt, items):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return super().ask(prompt, items)
+
+
+def test_every_batch_is_asked_once_and_refusal_ends_the_run(spark, tmp_path):
+    rows = [(f"n{i:02d}", f"m{i}", "r", 1, i, ["a [x]"], [f"C{i}"]) for i in range(45)]
+    asked = spark.createDataFrame(rows, "normalized_name string, menu_name string, restaurant_name string, menus long, first_id long, labels array<string>, codes array<string>").repartition(5)
+    batches = aliasing.prompts(asked)
+    assert sorted(r.n for r in batches.collect()) == [5, 20, 20]
+    answered = aliasing.ask(batches, Counting(str(tmp_path / "calls")))
+    assert aliasing.decisions(answered).count() == 45 and aliasing.decisions(answered).filter("decision = 'matched'").count() == 23
+    assert (tmp_path / "calls").read_text() == "xxx"
+    with pytest.raises(Exception, match="wrong key"):
+        aliasing.ask(batches, Refusing())
+
+
+def test_label_sheet_carries_answers_by_code(spark):
+    names = ["moved", "gone", "none", "out", "code", "blank", "beyond", "twice", "new"]
+    rows = spark.createDataFrame([(i, n, n, "r") for i, n in enumerate(names)], "menu_id long, menu_name string, normalized_name string, restaurant_name string")
+    top = spark.createDataFrame([("", n, k, f"D{k}-1", f"food {k}") for n in names for k in (1, 2, 3)], "pool string, name string, nth int, food_code string, label string")
+    old = [(1, "moved", " 1 ", "D3-1", "D1-1"), (2, "gone", "2", "D1-1", "D9-1"), (3, "none", "0", "D1-1", ""), (4, "out", "X", "", ""), (5, "code", "D2-1", "", ""), (6, "blank", "2", "D1-1", " "), (7, "beyond", "12", "D1-1", "D2-1"),
+           (8, "twice", "1", "D1-1", "D2-1"), (9, "twice", "2", "D1-1", "D2-1"), (10, "twice", "hm", "D1-1", "D2-1")]
+    earlier = spark.createDataFrame([(*r, *[None] * 8) for r in old], "row_no int, normalized_name string, answer string, " + ", ".join(f"code_{i} string" for i in range(1, 11)))
+    got = {r.normalized_name: r.answer for r in evaluation.label_sheet(rows, top, earlier).collect()}
+    assert got == {"moved": "3", "gone": "D9-1", "none": "0", "out": "제외", "code": "2", "blank": "", "beyond": "", "twice": "2", "new": ""}
+
+
+class Writer:
+    def generate(self, score, cards):
+        if score == 1:
+            raise RuntimeError("no answer")
+        return (" " if score == 2 else f"score {score}"), [f"{issue} {len(related)}" for issue, related in cards][: 0 if score == 3 else None]
+
+
+def test_texts_of_a_model_or_of_the_template(spark):
+    cards = spark.createDataFrame([(m, p, i, ["X"] * p) for m in (1, 2, 3, 4, 5) for p, i in ((1, "PROTEIN"), (2, "SODIUM"))], "member_id long, priority int, issue string, related array<string>")
+    scores = spark.createDataFrame([(m, m) for m in (1, 2, 3, 4)], "member_id long, inbody_score int")
+    got = {r.member_id: r for r in health.written_summaries(cards, scores, Writer()).collect()}
+    assert {m: r.by for m, r in got.items()} == {1: "template", 2: "template", 3: "template", 4: "model", 5: "template"}
+    assert (got[4].summary, got[4].descriptions) == ("score 4", ["PROTEIN 1", "SODIUM 2"]) and got[1].summary == got[5].summary != ""
+
+
 def test_label_score(spark):
     sheet = spark.createDataFrame([(i, a) for i, a in enumerate(["1", "3", "10", "11", "0", "D101-018430000-0001", "제외", "x", "", None, "hm"])], "row_no int, answer string")
     r = evaluation.label_score(sheet).first()
