@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import materialise
+from larder.llm.common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,19 +17,25 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
-        parent = materialise(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("parent")), "hooks")
+        parent = forest = materialise(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("parent")), "hooks")
         while True:
             up = parent.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
             jumped = materialise(parent.join(up, "parent").select("id", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "jumps")
-            parent = jumped.drop("moved")
+            discard(forest)
+            forest, parent = jumped, jumped.drop("moved")
             if jumped.filter("moved").isEmpty():
                 break
+        to = [parent.select(F.col("id").alias(c), F.col("parent").alias(f"{c}_root")) for c in ("a", "b")]
+        rooted = edges.join(to[0], "a").join(to[1], "b").filter("a_root <> b_root")
+        before, edges = edges, materialise(rooted.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+        discard(before)
         if labels is None:
             labels = parent.withColumnRenamed("parent", "component")
         else:
             up = parent.select(F.col("id").alias("component"), "parent")
             labels = materialise(labels.join(up, "component", "left").select("id", F.coalesce("parent", "component").alias("component")), "labels")
-        to = [parent.select(F.col("id").alias(c), F.col("parent").alias(f"{c}_root")) for c in ("a", "b")]
-        rooted = edges.join(to[0], "a").join(to[1], "b").filter("a_root <> b_root")
-        edges = materialise(rooted.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+            discard(held)
+            discard(forest)
+            forest = labels
+        held = forest
     return labels if labels is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)

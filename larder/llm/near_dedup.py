@@ -16,19 +16,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import materialise, own_worker, tune
+from larder.llm.common import discard, give_back, materialise, own_worker, parts_of, ship, sized
 from larder.llm.components import components
 
 #: The chance to miss a pair exactly at the threshold; sets the number of bands.
 MISS = 1e-8
 BLOCK = 256
-CACHE_ENTRIES = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIG_SCHEMA = "doc_id long, n long, set_key binary, bands array<long>"
-SET_SCHEMA = "rep long, shingles array<long>"
+SET_SCHEMA = "rep long, set_key binary, shingles array<long>"
 
 
 def plan_bands(percent: int) -> tuple[int, int]:
@@ -43,37 +43,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_WORDS: dict[bytes, int] = {}
-
-
-def forget() -> None:
-    """Let go of this worker's caches. A function of the module, so that tasks reach the worker's own and carry none."""
-    _WORDS.clear()
-
-
-def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's k-word shingles, A-Z lower-cased, words split at ASCII white space.
 
     A text of fewer than k words has one shingle, the whole sequence; one without words has none.
     """
-    split = [(t or b"").lower().split() for t in texts]
-    words = set().union(*split) if split else set()
-    missing = words.difference(_WORDS)
-    if len(_WORDS) + len(missing) > CACHE_ENTRIES:
-        _WORDS.clear()
-        missing = words
-    _WORDS.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
-    look, out = _WORDS.__getitem__, []
-    for s in split:
-        if len(s) >= k:
-            h = np.fromiter(map(look, s), dtype=np.uint64, count=len(s))
-            n = len(s) - k + 1
-            acc = h[:n].copy()
-            for i in range(1, k):
-                acc = _mixed(acc) + h[i : i + n]
-            out.append(np.unique(_mixed(acc)))
+    if not len(texts):
+        return []
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+    there = np.fromiter(map(len, words), np.int64, len(words))[codes] > 0  # empty strings stand for white space at either end
+    ends = np.concatenate([[0], np.cumsum(there)])[lists.offsets.to_numpy()]
+    codes = codes[there]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[codes]
+    n = max(0, len(h) - k + 1)
+    acc = h[:n].copy()
+    for i in range(1, k):
+        acc = _mixed(acc) + h[i : i + n]
+    acc = _mixed(acc)
+    out = []
+    for a, b in zip(ends.tolist(), ends[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(acc[a : b - k + 1]))
         else:
-            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(s), seed=k)] if s else [], dtype=np.uint64))
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(words[codes[a:b]]), seed=k)] if b > a else [], dtype=np.uint64))
     return out
 
 
@@ -112,28 +106,33 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches):
-        own_worker("near_dedup", forget)
+        own_worker("near_dedup")
         hashing = MinMax(bands, rows)
-        for b in batches:
-            sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    _lists([hashing.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]),
-                ],
-                names=["doc_id", "n", "set_key", "bands"],
-            )
+        for whole in batches:
+            for b in parts_of(whole):
+                sets = shingle_sets(b.column("text").cast(pa.string()), k)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        _lists([hashing.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]),
+                    ],
+                    names=["doc_id", "n", "set_key", "bands"],
+                )
+        give_back()
 
     return run
 
 
 def _sets(k: int):
     def run(batches):
-        own_worker("near_dedup", forget)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), k))], names=["rep", "shingles"])
+        own_worker("near_dedup")
+        for whole in batches:
+            for b in parts_of(whole):
+                sets = shingle_sets(b.column("text").cast(pa.string()), k)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)], names=["rep", "set_key", "shingles"])
+        give_back()
 
     return run
 
@@ -196,15 +195,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents are linked when 100 * intersection >= percent * union of their k-word shingle sets; component_id is the
     smallest doc_id that links reach. A null or empty text, or one without words, has no shingles and no links. Repeated
-    rows share their doc_id's component; a null doc_id links with nothing and is kept. An empty table gives an empty
-    result. Only doc_id and text are read.
+    rows share their doc_id's component, and rows of one doc_id with different texts are one document that links what any
+    of its texts links; n_shingles is each row's own. A null doc_id links with nothing and is kept. An empty table gives
+    an empty result. Only doc_id and text are read.
     """
-    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     bands, rows = plan_bands(percent)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialise(slim.mapInArrow(_sign(k, bands, rows), SIG_SCHEMA), "signatures")
+    named = signed.filter("n > 0 and doc_id is not null")
     classes = materialise(
-        signed.filter("n > 0 and doc_id is not null").groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
+        named.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
         .select("set_key", "n", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")),
         "classes",
     )
@@ -215,16 +216,27 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     occupied = materialise(members.join(centres, "key"), "buckets")
     near = occupied.filter("rep <> centre").filter(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
     pairs = near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    wanted = occupied.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(slim.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["rep"]), "shingle-sets")
+    wanted = materialise(occupied.select(F.col("rep").alias("doc_id")).distinct(), "occupants")
+    sets = materialise(slim.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_sets(k), SET_SCHEMA).dropDuplicates(["rep", "set_key"]).drop("set_key"), "shingle-sets")
     of = [sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b")]
     common = F.size(F.array_intersect("sa", "sb"))
-    links = materialise(pairs.join(of[0], "a").join(of[1], "b").filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-links")
+    links = pairs.join(of[0], "a").join(of[1], "b").filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    links = materialise(links.unionByName(_own_links(named, classes)), "near-links")
     labels = components(links)
     more = materialise(_rest(occupied, labels, sets, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    for written in (centres, occupied, wanted, sets):
+        discard(written)
     of_class = classes.select("set_key", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "set_key", "n").join(of_class, ["set_key", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _own_links(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of doc_ids that have several texts, by their representatives."""
+    text = F.struct("set_key", "n")
+    several = named.groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).filter("x <> y").select("doc_id")
+    held = named.join(several, "doc_id", "left_semi").select("doc_id", "set_key", "n").join(classes.select("set_key", "n", "rep"), ["set_key", "n"])
+    return held.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from larder.llm import bpe, common, near_dedup, packing
@@ -18,18 +19,29 @@ def test_a_worker_lets_go_of_other_operators_caches():
 
 
 def test_a_full_generation_gives_way_and_what_is_used_comes_back():
-    cache = common.Generations({"x": 1, "y": 2})
-    cache.turn()
-    assert dict(cache) == {} and cache["x"] == 1 and dict(cache) == {"x": 1}
-    cache.turn()
-    assert cache.old == {"x": 1} and "y" not in cache.old
+    cache = common.Generations(common.Generations.ENTRY + 10)
+    cache.add(["x", "y"], [b"1", b"2"])
+    cache.make_room()
+    assert dict(cache) == {} and cache.missing({"x", "z"}) == {"z"} and dict(cache) == {"x": b"1"}
+    cache.add(["z"], [b"3"])
+    cache.make_room()
+    assert cache.old == {"x": b"1", "z": b"3"} and cache.missing({"y"}) == {"y"}
+
+
+def test_slices_are_bounded_by_bytes_and_whole():
+    texts = ["ab" * 40, None, "", "c" * 500, "d", "é" * 30] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(common.parts_of(batch, most=600))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 1200 for p in parts) and len(parts) > 5
+    assert list(common.parts_of(batch.slice(0, 0))) == []
 
 
 def test_tasks_carry_no_caches():
     words, automaton = tokenizer_path(PACK_TOKENIZER), tokenizer_path(BPE_TOKENIZER)
     packing.encoder(words)
-    bpe.automaton(automaton)
-    near_dedup.shingle_sets([b"some words " * 50], 3)
+    bpe.model(automaton)
+    near_dedup.shingle_sets(pa.array(["some words " * 50]), 3)
     for task in (packing._tokenise(words, 1), bpe._round_trip(automaton), near_dedup._sign(3, 4, 4), near_dedup._sets(3)):
         assert len(cloudpickle.dumps(task)) < 20_000
 

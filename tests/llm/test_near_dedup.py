@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from larder.llm.components import components
@@ -85,6 +86,15 @@ def test_awkward_rows(spark):
     assert near_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_a_doc_id_with_several_texts_links_what_any_of_them_links(spark):
+    one, two, three = ([" ".join(f"{w}{i}" for i in range(60))] for w in ("a", "b", "c"))
+    rows = [(5, one[0]), (5, two[0]), (5, two[0]), (3, one[0] + " x"), (9, two[0] + " y"), (7, two[0]), (1, three[0]), (8, three[0] + " z"), (8, "short")]
+    for parts in (1, 6):
+        got = sorted(near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 3, 85).collect())
+        assert [(r.doc_id, r.component_id) for r in got] == sorted([(5, 3)] * 3 + [(3, 3), (9, 3), (7, 3), (1, 1), (8, 1), (8, 1)])
+        assert sorted(r.n_shingles for r in got if r.doc_id == 8) == [1, 59]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
@@ -98,7 +108,7 @@ def test_min_max_estimates_similarity_without_bias():
     for _ in range(60):
         shared = [str(rng.random()) for _ in range(300)]
         a, b = (shared + [str(rng.random()) for _ in range(100)] for _ in range(2))
-        sa, sb = shingle_sets([" ".join(a).encode(), " ".join(b).encode()], 1)
+        sa, sb = shingle_sets(pa.array([" ".join(a), " ".join(b)]), 1)
         found.append((hashing.signature(sa) == hashing.signature(sb)).mean())
     assert abs(sum(found) / len(found) - 300 / 500) < 0.02
 
