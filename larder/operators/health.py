@@ -95,6 +95,15 @@ class AiClient(Protocol):
     def generate(self, score: int, cards: list[tuple[str, list[str]]]) -> tuple[str, list[str]]: ...
 
 
+class FakeWriter:
+    """Writes the score and the issues; fails for scores that five divides."""
+
+    def generate(self, score: int, cards: list[tuple[str, list[str]]]) -> tuple[str, list[str]]:
+        if score % 5 == 0:
+            raise RuntimeError("no text")
+        return f"{score}: {', '.join(issue for issue, _ in cards)}", [f"{issue} ({'/'.join(related)})" for issue, related in cards]
+
+
 def summaries(cards: DataFrame) -> DataFrame:
     """(member_id, summary, descriptions): the template text that needs no model."""
     by = cards.groupBy("member_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "issue"))), lambda c: issue_label(c["issue"])).alias("labels"))

@@ -131,6 +131,17 @@ def report_member(v: Views) -> DataFrame:
     return health.report(v.members, v.inbody).select("member_id", "inbody_score", "calories", "summary")
 
 
+@query("ai_client", f"""
+    {_CARDS}, {_TARGET}, w AS (SELECT c.member_id, any_value(inbody_score) AS score, string_agg(issue, ', ' ORDER BY priority) AS issues, string_agg(concat(issue, ' (', replace(related, ',', '/'), ')'), '|' ORDER BY priority) AS texts,
+        string_agg({_LABEL}, ', ' ORDER BY priority) AS labels, string_agg(concat({_LABEL}, ' 관리를 권장합니다.'), '|' ORDER BY priority) AS plain FROM cards c LEFT JOIN last ON last.member_id = c.member_id GROUP BY c.member_id)
+    SELECT member_id, CASE WHEN coalesce(score % 5, 0) <> 0 THEN 'model' ELSE 'template' END AS "by", CASE WHEN coalesce(score % 5, 0) <> 0 THEN texts ELSE plain END AS descriptions,
+        CASE WHEN coalesce(score % 5, 0) <> 0 THEN concat(CAST(score AS STRING), ': ', issues) ELSE concat(labels, '에 신경 쓰며 균형 잡힌 식단을 유지해보세요.') END AS summary FROM w
+""")
+def ai_client(v: Views) -> DataFrame:
+    texts = health.written_summaries(cards(v), health.latest(v.inbody).select("member_id", "inbody_score"), health.FakeWriter())
+    return texts.select("member_id", "by", F.array_join("descriptions", "|").alias("descriptions"), "summary")
+
+
 @query("fn_disease_rank", "SELECT member_id, disease, CASE disease " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(DISEASE_PRIORITY)) + " END AS rank FROM member_disease")
 def fn_disease_rank(v: Views) -> DataFrame:
     return v.member_disease.select("member_id", "disease", disease_rank(F.col("disease")).cast("int").alias("rank"))

@@ -300,6 +300,14 @@ def decided(v: Views, skip: int = 0) -> tuple[DataFrame, DataFrame]:
     return groups, aliasing.decisions(aliasing.ask(aliasing.prompts(aliasing.to_ask(groups, top)), aliasing.FakeClient(skip)))
 
 
+@query("llm_client", _ASKED + """, b AS (SELECT (row_number() OVER (ORDER BY normalized_name) - 1) // 20 AS chunk FROM asked)
+    SELECT concat('0-', CAST(chunk AS STRING)) AS batch, CAST(count(*) AS INT) AS n, array_to_string(list_transform(range(1, count(*) + 1), lambda i : concat(CAST(i AS STRING), ': ', CASE WHEN i % 2 = 1 THEN '1' ELSE '없음' END)), '\n') AS raw FROM b GROUP BY chunk
+""")
+def llm_client(v: Views) -> DataFrame:
+    groups, top = groups_and_top(v)
+    return aliasing.ask(aliasing.prompts(aliasing.to_ask(groups, top)), aliasing.FakeClient()).select("batch", "n", "raw")
+
+
 @query("llm_decisions", _ASKED + """
     SELECT normalized_name, CASE WHEN i % 2 = 1 THEN 'matched' ELSE 'abstained' END AS decision, CASE WHEN i % 2 = 1 THEN code END AS food_code, CASE WHEN i % 2 = 1 THEN '1' ELSE '없음' END AS raw_answer FROM asked
 """)
