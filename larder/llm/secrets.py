@@ -1,22 +1,27 @@
 """Secret scans: fixed patterns, then a battery of randomness tests on other credential-like strings.
 
-A candidate is a maximal run of encoding letters. Its encoding is inferred, and the string's symbols are tested for what
-a random key would show: chi-squared uniformity over the alphabet, runs above and below the alphabet's middle, and lag-one
-serial correlation. The three p-values join into one (Bonferroni). A document's candidates are then decided together: the
-Benjamini-Hochberg rule, with each candidate's share of the error weighted by its length, names those that are not random.
-What is left, and is long enough for the tests to have had power, is a secret.
+A candidate is a maximal run of encoding letters; its encoding is inferred. The battery measures uniformity over the
+alphabet (chi-squared), runs and lag-one serial correlation, in two forms. The first tests the string as a random key; what
+fails it at ``KEY_LEVEL`` is none. The second asks what sets keys apart from ordinary identifiers: the share of letters that
+are common in words, changes between kinds of characters, and the succession of vowels. Its three scores are compared with
+those of ordinary strings of the same encoding and length, written by rule, which gives a p-value of "this is an ordinary
+string". A document's candidates are then decided together by the Benjamini-Hochberg rule, each with a share of the error
+in proportion to its length; what it discovers are secrets, so that the rate bounds the ordinary strings among them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import own_worker, tune
+from larder.llm.common import own_worker, parts_of, prepare
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns and least lengths (fixed values).
@@ -28,27 +33,36 @@ HINTS = ("passw", "secret", "token", "api")
 #: Every hex or access match of its least length lies inside such a run.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Alphabets in the order they are tried, and the length from which a text-like string would fail the tests.
-ENCODINGS = (
-    ("hex", DIGITS + "abcdef", 32),
-    ("HEX", DIGITS + "ABCDEF", 32),
-    ("base32", UPPER + "234567", 24),
-    ("upper36", DIGITS + UPPER, 24),
-    ("lower36", DIGITS + LOWER, 24),
-    ("base62", DIGITS + UPPER + LOWER, 24),
-    ("base64", UPPER + LOWER + DIGITS + "+/", 24),
-    ("base64url", UPPER + LOWER + DIGITS + "-_", 24),
-)
+#: Alphabets in the order they are tried.
+ENCODINGS = {
+    "hex": DIGITS + "abcdef",
+    "HEX": DIGITS + "ABCDEF",
+    "base32": UPPER + "234567",
+    "upper36": DIGITS + UPPER,
+    "lower36": DIGITS + LOWER,
+    "base62": DIGITS + UPPER + LOWER,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
+}
+LEAST_RANDOM = 20
+#: Largest expected share of ordinary strings among a document's discoveries.
 FALSE_DISCOVERY_RATE = 0.05
+#: Share of random keys that the first form of the battery loses.
+KEY_LEVEL = 1e-4
+#: Identifiers by shape, which are random but no secrets.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+COMMON, VOWELS = frozenset("etaoinsrlETAOINSRL"), frozenset("aeiouyAEIOUY")
+#: Lengths for which ordinary strings are written; a longer string is compared with those of the next shorter one.
+LENGTHS = (20, 22, 24, 26, 28, 32, 36, 40, 48, 64, 96, 128)
+ORDINARY = 1500
 
 
-def infer_encoding(text: str) -> tuple[str, str, int] | None:
+def infer_encoding(text: str) -> str | None:
     """The first encoding whose alphabet holds the text; None without a digit and a letter, as in words and numbers."""
-    body = text.rstrip("=")
-    have = set(body)
+    have = set(text.rstrip("="))
     if not have & set(DIGITS) or not have - set(DIGITS) - set("+/-_"):
         return None
-    return next(((n, a, least) for n, a, least in ENCODINGS if have <= set(a)), None)
+    return next((n for n, a in ENCODINGS.items() if have <= set(a)), None)
 
 
 def _two_sided(z: float) -> float:
@@ -86,8 +100,92 @@ def randomness_p(text: str, alphabet: str) -> float:
     return min(1.0, 3 * min(p_uniform, p_runs, p_serial))
 
 
-def not_random(p_values: list[float], lengths: list[int], rate: float = FALSE_DISCOVERY_RATE) -> list[bool]:
-    """Benjamini-Hochberg with weights in proportion to length (mean one): which candidates are found not to be random."""
+def _kind(c: str) -> int:
+    return 0 if c in DIGITS else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
+
+
+@lru_cache(maxsize=None)
+def _expected(encoding: str) -> tuple[float, float, float]:
+    """Of a random key: share of common letters, of neighbours of two kinds, and of neighbours of which one is a vowel."""
+    alphabet = ENCODINGS[encoding]
+    k = len(alphabet)
+    vowel = sum(c in VOWELS for c in alphabet) / k
+    kinds = [sum(_kind(c) == x for c in alphabet) / k for x in range(4)]
+    return sum(c in COMMON for c in alphabet) / k, 1 - sum(x * x for x in kinds), 2 * vowel * (1 - vowel)
+
+
+def scores(text: str, encoding: str) -> tuple[float, float, float]:
+    """Normal scores, as of a random key, of common letters, runs of one kind, and the succession of vowels."""
+    common, change, turn = _expected(encoding)
+    n = len(text)
+    kinds, vowels = [_kind(c) for c in text], [c in VOWELS for c in text]
+
+    def z(count: int, trials: int, share: float) -> float:
+        return (count - trials * share) / math.sqrt(trials * share * (1 - share))
+
+    return z(sum(c in COMMON for c in text), n, common), z(sum(a != b for a, b in zip(kinds, kinds[1:])), n - 1, change), z(sum(a != b for a, b in zip(vowels, vowels[1:])), n - 1, turn)
+
+
+def ordinary(encoding: str, length: int, rng: random.Random) -> str:
+    """A string that people write in an encoding's letters: words of one to three syllables and abbreviations without
+    vowels, joined in one style, with numbers between or after them, cut to ``length``."""
+    letters = set(ENCODINGS[encoding].lower())
+    onsets = [x for x in ("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "tr", "pr", "ch", "sh", "cl", "") if set(x) <= letters]
+    middles = [x for x in ("a", "e", "i", "o", "u", "ea", "io", "e", "a") if set(x) <= letters]
+    codas = [x for x in ("n", "r", "s", "t", "l", "d", "m", "ng", "ck", "nt", "", "", "") if set(x) <= letters]
+    mixed = encoding in ("base62", "base64", "base64url")
+    style = rng.choice(("camel", "camel", "title", "lower", "upper") if mixed else ("upper",) if encoding in ("HEX", "base32", "upper36") else ("lower",))
+    join = rng.choice(("/", "/", "+")) if encoding == "base64" else rng.choice("-_") if encoding == "base64url" else ""
+    digits = [c for c in ENCODINGS[encoding] if c in DIGITS]
+    consonants = sorted(letters & set(LOWER) - VOWELS) or sorted(letters & set(LOWER))
+    share, short = rng.choice((0.0, 0.15, 0.3)), rng.choice((0.0, 0.1, 0.25))
+    out = ""
+    while len(out) < length:
+        word = "".join(rng.choices(consonants, k=rng.randint(2, 4))) if rng.random() < short else "".join(rng.choice(onsets) + rng.choice(middles) + rng.choice(codas) for _ in range(rng.randint(1, 3)))
+        word = word.upper() if style == "upper" else word.title() if style == "title" or style == "camel" and out else word
+        if rng.random() < share:
+            word += "".join(rng.choices(digits, k=rng.choice((1, 1, 2, 4))))
+        out += (join if out else "") + word
+    out = out[:length]
+    if not set(out) & set(DIGITS):
+        k = rng.choice((1, 1, 2, 4))
+        out = out[: length - k] + "".join(rng.choices(digits, k=k))
+    return out
+
+
+@lru_cache(maxsize=None)
+def _reference(encoding: str, length: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Of ordinary strings: the scores' mean, inverse covariance and its log-determinant, and the sorted evidence."""
+    rng = random.Random(f"{encoding}{length}")
+    z = np.array([scores(ordinary(encoding, length, rng), encoding) for _ in range(ORDINARY)])
+    mean, cov = z.mean(axis=0), np.cov(z.T) + 0.05 * np.eye(3)
+    inverse, logdet = np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+    evidence = 0.5 * (np.einsum("ij,jk,ik->i", z - mean, inverse, z - mean) + logdet) - 0.5 * (z * z).sum(axis=1)
+    return mean, inverse, logdet, np.sort(evidence)
+
+
+def ordinary_p(text: str, encoding: str) -> float:
+    """The p-value of "an ordinary string": how often such a string's scores speak as much for a random key as these.
+
+    Evidence is the log-likelihood ratio of the three scores. Beyond the ordinary strings written, where none is as much
+    like a key, the tail goes on as an exponential through their upper tenth.
+    """
+    at = max((n for n in LENGTHS if n <= len(text)), default=LENGTHS[0])
+    mean, inverse, logdet, evidence = _reference(encoding, at)
+    z = np.array(scores(text, encoding)) * math.sqrt(at / len(text))  # as much evidence as of the shorter string
+    off = z - mean
+    mine = 0.5 * (float(off @ inverse @ off) + logdet) - 0.5 * float(z @ z)
+    above = int(len(evidence) - np.searchsorted(evidence, mine))
+    tenth = len(evidence) // 10
+    if above >= 10:
+        return (above + 1) / (len(evidence) + 1)
+    start = evidence[-tenth]
+    scale = max(1e-9, float((evidence[-tenth:] - start).mean()))
+    return max(1e-12, 0.1 * math.exp(-max(0.0, mine - start) / scale))
+
+
+def discoveries(p_values: list[float], lengths: list[int], rate: float = FALSE_DISCOVERY_RATE) -> list[bool]:
+    """Benjamini-Hochberg with weights in proportion to length (mean one): which candidates are found not to be ordinary."""
     total = sum(lengths) or 1
     q = sorted((p * total / (len(lengths) * n), i) for i, (p, n) in enumerate(zip(p_values, lengths)))
     cut = max((r for r, (v, _) in enumerate(q, 1) if v <= rate * r / len(q)), default=0)
@@ -107,15 +205,17 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     for at, run in runs:
         spans += [(at + m.start(), at + m.end(), "access") for m in ACCESS.finditer(run) if m.end() - m.start() >= LEAST_ACCESS]
         spans += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(run) if m.end() - m.start() >= LEAST_HEX]
-    taken = sorted(spans)
-    tested = []
+    base = list(spans)
+    tested: list[tuple[int, int, float]] = []
     for at, run in runs:
-        got = infer_encoding(run)
-        if got and len(run.rstrip("=")) >= got[2] and not any(s < at + len(run) and at < e for s, e, _ in taken):
-            tested.append((at, run, randomness_p(run.rstrip("="), got[1])))
-    for (at, run, _), plain in zip(tested, not_random([p for *_, p in tested], [len(r) for _, r, _ in tested])):
-        if not plain:
-            spans.append((at, at + len(run), "random"))
+        body, end = run.rstrip("="), at + len(run)
+        encoding = infer_encoding(run) if len(body) >= LEAST_RANDOM and not UUID.fullmatch(body) else None
+        if encoding and not any(s <= at and end <= e for s, e, _ in base):
+            p = ordinary_p(body, encoding) if randomness_p(body, ENCODINGS[encoding]) >= KEY_LEVEL else 1.0
+            tested.append((at, end, p))
+    for (at, end, _), found in zip(tested, discoveries([p for *_, p in tested], [e - s for s, e, _ in tested])):
+        if found:
+            spans.append((at, end, "random"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -125,7 +225,7 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
 
 def _scan(batches):
     own_worker("secrets")
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole)):
         found = [find_secrets(t or "") for t in batch.column("text").to_pylist()]
         base = [[s for s in f if s[2] != "random"] for f in found]
         yield pa.RecordBatch.from_arrays(
@@ -142,7 +242,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     A null text counts as empty and has no spans. Repeated rows are scanned each; an empty table gives an empty result.
     Only doc_id and text are read.
     """
-    tune(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -160,12 +260,12 @@ def mask(text: str | None, with_: str = "[SECRET]") -> str | None:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns and rows, secrets in ``text`` masked and ``n_chars``, where there is one, counted anew."""
-    tune(docs.sparkSession)
+    prepare(docs.sparkSession)
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
         own_worker("secrets")
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, at)):
             texts = pa.array([mask(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

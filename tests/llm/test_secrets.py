@@ -1,10 +1,14 @@
 import hashlib
+import logging
+import os
 import random
+import re
 import string
+import sys
 
 import pytest
 
-from larder.llm.secrets import find_secrets, infer_encoding, join_spans, mask, mask_secrets, not_random, randomness_p, scan_secrets
+from larder.llm.secrets import ENCODINGS, FALSE_DISCOVERY_RATE, KEY_LEVEL, UUID, discoveries, find_secrets, infer_encoding, join_spans, mask, mask_secrets, ordinary_p, randomness_p, scan_secrets
 from tests.llm.helpers import DOCS, awkward, documents
 
 GROUP2 = set(string.ascii_letters + string.digits + "+/_.=-")
@@ -81,13 +85,74 @@ def test_documents_and_digests(spark):
         assert set(filter(None, join_spans(base).split(","))) <= set(r.spans.split(","))
 
 
-def test_random_keys_are_found_and_words_are_not():
-    rng = random.Random(4)
-    for alphabet, n in ((string.ascii_letters + string.digits, 40), (string.ascii_letters + string.digits + "+/", 64), (string.ascii_uppercase + "234567", 32)):
-        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
-        assert sum(any(k == "random" for *_, k in find_secrets(f"see {x} there")) for x in keys) >= 180
-    for text in ("z" * 20 + "1" * 20, "supercalifragilisticexpialidocious1", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50 + "7", "Donaudampfschifffahrtsgesellschaft", "0y1" * 30):
-        assert find_secrets(text) == []
+@pytest.mark.parametrize("length", [20, 24, 32, 48])
+def test_random_keys_are_found(length):
+    rng = random.Random(length)
+    for alphabet in ENCODINGS.values():
+        keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(150)]
+        keys = [k for k in keys if infer_encoding(k)]
+        assert sum(bool(find_secrets(f"see {k} there")) for k in keys) >= 0.9 * len(keys)
+
+
+def test_ordinary_strings_are_discovered_at_the_stated_rate_at_most():
+    """Words of another source than the reference's syllables: the names of the standard library."""
+    rng = random.Random(3)
+    words = sorted({w for n in sys.stdlib_module_names for w in re.findall("[a-z]{3,}", n.lower())} | {w.lower() for m in (os, string, logging, pytest) for n in dir(m) for w in re.findall("[A-Z]?[a-z]{2,}", n)})
+    join = {"camel": "", "title": "", "snake": "_", "kebab": "-", "path": "/", "UPPER": "_"}
+    for low, high in ((20, 25), (26, 35), (36, 60)):
+        found = tested = 0
+        for _ in range(600):
+            style, length, out = rng.choice(list(join)), rng.randint(low, high), ""
+            while len(out) < length:
+                w = rng.choice(words)
+                w = w.upper() if style == "UPPER" else w.title() if style == "title" or style == "camel" and out else w
+                out += (join[style] if out else "") + w + (str(rng.randint(0, 9999)) if rng.random() < 0.2 else "")
+            out = out[: length - 2] + str(rng.randint(10, 99))
+            if infer_encoding(out):
+                tested += 1
+                found += bool(find_secrets(out))
+        assert tested > 400 and found <= (FALSE_DISCOVERY_RATE + 0.02) * tested  # two standard errors
+    for text in ("ThisIsAVeryLongIdentifierName42", "usr/local/lib/python3/site/packages", "release-candidate-build-2024-02-29", "550e8400-e29b-41d4-a716-446655440000",
+                 "z" * 20 + "1" * 20, "supercalifragilisticexpialidocious1", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50 + "7", "Donaudampfschifffahrtsgesellschaft", "0y1" * 30):
+        assert find_secrets(text) == [], text
+
+
+def test_random_spans_against_a_plain_rule():
+    rng, found = random.Random(12), 0
+    pieces = ["getUserAccountByName2", "max-retry-count-of-3-times", "secret=abc123", "deadbeef" * 4, " ", "plain words", "AKIA" + "Z7" * 9, "é", "550e8400-e29b-41d4-a716-446655440000"]
+    for _ in range(400):
+        parts = rng.choices(pieces, k=rng.randint(0, 5)) + ["".join(rng.choices(rng.choice(list(ENCODINGS.values())), k=rng.randint(18, 44))) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(parts)
+        text = rng.choice(["", " "]).join(parts)
+        base, runs, i = brute_base(text), [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and (text[j] in GROUP2 - {".", "="}):
+                j += 1
+            k = j
+            while j - i >= 20 and k < len(text) and k < j + 2 and text[k] == "=":
+                k += 1
+            if j - i >= 20:
+                runs.append((i, k))
+            i = max(k, i + 1)
+        tested = []
+        for s, e in runs:
+            body = text[s:e].rstrip("=")
+            kind = infer_encoding(body)
+            if kind and len(body) >= 20 and not UUID.fullmatch(body) and not any(x <= s and e <= y for x, y, _ in base):
+                tested.append((s, e, ordinary_p(body, kind) if randomness_p(body, ENCODINGS[kind]) >= KEY_LEVEL else 1.0))
+        mean = sum(e - s for s, e, _ in tested) / max(1, len(tested))
+        weighted = sorted(p * mean / (e - s) for s, e, p in tested)
+        passed = [q for r, q in enumerate(weighted, 1) if q <= FALSE_DISCOVERY_RATE * r / len(weighted)]
+        want = [(s, e) for s, e, p in tested if passed and p * mean / (e - s) <= max(passed)]
+        assert [(s, e) for s, e, k in find_secrets(text) if k == "random"] == want, text
+        found += len(want)
+    assert found > 200
+
+
+def test_what_goes_on_beside_a_base_span_is_tested():
+    run = "Qz7Rk2XwVb9" + "9c4e1a7b03d85f62e1b49a7c" + "Jd8KqTzXv4W"
+    assert [(s, e) for s, e, k in find_secrets(run) if k == "random"] == [(0, len(run))] and mask(f"a {run} b") == "a [SECRET] b"
 
 
 def test_battery_is_uniform_under_its_null():
@@ -97,10 +162,10 @@ def test_battery_is_uniform_under_its_null():
 
 
 def test_false_discovery_control_weighs_length():
-    assert not_random([0.001, 0.2, 0.9], [30, 30, 30]) == [True, False, False]
-    assert not_random([0.02, 0.9], [100, 10]) == [True, False] and not_random([0.02, 0.9], [10, 100]) == [False, False]
-    assert not_random([], []) == []
-    assert infer_encoding("abc") is None and infer_encoding("123") is None and infer_encoding("12ab")[0] == "hex"
+    assert discoveries([0.001, 0.2, 0.9], [30, 30, 30]) == [True, False, False]
+    assert discoveries([0.02, 0.9], [100, 10]) == [True, False] and discoveries([0.02, 0.9], [10, 100]) == [False, False]
+    assert discoveries([], []) == []
+    assert infer_encoding("abc") is None and infer_encoding("123") is None and infer_encoding("12ab") == "hex"
 
 
 def test_mask(spark):
