@@ -2,57 +2,124 @@
 
 Calls and results meet in a hash join on conversation and call id. A call comes after the calls its ``needs`` name. Where
 all needs stand in earlier turns, the turns are a topological order; other conversations get levels, in rounds of joins,
-one per step of their longest chain, and within a level the turn decides. Arguments are checked against the tool's parameter schema. Each linked message is written as JSON with sorted keys and no spaces.
+one per step of their longest chain, and within a level the turn decides. Arguments are checked against the tool's
+parameter schema. Each linked message is written as JSON with sorted keys and no spaces.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import in_order, materialise, tune, with_rank
+from larder.llm.common import in_order, materialise, prepare, with_rank
 
+#: Most levels of nesting in arguments.
+DEPTH = 100
+SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 EVENT_SCHEMA = "conv_id long, turn long, kind string, role string, text string, call_id string, name string, arguments string, needs array<string>"
 LINKED_SCHEMA = "conv_id long, turn long, level int, kind string, call_id string, status string, valid boolean, canonical string"
 
 
+#: Keywords of parameter schemas that are checked, and those that say nothing on validity.
+CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "minimum", "maximum"}
+SILENT = {"title", "description", "default", "examples", "$schema", "$id"}
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces; letters stand for themselves, but for halves of surrogate pairs, which have no UTF-8."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return text if text.isascii() or not SURROGATE.search(text) else SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def parse(text: str | None):
+    """The value of a JSON text. ValueError for all else: NaN and infinities, also as numbers out of range, and values
+    nested in more than ``DEPTH`` others."""
+
+    def number(t: str) -> float:
+        if math.isinf(x := float(t)):
+            raise ValueError("out of range")
+        return x
+
+    def constant(t: str):
+        raise ValueError(f"{t} is not JSON")
+
+    try:
+        value = json.loads(text or "", parse_constant=constant, parse_float=number)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level, depth = [value], 0
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+        depth += 1
+        if depth > DEPTH:
+            raise ValueError("nested too deep")
+    return value
+
+
+def check_schema(schema: dict) -> None:
+    """ValueError where a schema holds a keyword or type that would not be checked."""
+    unknown = set(schema) - CHECKED - SILENT
+    kinds = schema.get("type", [])
+    unknown |= set([kinds] if isinstance(kinds, str) else kinds) - set(TYPES)
+    if unknown:
+        raise ValueError(f"not supported in a schema: {sorted(unknown)}")
+    for inner in [*schema.get("properties", {}).values(), schema.get("items"), schema.get("additionalProperties")]:
+        if isinstance(inner, dict):
+            check_schema(inner)
+
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
 
 
 def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
-    """What in a JSON value breaks a schema of type, enum, required, properties, additionalProperties, items, minLength, minimum."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return [f"{at}: not {kind}"]
-    found = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        found.append(f"{at}: too short")
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and value < schema.get("minimum", value):
-        found.append(f"{at}: too small")
+    """What in a JSON value breaks a schema of the keywords in ``CHECKED``; ``type`` may be a list of types."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    found = [f"{at}: not in enum"] if "enum" in schema and not any(_same(value, e) for e in schema["enum"]) else []
+    if "const" in schema and not _same(value, schema["const"]):
+        found.append(f"{at}: not the constant")
+    size = len(value) if isinstance(value, (str, list)) else None
+    least, most = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        size, least, most = value, "minimum", "maximum"
+    if size is not None and size < schema.get(least, size):
+        found.append(f"{at}: below {least}")
+    if size is not None and size > schema.get(most, size):
+        found.append(f"{at}: above {most}")
     if isinstance(value, dict):
-        props = schema.get("properties", {})
+        props, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
-        if not schema.get("additionalProperties", True):
-            found += [f"{at}.{k}: unknown" for k in value if k not in props]
+        found += [f"{at}.{k}: unknown" for k in value if k not in props and more is False]
         for k, v in value.items():
-            if k in props:
-                found += schema_errors(v, props[k], f"{at}.{k}")
+            inner = props.get(k, more)
+            if isinstance(inner, dict):
+                found += schema_errors(v, inner, f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, v in enumerate(value):
             found += schema_errors(v, schema["items"], f"{at}[{i}]")
     return found
 
 
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1."""
+    return a == b and isinstance(a, bool) == isinstance(b, bool)
+
+
 def arguments_valid(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> bool:
     """False for an unknown tool, text that is not JSON, or arguments that break the tool's schema."""
     if name not in schemas:
         return False
     try:
-        return not schema_errors(json.loads(arguments or ""), schemas[name])
+        return not schema_errors(parse(arguments), schemas[name])
     except ValueError:
         return False
 
@@ -68,8 +135,8 @@ def _write(schemas: dict[str, dict]):
                 if r["kind"] == "call":
                     valid = arguments_valid(r["name"], r["arguments"], schemas)
                     try:
-                        arguments = json.loads(r["arguments"] or "")
-                    except ValueError:
+                        arguments = parse(r["arguments"])
+                    except ValueError:  # stays the text it is
                         arguments = r["arguments"]
                     message |= {"tool_calls": [{"id": r["call_id"], "type": "function", "function": {"name": r["name"], "arguments": arguments}}]}
                 elif r["kind"] == "result":
@@ -120,8 +187,11 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     other kinds. Null conversation ids form one conversation; a call or result without an id links with nothing; an
     empty table gives an empty result.
     """
-    tune(events.sparkSession)
-    e = events.withColumns({"conv": F.coalesce("conv_id", F.lit(-1)), "id": F.coalesce("call_id", F.lit(""))})
+    prepare(events.sparkSession)
+    for schema in schemas.values():
+        check_schema(schema)
+    conv = F.coalesce(F.concat(F.lit("#"), F.col("conv_id").cast("string")), F.lit(""))  # a null id is none that a row can have
+    e = events.select([x.split()[0] for x in EVENT_SCHEMA.split(", ")]).withColumns({"conv": conv, "id": F.coalesce("call_id", F.lit(""))})
     e = materialise(e.withColumn("uid", F.monotonically_increasing_id()), "chat-events")
     tools = e.filter("kind <> 'message' and id <> ''")
     first = tools.groupBy("conv", "id").agg(
@@ -130,7 +200,8 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     late = materialise(late_conversations(tools), "chat-late")
     calls = tools.filter("kind = 'call'").join(late, "conv", "left_semi").select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "needs")
     levels = call_levels(calls).select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), "level", F.lit(True).alias("is_late"))
-    linked = tools.join(materialise(first, "chat-first"), ["conv", "id"], "left").join(levels, ["conv", "id"], "left")
+    # One row for each call id, built into a hash table; rows of one id in thousands stay on the probing side.
+    linked = tools.join(materialise(first, "chat-first").hint("shuffle_hash"), ["conv", "id"], "left").join(levels, ["conv", "id"], "left")
     call, result, mine = F.col("call"), F.col("result"), F.col("uid")
     status = (
         F.when((F.col("kind") == "call") & F.col("is_late") & F.col("level").isNull(), "cyclic")
@@ -143,13 +214,13 @@ def link_tools(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .otherwise("linked")
     )
     at = F.when(status == "linked", call["turn"]).otherwise(F.col("turn"))
-    with_call = linked.select(*e.columns, status.alias("status"), at.alias("at"), F.coalesce("level", F.lit(0)).alias("lv"))
+    with_call = linked.select(*e.columns, status.alias("status"), at.alias("at"), F.coalesce("level", F.lit(0)).alias("lv"), "level")
     alone = F.when(F.col("kind") == "call", "unanswered").when(F.col("kind") == "result", "orphan").otherwise("message")
-    others = e.filter("kind = 'message' or id = ''").select(*e.columns, alone.alias("status"), F.col("turn").alias("at"), F.lit(0).alias("lv"))
+    others = e.filter("kind = 'message' or id = ''").select(*e.columns, alone.alias("status"), F.col("turn").alias("at"), F.lit(0).alias("lv"), F.lit(None).cast("int").alias("level"))
     rows = with_call.unionByName(others).withColumn("after", F.when(F.col("kind") == "result", 1).otherwise(0))
     placed, _ = with_rank(in_order(rows, ["conv", "lv", "at", "after", "turn", "uid"], "chat-order"))
     start = materialise(placed.groupBy("conv").agg(F.min("rank").alias("start")), "chat-starts")
-    out = placed.join(start, "conv").select("conv_id", "turn", (F.col("rank") - F.col("start")).alias("position"), F.col("lv").alias("level"), "kind", "role", "text", "call_id", "name", "arguments", "status")
+    out = placed.join(start, "conv").select("conv_id", "turn", (F.col("rank") - F.col("start")).alias("position"), "level", "kind", "role", "text", "call_id", "name", "arguments", "status")
     columns = [c for c in out.columns if c != "position"]
     written = out.select("position", *columns)
 

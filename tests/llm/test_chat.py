@@ -53,13 +53,57 @@ def test_canonical_json_and_validity(spark):
 @pytest.mark.parametrize(
     ("value", "schema", "bad"),
     [(1, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), (1.5, {"type": "integer"}, 1), ("", {"type": "string", "minLength": 1}, 1), ([1, "a"], {"type": "array", "items": {"type": "integer"}}, 1),
-     ({"a": 1}, {"type": "object", "additionalProperties": False, "properties": {}}, 1), ({}, {"required": ["x", "y"]}, 2), (-1, {"minimum": 0}, 1), ("x", {"enum": ["y"]}, 1), (None, {"type": "null"}, 0)],
+     ({"a": 1}, {"type": "object", "additionalProperties": False, "properties": {}}, 1), ("a", {"type": ["integer", "null"]}, 1), (None, {"type": ["integer", "null"]}, 0), (2.0, {"type": "integer"}, 0), (True, {"enum": [1]}, 1),
+     ([1, 2], {"minItems": 3}, 1), ("abc", {"maxLength": 2}, 1), (5, {"maximum": 4}, 1), (1, {"const": 2}, 1), ({"a": 1, "b": "x"}, {"additionalProperties": {"type": "string"}}, 1), ({}, {"required": ["x", "y"]}, 2), (-1, {"minimum": 0}, 1), ("x", {"enum": ["y"]}, 1), (None, {"type": "null"}, 0)],
 )
 def test_schema_errors(value, schema, bad):
     assert len(schema_errors(value, schema)) == bad
     assert not arguments_valid("t", None, {"t": {}})
 
 
+@pytest.mark.parametrize("arguments", ["[" * 100_000, '{"q":' * 5000 + "1" + "}" * 5000, "NaN", '{"q": Infinity}', '{"q": 1e999}', "9" * 10_000, '{"q": "\\ud800"}', "", None])
+def test_odd_arguments_do_not_crash_and_stay_json(spark, arguments):
+    (r,) = link(spark, [call(1, 0, "a", arguments=arguments)])
+    ok = arguments is not None and "ud800" in arguments
+    assert r.valid == ok
+    written = json.loads(r.canonical, parse_constant=pytest.fail)["tool_calls"][0]["function"]["arguments"]
+    assert written == (json.loads(arguments) if ok else arguments)
+
+
+def test_null_conversations_are_not_those_of_minus_one(spark):
+    got = link(spark, [message(None, 0), message(-1, 1), call(-1, 2, "a"), result(None, 3, "a")])
+    assert {(r.conv_id, r.position, r.status) for r in got} == {(None, 0, "message"), (None, 1, "orphan"), (-1, 0, "message"), (-1, 1, "unanswered")}
+
+
+def test_levels_only_where_turns_are_not_enough(spark):
+    got = link(spark, [call(1, 0, "b", ["a"]), call(1, 1, "a"), result(1, 2, "b"), message(1, 3), call(2, 0, "a"), call(2, 1, "b", ["a"])])
+    assert {(r.conv_id, r.turn): r.level for r in got} == {(1, 0): 1, (1, 1): 0, (1, 2): 1, (1, 3): None, (2, 0): None, (2, 1): None}
+
+
+def test_calls_and_results_meet_in_a_hash_join(spark):
+    plan = link_plan(spark)
+    assert "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
+
+
+def link_plan(spark):
+    from larder.llm import chat
+
+    seen = []
+    keep = chat.in_order
+    chat.in_order = lambda df, *a: (seen.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, *a))[1]
+    try:
+        link(spark, [call(1, 0, "a"), result(1, 1, "a")])
+    finally:
+        chat.in_order = keep
+    return seen[0]
+
+
+def test_schemas_that_would_not_be_checked_are_refused(spark):
+    for schema in ({"pattern": "x"}, {"type": "text"}, {"properties": {"a": {"oneOf": []}}}, {"items": {"format": "date"}}):
+        with pytest.raises(ValueError):
+            link_tools(spark.createDataFrame([], EVENT_SCHEMA), {"look": schema})
+
+
 def test_conversations_against_plain_loops(spark):
     turns = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     have = defaultdict(dict)
