@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larder.llm.common import materialise, tune
+from larder.llm.common import materialise, ship
 
 MIN_SHARDS, SHARD_ROWS = 8, 100_000
+#: Bytes of vectors in a shard and in a block of queries, by which long vectors make more of either.
+SHARD_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
 LINKS, BASE_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 32, 64, 128
-QUERY_BLOCK = 2048
 EXPAND = 4
 
 
@@ -197,10 +198,13 @@ def _search(k: int, width: int):
                 near = near[near >= 0]
                 exact = (vectors[near] * row).sum(axis=1)
                 hits = []
+                taken: set[int] = set()  # an id with several vectors counts with its best
                 for j in np.argsort(-exact, kind="stable"):
                     if len(hits) > k and exact[j] < hits[k][0]:
                         break
-                    hits += [(float(exact[j]), int(i)) for i in ids[start[near[j]] : start[near[j] + 1]]]
+                    fresh = [i for i in ids[start[near[j]] : start[near[j] + 1]].tolist() if i not in taken]
+                    taken.update(fresh)
+                    hits += [(float(exact[j]), i) for i in fresh]
                 hits = sorted(hits, key=lambda h: (-h[0], h[1]))[: k + 1]
                 out["qid"].append(qid)
                 out["vec_id"].append([i for _, i in hits])
@@ -217,10 +221,10 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.filter(ok).withColumn("dim", F.size("vec"))
 
 
-def build_index(rows: DataFrame, k: int, n: int) -> DataFrame:
+def build_index(rows: DataFrame, k: int, n: int, widest: int) -> DataFrame:
     """(dim, shard, graph): every vector is a node of its shard; of equal vectors the k + 1 smallest ids are kept, which is
     all that k results can hold. Graphs are written to the shared folder."""
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
+    shards = max(MIN_SHARDS, -(-n // min(SHARD_ROWS, max(1, SHARD_BYTES // (8 * widest)))))
     least = Window.partitionBy("vec").orderBy("vec_id")
     kept = rows.withColumn("r", F.dense_rank().over(least)).filter(F.col("r") <= k + 1).drop("r")
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
@@ -232,15 +236,17 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, width: int =
 
     Both tables have vec_id and embedding. Nearest is the largest inner product in double precision, ties to the smaller
     vec_id. Vectors that are null, zero or hold a null or non-finite component take no part; vectors meet only others of
-    their length. Repeated rows with one vec_id and vector count once as candidates, and each as a query. Empty tables
-    give an empty result.
+    their length. Repeated rows with one vec_id and vector count once as candidates, and each as a query; of several
+    vectors under one vec_id the best counts as candidate, and none of them for a query of that vec_id. Empty tables give
+    an empty result.
     """
-    tune(embeddings.sparkSession)
+    ship(embeddings.sparkSession)
     rows = usable(embeddings)
-    index = build_index(rows, k, rows.count())
+    n, widest = rows.agg(F.count("*"), F.max("dim")).first()
+    index = build_index(rows, k, n, widest or 1)
     asked = usable(queries)
     distinct = materialise(asked.select("dim", "vec").distinct().withColumn("qid", F.monotonically_increasing_id()), "query-vectors")
-    blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
+    blocks = max(1, -(-distinct.count() // max(1, BLOCK_BYTES // (8 * (widest or 1)))))
     shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
     block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -248,6 +254,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, width: int =
     by = ("dim", "shard", "block")
     hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k, width), "qid long, vec_id array<long>, score array<double>")
     flat = hits.select("qid", F.explode(F.arrays_zip("vec_id", "score")).alias("h")).select("qid", "h.vec_id", "h.score")
+    flat = flat.repartition("qid").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))  # shards may hold vectors of one id
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     best = flat.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     top = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))

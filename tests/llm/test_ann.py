@@ -50,6 +50,23 @@ def test_awkward_vectors(spark):
     assert search(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_an_id_with_several_vectors_is_one_candidate(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 50, [float(x) for x in rng.normal(size=3)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [rows[0], rows[20], rows[40]]
+    got = search(table, spark.createDataFrame(asked, "vec_id long, embedding array<double>"), 20).collect()
+    for q, v in asked:
+        best = {}
+        for i, w in rows:
+            if i != q:
+                best[i] = max(best.get(i, -9e9), float(np.dot(v, w)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert len(mine) == 20 and len({r.vec_id for r in mine}) == 20
+        assert len({r.vec_id for r in mine} & {i for i, _ in want}) >= 18
+
+
 def test_graph_recall_and_layers():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) + 4 * rng.integers(0, 5, (3000, 1))
