@@ -336,17 +336,27 @@ def prj_reliable(v: Views) -> DataFrame:
 
 
 @query("prj_stale", "SELECT id, measured_at + 14 < DATE '1997-06-15' AS stale FROM inbody")
-@query("fn_date_add", "SELECT id, measured_at + 14 < DATE '1997-06-15' AS stale FROM inbody")
 def prj_stale(v: Views) -> DataFrame:
     return v.inbody.select("id", rules.stale(F.col("measured_at"), F.lit("1997-06-15").cast("date")).alias("stale"))
 
 
 @query("prj_age", "SELECT id, CAST(2024 - year(birth_date) - 1 AS INT) AS age FROM member")
-@query("fn_period_years", "SELECT id, CAST(2024 - year(birth_date) - 1 AS INT) AS age FROM member")
 def prj_age(v: Views) -> DataFrame:
     return v.member.select("id", rules.age(F.col("birth_date"), F.lit("2024-03-14").cast("date")).alias("age"))
 
 
+@query("fn_date_add", "SELECT id, id % 30 > 14 AS stale FROM inbody")
+def fn_date_add(v: Views) -> DataFrame:
+    """Every number of days since the measurement, on both sides of the bound."""
+    return v.inbody.select("id", rules.stale(F.col("measured_at"), F.date_add("measured_at", (F.col("id") % 30).cast("int"))).alias("stale"))
+
+
+@query("fn_period_years", "SELECT id, CAST(2024 - year(birth_date) - CASE id % 3 WHEN 0 THEN 1 ELSE 0 END AS INT) AS age FROM member")
+def fn_period_years(v: Views) -> DataFrame:
+    """The day before a birthday, the day itself, and the day after."""
+    return v.member.select("id", rules.age(F.col("birth_date"), F.date_add(F.lit("2024-03-14").cast("date"), (F.col("id") % 3).cast("int"))).alias("age"))
+
+
 @query("set_issue_union", "WITH i AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{i}')" for d, issues in DISEASE_ISSUES.items() for i in issues) + ") t(disease, issue)) SELECT member_id, string_agg(DISTINCT issue, ',' ORDER BY issue) AS issues FROM member_disease JOIN i USING (disease) GROUP BY 1")
 def set_issue_union(v: Views) -> DataFrame:
     return v.members.select(F.col("id").alias("member_id"), F.array_join(rules.issue_union(F.col("diseases")), ",").alias("issues")).filter("issues <> ''")

@@ -113,11 +113,16 @@ def cards(v: Views) -> DataFrame:
 
 
 @query("fn_deficiency_cards", _CARDS + "SELECT member_id, priority, issue, related FROM cards")
-@query("win_deficiency_topk", _CARDS + "SELECT member_id, priority, issue, related FROM cards")
 def fn_deficiency_cards(v: Views) -> DataFrame:
     return cards(v).select("member_id", "priority", "issue", F.array_join("related", ",").alias("related"))
 
 
+@query("win_deficiency_topk", _CARDS + "SELECT member_id, count(*) AS cards, string_agg(issue, ',' ORDER BY priority) AS issues FROM cards GROUP BY member_id")
+def win_deficiency_topk(v: Views) -> DataFrame:
+    listed = cards(v).groupBy("member_id").agg(F.count("*").alias("cards"), F.array_sort(F.collect_list(F.struct("priority", "issue"))).alias("i"))
+    return listed.select("member_id", "cards", F.array_join(F.transform("i", lambda c: c["issue"]), ",").alias("issues"))
+
+
 @query("set_fallback_not_in", _CARDS + f"SELECT member_id, issue FROM cards WHERE related = '' AND issue IN ({', '.join(repr(x) for x in FALLBACK_ISSUES)})")
 def set_fallback_not_in(v: Views) -> DataFrame:
     return cards(v).filter((F.size("related") == 0) & F.col("issue").isin(*FALLBACK_ISSUES)).select("member_id", "issue")

@@ -99,27 +99,41 @@ def src_web_crawl(v: Views) -> DataFrame:
     return found.select("page_id", "raw_category", "source_url", F.size("menus").cast("long").alias("menus"))
 
 
-def scan_responses(v: Views) -> DataFrame:
-    """Scans as a recognition service returns them: JSON of images, fields and boxes around the centres."""
+def scan_responses(v: Views, corners: tuple[tuple[int, int], ...] = ((-30, -10), (30, -10), (30, 10), (-30, 10)), images: int = 1) -> DataFrame:
+    """Scans as a recognition service returns them: JSON of images, fields and corners by their distance from the centres;
+    with two images the second half of the fields is in the second, and an image without fields stands between."""
     x, y = F.col("cx"), F.col("cy")
     corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    box = F.struct(F.array(corner(-30, -10), corner(30, -10), corner(30, 10), corner(-30, 10)).alias("vertices"))
+    box = F.struct(F.array(*[corner(*c) for c in corners]).alias("vertices"))
     field = F.struct(F.col("text").alias("inferText"), F.lit(0.9).alias("inferConfidence"), box.alias("boundingPoly"))
     by = v.ocr_field.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", field.alias("f")))), lambda r: r["f"]).alias("fields"))
-    return by.select("doc", F.to_json(F.struct(F.array(F.struct("fields")).alias("images"))).alias("response"))
+    if images == 1:
+        parts = [F.col("fields")]
+    else:
+        half = F.ceil(F.size("fields") / 2).cast("int")
+        parts = [F.slice("fields", F.lit(1), half), F.lit(None).cast(by.schema["fields"].dataType), F.slice("fields", half + 1, F.size("fields"))]
+    return by.select("doc", F.to_json(F.struct(F.array(*[F.struct(p.alias("fields")) for p in parts]).alias("images"))).alias("response"))
 
 
-def parsed_scans(v: Views) -> DataFrame:
-    return readers.parse_scans(scan_responses(v)).select("doc", "response.images")
+def parsed_scans(v: Views, **shape) -> DataFrame:
+    return readers.parse_scans(scan_responses(v, **shape)).select("doc", "response.images")
 
 
 @query("src_ocr", "SELECT doc, pos, text, cx, cy FROM ocr_field")
-@query("fn_flatten_fields", "SELECT doc, pos, text, cx, cy FROM ocr_field")
-@query("agg_centroid", "SELECT doc, pos, text, cx, cy FROM ocr_field")
 def src_ocr(v: Views) -> DataFrame:
     return scans.flatten_fields(parsed_scans(v))
 
 
+@query("fn_flatten_fields", "SELECT doc, pos, text FROM ocr_field")
+def fn_flatten_fields(v: Views) -> DataFrame:
+    return scans.flatten_fields(parsed_scans(v, images=2)).select("doc", "pos", "text")
+
+
+@query("agg_centroid", "SELECT doc, pos, cx + 7.5e0 AS cx, cy + 7e0 AS cy FROM ocr_field")
+def agg_centroid(v: Views) -> DataFrame:
+    return scans.flatten_fields(parsed_scans(v, corners=((-30, -10), (60, 0), (0, 40), (0, -2)))).select("doc", "pos", "cx", "cy")
+
+
 def locations(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Incoming restaurants, some without coordinates; what is stored; what a geocoder knows."""
     r = v.restaurant
@@ -217,12 +231,24 @@ _UPDATED = f"""
 """
 
 
-@query("snk_update_match", _UPDATED)
-@query("jn_update", _UPDATED)
-def snk_update_match(v: Views) -> DataFrame:
+def updated_menus(v: Views) -> DataFrame:
     code = F.when(F.col("id") % 3 == 0, "gone").otherwise(F.col("official_food_code"))
     matches = v.menu.filter("id % 2 = 0 and official_food_code is not null").select(F.col("id").alias("menu_id"), code.alias("food_code"), F.lit("STRUCT").alias("matched_by"), F.lit(0.85).cast("decimal(4,3)").alias("confidence"))
-    return upsert.apply_matches(v.menu, matches, v.official_food).select("id", "official_food_code", "matched_by", F.col("confidence").cast("double"), "calories")
+    return upsert.apply_matches(v.menu, matches, v.official_food)
+
+
+@query("snk_update_match", _UPDATED)
+def snk_update_match(v: Views) -> DataFrame:
+    return updated_menus(v).select("id", "official_food_code", "matched_by", F.col("confidence").cast("double"), "calories")
+
+
+@query("jn_update", f"""
+    WITH m AS ({_MATCHES}), hit AS (SELECT m.menu_id, f.* FROM m JOIN official_food f USING (food_code))
+    SELECT menu.id, CAST(coalesce(hit.carbohydrate, menu.carbohydrate) AS DOUBLE) AS carbohydrate, CAST(coalesce(hit.protein, menu.protein) AS DOUBLE) AS protein, CAST(coalesce(hit.fat, menu.fat) AS DOUBLE) AS fat,
+        CAST(coalesce(hit.sodium, menu.sodium) AS DOUBLE) AS sodium, CASE WHEN hit.menu_id IS NOT NULL THEN 'OFFICIAL' ELSE source END AS source FROM menu LEFT JOIN hit ON hit.menu_id = menu.id
+""")
+def jn_update(v: Views) -> DataFrame:
+    return updated_menus(v).select("id", *[F.col(c).cast("double").alias(c) for c in ("carbohydrate", "protein", "fat", "sodium")], "source")
 
 
 @query("snk_replace_tags", """
