@@ -77,7 +77,9 @@ def shortlist(names: DataFrame, cands: DataFrame, most: int = SHORTLIST) -> Data
     the pairs.
     """
     keys = cands.groupBy("pool", "key").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
-    left = names.repartition("pool", "name").select("pool", "name", bigrams(F.col("name")).alias("g")).select("pool", "name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
+    # A number of its own, else Spark would size the parts by the names, which are small beside their pairs.
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = names.repartition(parts, "name").select("pool", "name", bigrams(F.col("name")).alias("g")).select("pool", "name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
     right = keys.select("pool", "key", "n", bigrams(F.col("key")).alias("g")).select("pool", "key", "n", F.size("g").alias("n_key"), F.explode("g").alias("gram"))
     right = materialise(right, "key-bigrams")
     right = F.broadcast(right) if right.count() <= BROADCAST_GRAMS else right
