@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import Generations, own_worker, parts_of, ship
+from larder.llm.common import Generations, give_back, own_worker, parts_of, prepare
 
 #: Bytes that each of the two generations of a worker's cache of words may hold.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 #: Arcs whose presence a worker keeps resolved, each in a place of its own by hash.
 RESOLVED = 1 << 19
 #: Symbols of the longest word that is read together with others, and symbols of all words read at once.
@@ -382,6 +382,7 @@ def _round_trip(path: str):
                     ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_hash.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return run
 
@@ -392,5 +393,5 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     A null text counts as empty and has no tokens. Strings of special tokens inside a text become their ids. Repeated
     rows are encoded each; an empty table gives an empty result. Only doc_id and text are read.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_round_trip(tokenizer_path), SCHEMA)

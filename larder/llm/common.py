@@ -10,12 +10,13 @@ from contextlib import suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.runtime import discard, in_order, materialise, prefix_sums, ship, with_rank  # noqa: F401  the operators take them from here
 
-#: Bytes of text that an operator works on at once in a Python worker. Spark bounds the bytes of a whole Arrow batch.
-PART_BYTES = 4 << 20
+#: Bytes of text that an operator works on at once in a Python worker, and of an Arrow batch sent to it.
+PART_BYTES = 2 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Rows of a table of narrow keys that may be broadcast; some tens of MB at most.
 BROADCAST_ROWS = 400_000
@@ -42,6 +43,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and lower the session's bound on the bytes of an Arrow batch to ``PART_BYTES``:
+    several copies of a batch are held at once on either side. The bound is by bytes, so it costs other work little."""
+    ship(spark)
+    now = spark.conf.get(BATCH_BYTES).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > PART_BYTES:
+        spark.conf.set(BATCH_BYTES, str(PART_BYTES))
+
+
 def sized(keys: DataFrame) -> DataFrame:
     """A materialised table of narrow keys, one side of a join with whole texts: sent to every task where it has at most
     ``BROADCAST_ROWS`` rows, so that no text is shuffled, else hashed within a join of two exchanges."""
@@ -89,7 +99,3 @@ class Generations(dict):
             self.old = dict(self)
             self.clear()
             self.held = 0
-
-
-#: The name by which modules that are to follow call it.
-tune = ship

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import discard, give_back, materialise, own_worker, ship
+from larder.llm.common import discard, give_back, materialise, own_worker, prepare
 
 #: Rows after which a run is written; a partition with more rows writes several runs.
 RUN_ROWS = 100_000
@@ -169,7 +169,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", run_rows: int = RUN_ROWS
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep: largest or smallest")
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     largest = keep == "largest"
     runs = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_make_runs(largest, run_rows), RUN_SCHEMA), "digest-runs")
     parts, seqs = runs.agg(F.max("part"), F.max("seq")).first()

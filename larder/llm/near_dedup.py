@@ -20,12 +20,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import discard, give_back, materialise, own_worker, parts_of, ship, sized
+from larder.llm.common import discard, give_back, materialise, own_worker, parts_of, prepare, sized
 from larder.llm.components import components
 
 #: The chance to miss a pair exactly at the threshold; sets the number of bands.
 MISS = 1e-8
-BLOCK = 256
+#: Rows, and shingles of all its rows, on one side of a block of comparisons.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIG_SCHEMA = "doc_id long, n long, set_key binary, bands array<long>"
 SET_SCHEMA = "rep long, set_key binary, shingles array<long>"
@@ -175,14 +176,16 @@ def _rest(occupied: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     """Links among bucket members other than the centre that lie in different components so far.
 
     Of such a bucket the members outside its largest component are compared with all others, in blocks of at most about
-    ``BLOCK`` rows on either side.
+    ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles on either side.
     """
     named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
-    members = materialise(occupied.filter("rep <> centre").join(named, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "bucket-members")
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    buckets = materialise(buckets.select("key", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rest_blocks")), "open-buckets")
-    open_ = members.join(buckets, "key").withColumn("residual", F.col("label") != F.col("main"))
+    members = materialise(occupied.filter("rep <> centre").join(named, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"), F.col("n").alias("weight")), "bucket-members")
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "weight")).alias("top"), F.sum("n").alias("all"), F.sum("weight").alias("weight"), F.count("*").alias("labels")).filter("labels > 1")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES))
+    rest_of = blocks(F.col("all") - F.col("top.n"), F.col("weight") - F.col("top.weight"))
+    buckets = materialise(buckets.select("key", F.col("top.label").alias("main"), blocks(F.col("all"), F.col("weight")).alias("blocks"), rest_of.alias("rest_blocks")), "open-buckets")
+    open_ = members.drop("weight").join(buckets, "key").withColumn("residual", F.col("label") != F.col("main"))
     own = F.xxhash64("rep")
     every = open_.select("key", "rep", "label", F.lit(False).alias("residual"), F.pmod(own, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1)).alias("rest"))
     rest = open_.filter("residual").select("key", "rep", "label", "residual", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(own, "rest_blocks").alias("rest"))
@@ -199,7 +202,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of its texts links; n_shingles is each row's own. A null doc_id links with nothing and is kept. An empty table gives
     an empty result. Only doc_id and text are read.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     bands, rows = plan_bands(percent)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialise(slim.mapInArrow(_sign(k, bands, rows), SIG_SCHEMA), "signatures")

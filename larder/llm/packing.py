@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from larder.llm.bpe import MARKS, read_file
-from larder.llm.common import Generations, materialise, own_worker, parts_of, prefix_sums, ship
+from larder.llm.common import Generations, give_back, materialise, own_worker, parts_of, prefix_sums, prepare
 
 WINDOW = 2048
 END_ID = 1
 #: Bytes that each of the two generations of the chunk cache in one Python worker may hold.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 BYTE_MARKS = MARKS.encode()
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids binary"
@@ -133,6 +133,7 @@ def _tokenise(path: str, end_id: int):
                     [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
+        give_back()
 
     return run
 
@@ -163,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     A null or empty text is the end id alone. Repeated rows are packed each; an empty table gives an empty result. Only
     doc_id and text are read.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     tokens = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenise(tokenizer_path, end_id), TOKEN_SCHEMA), "pack-tokens")
     totals = [(r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]
     offsets = docs.sparkSession.createDataFrame(list(prefix_sums(totals).items()) or [(0, 0)], "part int, base long")

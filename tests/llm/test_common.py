@@ -53,3 +53,16 @@ def test_ranks_are_gapless_over_partitions(spark):
     assert n == 1000 and [g[0] for g in got] == list(range(1000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
     empty, n = common.with_rank(common.in_order(rows.limit(0), ["k"], "ranks"))
     assert n == 0 and empty.collect() == []
+
+
+def test_only_the_bytes_of_a_batch_are_bounded(spark):
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    common.prepare(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+    spark.conf.set(common.BATCH_BYTES, "1000")
+    common.prepare(spark)
+    assert spark.conf.get(common.BATCH_BYTES) == "1000"
+    spark.conf.unset(common.BATCH_BYTES)
+    common.prepare(spark)
+    seen = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 20000) t").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()
+    assert len(seen) > 2 and max(r.n for r in seen) < 2 * common.PART_BYTES

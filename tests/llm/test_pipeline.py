@@ -37,6 +37,14 @@ def test_exact_stage_keeps_the_largest_id(spark):
     assert rows(stage(spark, "exact_dedup", docs)) == sorted(map(str, last.values()))
 
 
+def test_exact_stage_judges_each_text_of_a_doc_id_and_keeps_clashing_columns(spark):
+    rows = [(5, "a", 1), (5, "b", 2), (9, "b", 3), (9, "b", 4), (None, "b", 5), (None, "c", 6), (None, "c", 7), (7, None, 8), (8, "", 9), (3, "d", 10)]
+    docs = spark.createDataFrame([(i, t, "en", n, n, True) for i, t, n in rows], "doc_id long, text string, lang string, n_chars int, digest int, stays boolean")
+    got = stage(spark, "exact_dedup", docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("3", "d"), ("5", "a"), ("8", ""), ("9", "b"), ("None", "c")]
+
+
 def test_near_stage_keeps_the_smallest_id_of_each_component(spark):
     docs = stage(spark, "exact_dedup", documents(spark))
     kept = {i for i, _, _, k in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if k}
