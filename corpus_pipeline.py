@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.llm import exact_dedup, langid, near_dedup, packing, secrets
-from larder.llm.common import materialise
+from larder.llm.common import materialise, sized
 from larder.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 #: No SQL: tokenizers, centroids and signatures are outside it; tests hold the stages against brute force.
@@ -23,25 +23,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays; repeated rows of it become one.
 
-    Rows without a doc_id stay only if no row with one has their text, and then once.
+    Rows without a doc_id stay only if no row with one has their text, and then once. The rows that go are few beside all
+    rows, so those are taken out by their doc_id and digest; no text of other rows is hashed for that.
     """
-    named, unnamed = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    decided = materialise(exact_dedup.exact_dedup(named, keep="largest"), "exact-decisions")
-    single = decided.filter("kept").select("doc_id").distinct()
-    kept = named.join(single.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if not decided.filter("group_size > 1").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    if unnamed.select("doc_id").isEmpty():
+    decided = materialise(exact_dedup.exact_dedup(docs, keep="largest"), "exact-decisions")
+    rows = decided.filter("group_size > 1").groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("stays"), F.count("*").alias("copies"))
+    rows = materialise(rows.filter("not stays or copies > 1"), "exact-copies")  # null ids are grouped, too
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+
+    def only(kind: str, which: str) -> DataFrame:
+        keys = sized(rows.filter(which).select("doc_id", "digest"))
+        # Not an equality of keys, so that only texts of rows whose doc_id is found are hashed.
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & F.coalesce(digest == keys["digest"], F.lit(False)), kind)
+
+    kept = only("left_anti", "true")
+    if rows.filter("stays").isEmpty():
         return kept
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    fresh = unnamed.join(decided.select("text_sha256").distinct(), digest == F.col("text_sha256"), "left_anti")
-    return kept.unionByName(fresh.dropDuplicates(["text"]))
+    return kept.unionByName(only("left_semi", "stays").dropDuplicates(["doc_id", "text"]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
     dropped = near_dedup.near_dedup(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(materialise(dropped, "near-dropped").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(materialise(dropped, "near-dropped")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
