@@ -12,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from larder.llm.common import own_worker, tune
+from larder.llm.common import give_back, materialise, own_worker, parts_of, prepare
 
 DIMS = 4096
 SIZES = (2, 3)
 #: Labelled rows taken for training, over all languages; rows for each are this over the number of languages.
 SAMPLE_ROWS = 2400
 CENTROIDS = 4
+#: Languages that can be learned, those with most documents; bounds what a sample holds where there are more than its rows.
+MAX_LANGS = 500
 #: How much of what is left from the farthest training text to a right angle is still within reach.
 SLACK = 0.6
 NO_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -99,31 +101,27 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
     """Fit on (doc_id, text, lang). Rows with null lang or without a letter are left out.
 
     At most ``sample_rows`` documents are used (one for each language, where there are more languages), the first of
-    each language by a hash of doc_id; the driver gets their sparse counts alone. Repeated rows of a language and doc_id
+    each language by a hash of doc_id, of at most ``MAX_LANGS`` languages; the driver gets their sparse counts alone. Repeated rows of a language and doc_id
     count once; of their texts the first in order that has a letter is used. Without labelled rows the model knows no
     language and answers ``und``.
     """
     spark = labelled.sparkSession
-    tune(spark)
-    ids = labelled.filter("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    ids_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).collect()}  # one row per label of the classifier
+    prepare(spark)
+    ids = labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
+    ids_of = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     each = max(1, sample_rows // max(1, len(ids_of)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    share = [x for g, n in ids_of.items() for x in (F.lit(g), F.lit(min(1 << 31, 3 * each * (1 << 31) // max(1, n))))]
-    near = ids.filter(draw < F.element_at(F.create_map(*share), F.col("lang"))).select("lang", draw.alias("draw"), "doc_id").distinct().collect() if share else []  # some three times the sample
-    place: dict[str, int] = {}
-    picked = set()
-    for r in sorted(r for r in near if r["doc_id"] is not None):
-        place[r["lang"]] = place.get(r["lang"], 0) + 1
-        if place[r["lang"]] <= each:
-            picked.add((r["lang"], r["doc_id"]))
-    wanted = spark.createDataFrame(sorted(picked), "lang string, doc_id long")  # at most sample_rows ids
+    share = [x for r in ids_of for x in (F.lit(r["lang"]), F.lit(min(1 << 31, 3 * each * (1 << 31) // max(1, r["n"]))))]  # some three times the sample
+    near = ids.filter(draw < F.element_at(F.create_map(*share), F.col("lang"))) if share else ids.limit(0)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    picked = near.select("lang", draw.alias("draw"), "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= each)
+    wanted = materialise(picked.select("lang", "doc_id"), "langid-sample")  # at most sample_rows ids, or one for each language
     every = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(wanted), ["lang", "doc_id"], "left_semi")
     rows = every.groupBy("lang", "doc_id").agg(F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))).alias("text"))
 
     def sparse(batches):
         own_worker("langid")
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             keep = [(t, g) for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()) if has_letter(t)]
             got = [counts(vector_bytes(t)) for t, _ in keep]
             at = [np.flatnonzero(v) for v in got]
@@ -161,25 +159,27 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     A null text or one without a letter is ``und`` with score 0, and rejected. Repeated rows are judged alike; an empty
     table gives an empty result. The model (its size is centroids x dimensions) goes to the workers with the task.
     """
-    tune(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         own_worker("langid")
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             lang, score, out = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with the same columns."""
-    tune(docs.sparkSession)
+    prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
         own_worker("langid")
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole, at)):
             yield b.filter(pa.array([not r for r in model.predict(b.column(at).to_pylist())[2]], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

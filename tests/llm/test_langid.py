@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +55,47 @@ def test_counts_against_plain_loops():
                 code = (code * 257 + b) % 2**32
             want[(code + n) % 2**32 * 2654435761 % 2**32 >> 20] += 1
     assert data == " straße zum meer ".encode() and np.array_equal(langid.counts(data), want)
+
+
+def test_repeated_rows_lose_no_language_and_no_document(spark):
+    words = {"aa": "banana cabana", "bb": "zwolf schloss", "zz": "kiryuu oyuki", "zx": "quoi peux"}
+    few = spark.createDataFrame([(100 * j + i, f"{w} {'xyzuvw'[i % 6]}{i}", g) for j, (g, w) in enumerate(words.items()) for i in range(10)], "doc_id long, text string, lang string")
+    many = few.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n")
+    one, all_ = langid.train(few), langid.train(many)
+    assert one.langs == all_.langs == tuple(sorted(words)) and np.array_equal(one.centroids, all_.centroids)
+
+
+def test_nearest_centroid_against_plain_loops(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.collect()][:60] + ["x", "été", "ыфва", None]
+    lang, score, rejected = model.predict(texts)
+    for text, g, s, out in zip(texts, lang, score, rejected):
+        if not text:
+            assert (g, s, out) == ("und", 0.0, True)
+            continue
+        tally = {}
+        for at, n in enumerate(langid.counts(langid.vector_bytes(text)).tolist()):
+            if n:
+                tally[at] = math.log(1 + n) * float(model.idf[at])
+        size = math.sqrt(sum(v * v for v in tally.values())) or 1.0
+        cosines = [sum(v / size * float(c[at]) for at, v in tally.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda j: cosines[j])
+        assert g == model.langs[model.owner[best]] and abs(s - cosines[best]) < 1e-4 and out == (1 - cosines[best] > model.reach[best])
+
+
+def test_clustering_against_plain_loops():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(40, 6))) + 3 * np.eye(6)[rng.integers(0, 3, 40)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, dot = x.tolist(), lambda a, b: sum(p * q for p, q in zip(a, b))
+    mean = lambda part: [sum(c) / len(part) for c in zip(*part)]
+    centres = [mean(rows)]
+    while len(centres) < 3:  # the row farthest from all centres so far
+        centres.append(min(rows, key=lambda r: max(dot(r, c) for c in centres)))
+    for _ in range(12):
+        centres = [[v / math.sqrt(dot(c, c)) for v in c] for c in centres]
+        near = [max(range(3), key=lambda j: dot(r, centres[j])) for r in rows]
+        centres = [mean([r for r, m in zip(rows, near) if m == j]) if j in near else centres[j] for j in range(3)]
+    centres = [[v / math.sqrt(dot(c, c)) for v in c] for c in centres]
+    assert np.allclose(langid._kmeans(x, 3), centres)
