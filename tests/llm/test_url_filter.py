@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,35 @@ def test_no_labels_and_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     model = fit(labelled_from_rules(none, URL_RULES))
     assert model.bias == 0 and judge(none, URL_RULES, model).collect() == []
+
+
+def test_repeated_urls_lose_no_label(spark):
+    few = spark.createDataFrame([(i, f"http://h{i}.{('com', 'net')[i % 2]}/{('en', 'es')[i % 2]}/") for i in range(40)], "page_id long, url string")
+    many = few.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50_000)))).drop("n")
+    got = [sorted(map(tuple, labelled_from_rules(t, URL_RULES).collect())) for t in (few, many)]
+    assert got[0] == got[1] and len(got[0]) == 40 and {y for _, y in got[0]} == {0.0, 1.0}
+
+
+def test_training_against_plain_loops(spark):
+    rows = [(f"http://{h}.org/{p}", float(y)) for h, p, y in (("ab", "x", 0), ("abc", "y", 0), ("spam", "buy", 1), ("spa", "buys", 1), ("ab", "buy", 1), ("zz", "", 0))]
+    table = spark.createDataFrame(rows, "url string, blocked double")
+    steps, rate, decay, size = 6, 0.5, 1e-4, 64
+    model = fit(table, 3, size, steps, rate, decay)
+    parts = [brute(u) for u, _ in rows]
+    idx = [r.i for r in spark.createDataFrame([(i, *p) for i, p in enumerate(parts)], "n int, h string, p string").select("n", ngram_buckets(F.col("h"), F.col("p"), 3, size).alias("i")).orderBy("n").collect()]
+    bias, w, seen = 0.0, [0.0] * size, [1e-8] * (size + 1)
+    for _ in range(steps):
+        errors = [1 / (1 + math.exp(-(bias + sum(w[i] for i in at)))) - y for at, (_, y) in zip(idx, rows)]
+        gradient = {size: sum(errors) / len(rows)}
+        for at, e in zip(idx, errors):
+            for i in at:
+                gradient[i] = gradient.get(i, 0.0) + e / len(rows)
+        new = list(w)
+        for i, g in gradient.items():
+            g += decay * (bias if i == size else w[i])
+            seen[i] += g * g
+            if i < size:
+                new[i] -= rate * g / math.sqrt(seen[i])
+        g = gradient[size] + decay * bias
+        bias, w = bias - rate * g / math.sqrt(seen[size]), new
+    assert model.bias == pytest.approx(bias) and list(model.weights) == pytest.approx(w)
