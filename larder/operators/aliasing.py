@@ -96,6 +96,7 @@ def batch_of(order: Column, size: int) -> Column:
 def prompts(asked: DataFrame, size: int = BATCH_CLOUD) -> DataFrame:
     """(batch, prompt, n, items): names in chunks of at most ``size``, in their order. More than ``DEAL_NAMES`` names are
     dealt to groups by hash first, so that no task numbers them all; the cluster's size plays no part."""
+    asked = materialise(asked, "llm-asked")
     groups = max(1, -(-asked.count() // DEAL_NAMES))
     dealt = asked.withColumn("deal", F.pmod(F.xxhash64("normalized_name"), F.lit(groups)))
     nth = F.row_number().over(Window.partitionBy("deal").orderBy("normalized_name"))
