@@ -86,7 +86,7 @@ class Generations(dict):
 
     def missing(self, keys: set) -> set:
         """The keys that neither generation holds; those of the old one move to the young one."""
-        new = keys.difference(self)
+        new = {k for k in keys if k not in self}  # a set's difference would walk the whole cache
         back = [k for k in new if k in self.old] if self.old else []
         if back:
             self.add(back, [self.old[k] for k in back])
