@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from larder.enums import BLOCKER, CATEGORY_HINTS, ORIGIN_RANKS, PRICE_PLACEHOLDERS
 from larder.runtime import ship
@@ -32,6 +33,16 @@ VOLUME = r"\d+\s*(ml|㎖|리터)"
 BRANCH = r"점\s*$"
 PRICE_LINE = r"^₩?[\d,]+\s*원?$"
 FOOD_CODE = r"^[A-Za-z]\d+(-\d+)+$"
+# Korean syllables: the first lead, vowel and syllable, the code point before the first tail, and how many there are
+LEAD, VOWEL, TAIL, SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
+LEADS, VOWELS, TAILS = 19, 21, 28
+JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
+# letters that composition leaves as they are unless others stand among them: Latin, jamo and syllables, Han, kana without
+# their marks, punctuation, signs, full-width forms, pictures
+STABLE = (
+    r"\x{0}-\x{2FF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3041}-\x{3096}\x{30A1}-\x{30FC}"
+    r"\x{2002}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{2190}-\x{21FF}\x{2460}-\x{27BF}\x{3000}-\x{3029}\x{FF01}-\x{FFDC}\x{FE0F}\x{1F300}-\x{1FAFF}"
+)
 # ----------------------------------------------------------------------------------------------------------------------
 #: One or more quantity, size or modifier endings; taking them off one by one until none is left takes off the same.
 ENDINGS = rf"(\s*\d+\s*({QUANTITY_UNITS})|\s*({SIZES})|\s*\(?\s*({MODIFIERS})\s*\)?)(\s*\d+\s*({QUANTITY_UNITS})|\s*({SIZES})|\s*\(?\s*({MODIFIERS})\s*\)?)*\s*$"
@@ -42,17 +53,64 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda a: None if a is None else [None if s is None else unicodedata.normalize("NFC", s) for s in a])
+
+
+def compose_hangul(text: Column) -> Column:
+    """``text`` with its Korean jamo composed to syllables by arithmetic, the rest as it is."""
+
+    def composed(part: Column) -> Column:
+        code = lambda i: F.ascii(F.substr(part, F.lit(i), F.lit(1)))
+        first, tail = code(1), F.when(F.length(part) == 3, code(3) - TAIL).otherwise(0)
+        jamo = (F.length(part) > 1) & first.between(LEAD, LEAD + LEADS - 1)
+        open_ = (F.length(part) == 2) & first.between(SYLLABLE, SYLLABLE + LEADS * VOWELS * TAILS - 1) & ((first - SYLLABLE) % TAILS == 0)
+        made = F.when(jamo, SYLLABLE + ((first - LEAD) * VOWELS + code(2) - VOWEL) * TAILS + tail).when(open_, first + code(2) - TAIL)
+        return F.when(made.isNotNull(), F.decode(F.unhex(F.hex(made)), "UTF-16BE")).otherwise(part)
+
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)({JAMO}|[^\x{{1100}}-\x{{11FF}}\x{{AC00}}-\x{{D7A3}}]+|.)"), 0)
+    return F.when(text.rlike(JAMO), F.array_join(F.transform(parts, composed), "")).otherwise(text)
+
+
+def is_composed_by_hangul(text: Column) -> Column:
+    """Whether canonical composition does no more to the text than ``compose_hangul``."""
+    return ~text.rlike(f"[^{STABLE}]")
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no built-in for it."""
-    return _nfc(text)
+    """Canonical composition. Korean is composed by expressions; Python gets the texts with other letters that compose, nulls
+    for the rest."""
+    plain = is_composed_by_hangul(text)
+    return F.when(plain, compose_hangul(text)).otherwise(_nfc(F.when(~plain, text)))
 
 
-def with_nfc(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the column composed. Python sees each distinct value that has a character beyond Latin-1 once."""
+def with_nfc(df: DataFrame, *columns: str, **items: str) -> DataFrame:
+    """``df`` with the columns composed, and in arrays of structs the field named (``array="field"``). Rows that are stable
+    but for Korean never reach Python."""
     ship(df.sparkSession)
-    odd = df.filter(F.col(column).rlike(r"[^\x{0}-\x{FF}]")).select(F.col(column).alias("raw")).distinct().select("raw", nfc(F.col("raw")).alias("composed"))
-    joined = df.join(odd, df[column] == odd["raw"], "left")
-    return joined.withColumn(column, F.coalesce("composed", column)).drop("raw", "composed")
+    def other(text: Column) -> Column:
+        return F.coalesce(~is_composed_by_hangul(text), F.lit(False))
+
+    def each(field: str, f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: f(x[field])
+
+    def with_names(field: str) -> Callable[[Column, Column], Column]:
+        return lambda x, name: x.withField(field, name)
+
+    def in_place(field: str) -> Callable[[Column], Column]:
+        return lambda x: x.withField(field, compose_hangul(x[field]))
+
+    found = [other(F.col(c)) for c in columns] + [F.coalesce(F.exists(a, each(f, other)), F.lit(False)) for a, f in items.items()]
+    odd = reduce(lambda a, b: a | b, found)
+    plain = df.filter(~odd).withColumns({c: compose_hangul(F.col(c)) for c in columns} | {a: F.transform(a, in_place(f)) for a, f in items.items()})
+    rest = df.filter(odd).withColumns({c: _nfc(F.col(c)) for c in columns} | {a: F.zip_with(a, _nfc_each(F.transform(a, each(f, lambda t: t))), with_names(f)) for a, f in items.items()})
+    return plain.unionByName(rest)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end, that of Unicode and the separators U+001C to U+001F included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def _count_any(text: Column, letters: str) -> Column:

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larder.enums import METHOD_CONFIDENCE
 from larder.functions.answers import answer_lines, parse_choice, prompt, prompt_item
 from larder.functions.text import food_label
 from larder.operators.upsert import upsert
-from larder.runtime import materialise, ship
+from larder.runtime import in_order, materialise, ship, with_rank
 
 BATCH_CLOUD, BATCH_LOCAL = 20, 5
 #: Batches that may fail one after another before a task stops asking; calls of one batch after the first; seconds before
 #: the first of them, doubled for each other one; calls a minute of a client with a quota.
 MAX_FAILURES, RETRIES, RETRY_SECONDS, CALLS_A_MINUTE = 3, 3, 2.0, 5
-#: Names that one task numbers into batches.
-DEAL_NAMES = 10_000
+#: Names that one task numbers into batches; batches that are asked before their decisions are logged.
+DEAL_NAMES, ROUND = 10_000, 256
+DECIDED = "normalized_name string, decision string, food_code string, raw_answer string, model string"
 
 
 class Busy(Exception):
@@ -131,34 +134,105 @@ class Caller:
         raise AssertionError
 
 
-def ask(batches: DataFrame, client: LlmClient, a_minute: int = 0) -> DataFrame:
-    """Batches with the client's ``raw`` answer, null where it failed; after three failures in a row a task asks no more.
-
-    Prompts and answers are written, so that no later read calls the client again. With a number of calls a minute one task
-    asks all batches, as the quota is one for all.
-    """
+def _answers(batches: DataFrame, client: LlmClient, a_minute: int) -> DataFrame:
+    """(batch, raw, refused) of written batches: the client's answer, null where it failed or was not asked, and why it refused.
+    After a refusal, or three failures in a row, a task asks no more. With a number of calls a minute one task asks all, as the
+    quota is one for all."""
     ship(batches.sparkSession)
-    batches = materialise(batches, "llm-batches")
 
     def run(frames):
         failures, caller = 0, Caller(client, a_minute)
         for df in frames:
-            raw = []
+            raw, refused = [], []
             for text, n in zip(df["prompt"], df["n"]):
-                answer = None
+                answer = why = None
                 if failures < MAX_FAILURES:
                     try:
                         answer, failures = caller(text, int(n)), 0
-                    except Refused:
-                        raise
+                    except Refused as e:
+                        why, failures = str(e) or "refused", MAX_FAILURES
                     except Exception:  # noqa: BLE001  a failed batch is asked again in the next run
                         failures += 1
                 raw.append(answer)
-            yield pd.DataFrame({"batch": df["batch"], "raw": raw})
+                refused.append(why)
+            yield pd.DataFrame({"batch": df["batch"], "raw": raw, "refused": refused})
 
     wanted = batches.select("batch", "prompt", "n")
-    answered = (wanted.coalesce(1) if a_minute else wanted).mapInPandas(run, "batch string, raw string")
-    return batches.join(materialise(answered, "llm-answers"), "batch")
+    return materialise((wanted.coalesce(1) if a_minute else wanted).mapInPandas(run, "batch string, raw string, refused string"), "llm-answers")
+
+
+def _refusal(answers: DataFrame) -> Refused | None:
+    first = answers.filter("refused is not null").select("refused").first()
+    return Refused(first[0]) if first else None
+
+
+def ask(batches: DataFrame, client: LlmClient, a_minute: int = 0) -> DataFrame:
+    """Batches with the client's ``raw`` answer, null where it failed. Prompts and answers are written, so that no later read
+    calls the client again. A refusal raises ``Refused``."""
+    batches = materialise(batches, "llm-batches")
+    answers = _answers(batches, client, a_minute)
+    if refusal := _refusal(answers):
+        raise refusal
+    return batches.join(answers.select("batch", "raw"), "batch")
+
+
+class DecisionLog:
+    """Decisions in the order in which they were paid for: every round of batches appends one folder, which appears at once.
+    What a run has logged no later run asks for, however the run ended; of a name in two rounds the first decision counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def rounds(self) -> list[int]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(self.path))] if self._fs.exists(self._at(self.path)) else []
+        return sorted(int(n.removeprefix("round=")) for n in names if n.startswith("round="))
+
+    def append(self, decided: DataFrame, model: str) -> int:
+        """The decisions of one round, failures left out; returns its number. A draft that was never finished is not read."""
+        number, draft = max(self.rounds(), default=0) + 1, f"{self.path}/draft-{uuid.uuid4().hex}"
+        decided.filter("decision <> 'failed'").select("normalized_name", "decision", "food_code", "raw_answer", F.lit(model[:60]).alias("model")).write.parquet(draft)
+        if self.rounds()[-1:] == [number] or not self._fs.rename(self._at(draft), self._at(f"{self.path}/round={number}")):
+            raise RuntimeError(f"{self.path}: round {number} was written by another run")
+        return number
+
+    def read(self, after: int = 0) -> DataFrame:
+        """(normalized_name, decision, food_code, raw_answer, model) of the rounds after one, each name once."""
+        paths = [f"{self.path}/round={n}" for n in self.rounds() if n > after]
+        if not paths:
+            return self.spark.createDataFrame([], DECIDED)
+        rows = self.spark.read.schema(DECIDED).option("basePath", self.path).parquet(*paths).withColumn("round", F.regexp_extract(F.input_file_name(), r"/round=(\d+)/", 1).cast("int"))
+        fields = [c.split()[0] for c in DECIDED.split(", ")][1:]
+        return rows.groupBy("normalized_name").agg(F.min_by(F.struct(*fields), "round").alias("d")).select("normalized_name", "d.*")
+
+    def known(self, alias: DataFrame) -> DataFrame:
+        """(normalized_name, food_code) of stored decisions and, before them, those of the log."""
+        logged = self.read().select("normalized_name", "food_code")
+        return logged.unionByName(alias.select("normalized_name", "food_code").join(logged, "normalized_name", "left_anti"))
+
+
+def ask_logged(batches: DataFrame, client: LlmClient, log: DecisionLog, a_minute: int = 0, round_size: int = ROUND) -> DataFrame:
+    """Asks the batches in rounds of ``round_size`` and logs each round's decisions before the next begins; returns what
+    ``decisions`` does for the batches that were asked. A refusal raises ``Refused`` after its round was logged; after a round
+    in which every batch failed no more is asked. If the driver is lost, all rounds but the one under way are kept."""
+    placed = in_order(batches, ["batch"], "llm-batches")
+    ranked, n = with_rank(placed)
+    ranked, done = materialise(ranked, "llm-rounds"), []
+    for first in range(0, n, round_size):
+        some = ranked.filter(F.col("rank").between(first, first + round_size - 1)).drop("rank")
+        answers = _answers(some, client, a_minute)
+        decided = materialise(decisions(some.join(answers.select("batch", "raw"), "batch")), "llm-decided")
+        log.append(decided, client.name)
+        done.append(decided)
+        if refusal := _refusal(answers):
+            raise refusal
+        if answers.filter("raw is not null").isEmpty():
+            break
+    none = batches.sparkSession.createDataFrame([], "normalized_name string, decision string, food_code string, raw_answer string")
+    return reduce(DataFrame.unionByName, done, none)
 
 
 def decisions(answered: DataFrame) -> DataFrame:
@@ -176,10 +250,16 @@ def decisions(answered: DataFrame) -> DataFrame:
     return joined.select("normalized_name", decision.alias("decision"), code.alias("food_code"), raw_answer.alias("raw_answer"))
 
 
-def store(alias: DataFrame, decided: DataFrame, model: str) -> DataFrame:
-    """The alias table with the decisions, failures left out; confidence is null for none, the model's name cut at 60."""
+def alias_rows(decided: DataFrame) -> DataFrame:
+    """Rows of the alias table from decisions with their ``model``, failures left out; confidence is null for none, the
+    model's name cut at 60."""
     sure = F.when(F.col("food_code").isNotNull(), F.lit(METHOD_CONFIDENCE["LLM"])).cast("decimal(3,2)")
-    new = decided.filter("decision <> 'failed'").select("normalized_name", "food_code", F.lit("LLM").alias("matched_by"), sure.alias("confidence"), F.lit(model[:60]).alias("model"), "raw_answer")
+    return decided.filter("decision <> 'failed'").select("normalized_name", "food_code", F.lit("LLM").alias("matched_by"), sure.alias("confidence"), F.left("model", F.lit(60)).alias("model"), "raw_answer")
+
+
+def store(alias: DataFrame, decided: DataFrame, model: str) -> DataFrame:
+    """The alias table with the decisions of one model."""
+    new = alias_rows(decided.withColumn("model", F.lit(model)))
     return upsert(alias, new, ["normalized_name"], ["food_code", "matched_by", "confidence", "model", "raw_answer"])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from larder.runtime import discard, in_order, materialise, with_rank
 
 
 def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -11,13 +13,25 @@ def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordinal).alias("r")).select(*keys, "r.*")
 
 
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, to fail when they are read if a key without null is there twice. Counted where a join on the keys needs the
+    rows anyway."""
+    twice = F.count("*").over(Window.partitionBy(*keys)) > 1
+    for k in keys:
+        twice = twice & F.col(k).isNotNull()
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    error = F.raise_error(F.concat(F.lit(f"({', '.join(keys)}) is not unique: "), shown)).cast("boolean")
+    return rows.withColumn("is_unique", F.when(twice, error).otherwise(F.lit(True))).filter("is_unique").drop("is_unique")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], insert: dict[str, Column] | None = None) -> DataFrame:
     """``old`` with the rows of ``new``: known keys get the columns of ``update``, unknown keys are added.
 
     Other columns of known keys stay as they are; those of added rows come from ``new``, else from ``insert``, else null.
-    Rows that ``new`` lacks stay. Keys are unique on both sides.
+    Rows that ``new`` lacks stay. A key that is twice on one side fails the job.
     """
     insert = insert or {}
+    old, new = unique(old, keys), unique(new, keys)
     o = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns], F.lit(True).alias("o_there"))
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns], F.lit(True).alias("n_there"))
     on = [o[f"o_{k}"] == n[f"n_{k}"] for k in keys]
@@ -35,10 +49,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], i
     return joined.select(*[value(c).cast(old.schema[c].dataType).alias(c) for c in old.columns])
 
 
-def next_ids(old: DataFrame, new: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
-    """``new`` with ids for keys that ``old`` lacks, above all that there are; not gapless. Known keys get null."""
-    top = old.agg(F.max(id_column)).first()[0] or 0
-    fresh = new.join(old.select(*keys), keys, "left_anti").select(*keys, (F.monotonically_increasing_id() + top + 1).alias(id_column))
+def next_ids(old: DataFrame, new: DataFrame, keys: list[str], id_column: str = "id", top: int | None = None) -> DataFrame:
+    """``new`` with ids for keys that ``old`` lacks, gapless above all that there are (``top``: the largest one, where ``old``
+    is only a part) in the order of the keys. Known keys get null."""
+    top = (old.agg(F.max(id_column)).first()[0] if top is None else top) or 0
+    placed = in_order(new.select(*keys).join(old.select(*keys), keys, "left_anti").distinct(), keys, "new-keys")
+    fresh = materialise(with_rank(placed)[0].select(*keys, (F.col("rank") + top + 1).alias(id_column)), "new-ids")
+    discard(placed)
     return new.join(fresh, keys, "left")
 
 

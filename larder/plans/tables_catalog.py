@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, functions as F
 
+from larder import jobs, schemas
 from larder.operators import evaluation, ingest, scans, tagging, upsert
+from larder.operators.snapshots import Snapshots
 from larder.plans.catalog import query
 from larder.plans.views import Views
+from larder.runtime import materialise
 from larder.sources import crawler, readers
 
 CUISINE_MAP = {c.lower(): c for c in ("KOREAN", "CHINESE", "JAPANESE", "WESTERN", "ASIAN", "SNACK", "CAFE_DESSERT")}
@@ -73,14 +78,18 @@ def agg_load_report(v: Views) -> DataFrame:
     return readers.load_report(readers.official_foods(food_source(v), drinks="PROMO"))
 
 
-@query("src_dict_csv", """
-    SELECT * FROM (VALUES ('plate', 'RICE'), ('ring', 'NOODLE'), ('hot plate', '-')) t(keyword, food_type)
-""")
+_WORD_TYPE = "CASE length(p_type) % 3 WHEN 0 THEN 'RICE' WHEN 1 THEN 'NOODLE' ELSE '-' END"
+
+
+@query("src_dict_csv", f"SELECT DISTINCT lower(p_type) AS keyword, {_WORD_TYPE} AS food_type FROM part")
 def src_dict_csv(v: Views) -> DataFrame:
+    """The parts' types as a dictionary: padded, in odd case, with a byte order mark, another column and comments."""
     path = v.scratch("dictionary")
-    lines = ["﻿keyword,food_type,note", "# a comment,,", " Plate ,rice,x", "ring, NOODLE,", "hot plate,-,blocks"]
-    v.spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
-    return v.spark.createDataFrame(readers.read_keywords(v.spark, path), "keyword string, food_type string")
+    kind = F.expr(f"lower({_WORD_TYPE})")
+    words = v.part.select(F.concat(F.lit(" "), F.upper("p_type"), F.lit(" ")).alias("\ufeffkeyword"), F.concat(F.lit(" "), kind).alias("food_type"), F.lit("x").alias("note")).distinct()
+    comments = words.select(F.concat(F.lit("# "), F.col("\ufeffkeyword")), F.lit(" "), F.lit(""))
+    upsert.write_csv(words.unionAll(comments), path)
+    return readers.keywords(v.spark, path)
 
 
 @query("src_table_scan", "SELECT food_code, food_name, normalized_name, company_name, serving_basis, major_category, origin FROM official_food")
@@ -173,27 +182,71 @@ def src_point_lookup(v: Views) -> DataFrame:
     return readers.lookup(v.restaurant, "source_url", "https://map.test/place/7").select("id", "name", "cuisine")
 
 
+ALL_CUISINES = CUISINE_MAP | {"etc": "ETC"}
+SOUP = unicodedata.normalize("NFD", "갈비")
+
+
 def restaurant_states(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Stored restaurants, and crawled ones: each under two urls that are one without what is cut off, the later one with a
+    name in single jamo."""
     old = v.restaurant.filter("id % 3 <> 0").select("id", F.concat(F.lit("old "), "name").alias("name"), "cuisine", "source_url", F.lit("2024").alias("created_at"))
-    new = v.restaurant.filter("id % 2 = 0 or id % 3 = 0").select("name", "cuisine", "source_url", F.lit("2025").alias("created_at"))
-    return old, new
+    seen = lambda n, name, tail: F.struct(F.lit(n).alias("n"), name.alias("name"), F.concat("source_url", F.lit(tail)).alias("source_url"))
+    twice = F.explode(F.array(seen(1, F.concat(F.lit("early "), "name"), "?c=1"), seen(2, F.concat("name", F.lit(f" {SOUP} ")), "/#c")))
+    rows = v.restaurant.filter("id % 2 = 0 or id % 3 = 0").select("address", F.lower("cuisine").alias("raw_category"), "latitude", "longitude", (F.col("id") * 2).alias("at"), twice.alias("r"))
+    empty = F.array().cast(f"array<{schemas.MENU}>")
+    crawl = rows.select("r.name", "address", "raw_category", "r.source_url", "latitude", "longitude", empty.alias("menus"), (F.col("at") + F.col("r.n")).alias("ordinal"))
+    return old, ingest.last_places(ingest.restaurants(ingest.composed(ingest.first_by_url(crawl)), ALL_CUISINES)).select("name", "cuisine", "source_url", F.lit("2025").alias("created_at"))
+
+
+def stored(v: Views, name: str, old: DataFrame, keys: list[str]) -> Snapshots:
+    """A store whose first snapshot is ``old``."""
+    store = Snapshots(v.spark, v.scratch("snapshots"))
+    change = store.change()
+    change.replace(name, old, keys, buckets=8)
+    change.commit()
+    return store
 
 
 @query("snk_upsert_restaurant", """
-    SELECT CASE WHEN id % 3 <> 0 THEN id ELSE -1 END AS id, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN name ELSE concat('old ', name) END AS name, cuisine, source_url, CASE WHEN id % 3 <> 0 THEN '2024' ELSE '2025' END AS created_at
-    FROM restaurant
+    WITH top AS (SELECT max(id) AS m FROM restaurant WHERE id % 3 <> 0), fresh AS (SELECT id, row_number() OVER (ORDER BY source_url) AS n FROM restaurant WHERE id % 3 = 0)
+    SELECT CASE WHEN r.id % 3 <> 0 THEN r.id ELSE m + n END AS id, CASE WHEN r.id % 2 = 0 OR r.id % 3 = 0 THEN concat(name, ' 갈비') ELSE concat('old ', name) END AS name, cuisine, source_url, CASE WHEN r.id % 3 <> 0 THEN '2024' ELSE '2025' END AS created_at
+    FROM restaurant r LEFT JOIN fresh ON fresh.id = r.id, top
 """)
 def snk_upsert_restaurant(v: Views) -> DataFrame:
     old, new = restaurant_states(v)
-    state = upsert.upsert(old, upsert.next_ids(old, new, ["source_url"]), ["source_url"], ["name", "cuisine"])
-    added = F.col("created_at") == "2025"
-    return state.select(F.when(added, -1).otherwise(F.col("id")).cast("long").alias("id"), "name", "cuisine", "source_url", "created_at")
+    store = stored(v, "restaurant", old, ["source_url"])
+    change = store.change()
+    change.upsert("restaurant", upsert.next_ids(change.read("restaurant"), materialise(new, "crawled"), ["source_url"]), ["name", "cuisine"])
+    change.commit()
+    return store.read("restaurant")
+
+
+@query("snk_bucket_upsert", """
+    SELECT id, CASE WHEN id % 50 = 7 THEN 'new' ELSE name END AS name, id % 50 = 7 AS rewritten_only FROM restaurant WHERE id % 50 = 7
+    UNION ALL SELECT id, name, false FROM restaurant WHERE id % 50 <> 7
+""")
+def snk_bucket_upsert(v: Views) -> DataFrame:
+    """An upsert of few keys: rows in folders of the second version that no touched bucket explains would show as true."""
+    store = stored(v, "restaurant", v.restaurant.select("id", "name"), ["id"])
+    change = store.change()
+    few = v.restaurant.filter("id % 50 = 7").select("id", F.lit("new").alias("name"))
+    touched = change.upsert("restaurant", few, ["name"])
+    change.commit()
+    entry = store.manifest()["tables"]["restaurant"]
+    fresh = [int(b) for b, folder in entry["folders"].items() if folder.startswith("2-")]
+    astray = store.frame(entry, "restaurant", sorted(set(fresh) ^ set(touched))).select("id")
+    rows = store.read("restaurant")
+    return rows.join(astray.withColumn("astray", F.lit(True)), "id", "left").select("id", "name", (F.coalesce("astray", F.lit(False)) | (F.col("name") == "new")).alias("rewritten_only"))
 
 
 def menu_states(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Stored menus, and crawled ones of two rows of one restaurant, the later of which counts."""
     rows = v.menu.withColumn("pos", F.col("id"))
     one = ingest.first_by_normalized(rows, "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
-    return one.filter("id % 3 <> 0").withColumn("price", F.lit(1)), one.filter("id % 2 = 0 or id % 3 = 0")
+    late = rows.filter("id % 2 = 0 or id % 3 = 0").join(one.select("id"), "id", "left_semi").withColumn("ordinal", F.lit(2))
+    early = late.withColumns({"name": F.lit("early"), "price": F.lit(-1), "ordinal": F.lit(1)})
+    new = ingest.last_menus(early.unionByName(late), "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
+    return one.filter("id % 3 <> 0").withColumn("price", F.lit(1)), new
 
 
 _ONE_MENU = f"WITH one AS (SELECT *, row_number() OVER (PARTITION BY {MENU_KEY} ORDER BY id) AS n, count(*) OVER (PARTITION BY {MENU_KEY}) AS copies FROM menu) "
@@ -204,7 +257,29 @@ _ONE_MENU = f"WITH one AS (SELECT *, row_number() OVER (PARTITION BY {MENU_KEY}
 """)
 def snk_upsert_menu(v: Views) -> DataFrame:
     old, new = menu_states(v)
-    return upsert.upsert(old, new, ["restaurant_id", "normalized_name"], ["name", "price"])
+    store = stored(v, "menu", old, ["restaurant_id", "normalized_name"])
+    change = store.change()
+    change.upsert("menu", new, ["name", "price"])
+    change.commit()
+    return store.read("menu")
+
+
+@query("snk_load", """
+    WITH good AS (SELECT m.*, row_number() OVER (PARTITION BY restaurant_id, normalized_name ORDER BY id) AS n FROM menu m WHERE partkey % 8 NOT IN (1, 5))
+    SELECT r.source_url, r.name AS restaurant, r.cuisine, g.name, g.normalized_name, g.price FROM good g JOIN restaurant r ON r.id = g.restaurant_id
+    WHERE g.n = 1 AND r.id % 13 <> 5 AND r.cuisine <> 'ETC'
+""")
+def snk_load(v: Views) -> DataFrame:
+    """The whole job, twice into one store: a crawl with an early row of each restaurant under another url, then once more."""
+    late = crawled(v).withColumn("ordinal", F.col("ordinal") * 2 + 1)
+    one = F.transform(F.slice("menus", 1, 1), lambda m: m.withField("price", F.lit(1)))
+    name = F.when(F.trim("name") != "", "early").otherwise(F.col("name"))
+    early = late.withColumns({"name": name, "menus": one, "source_url": F.concat("source_url", F.lit("?early")), "ordinal": F.col("ordinal") - 1})
+    store = jobs.Store(v.spark, v.scratch("store"), buckets=8)
+    for crawl in (early.unionByName(late), late):
+        jobs.load(store, crawl, CUISINE_MAP, store)
+    places = store.read("restaurant").select(F.col("id").alias("restaurant_id"), F.col("name").alias("restaurant"), "cuisine", "source_url")
+    return store.read("menu").join(places, "restaurant_id").select("source_url", "restaurant", "cuisine", "name", "normalized_name", "price")
 
 
 @query("agg_dedup_menu_norm", _ONE_MENU + "SELECT restaurant_id, normalized_name, id, name, price, copies FROM one WHERE n = 1")

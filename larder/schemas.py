@@ -26,6 +26,8 @@ INBODY = (
     "id long, member_id long, weight decimal(6,2), muscle_mass decimal(6,2), body_fat_percentage decimal(6,2), bmr int, visceral_fat_level int, inbody_score int, "
     "measured_at date, uploaded_at date, protein_target decimal(8,2)"
 )
+MEMBER = "id long, goal string, exercise_count string, exercise_intensity string, birth_date date"
+MEMBER_DISEASE = "member_id long, disease string"
 VERTEX = "struct<x: double, y: double>"
 OCR_RESPONSE = f"images array<struct<fields: array<struct<inferText: string, inferConfidence: double, boundingPoly: struct<vertices: array<{VERTEX}>>>>>>"
 LABELS = "row_no int, menu_name string, normalized_name string, restaurant_name string, answer string"

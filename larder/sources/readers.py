@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import unicodedata
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from larder import schemas
 from larder.enums import BLOCKER, CUISINES, FOOD_TYPES
 from larder.functions.numeric import to_decimal, to_int
-from larder.functions.text import nfc, normalize_menu_name
+from larder.functions.text import nfc, normalize_menu_name, with_nfc
 from larder.runtime import ship
 
 
@@ -70,16 +71,32 @@ def load_report(foods: DataFrame) -> DataFrame:
     return counts.withColumn("loaded", F.col("loaded_100g") + F.col("loaded_100ml"))
 
 
-def read_dictionary(spark: SparkSession, path: str, columns: tuple[str, ...], required: int = 2) -> list[tuple[str, ...]]:
-    """Trimmed rows of a small headed CSV, a byte order mark aside; rows with a blank required column (as comments) go.
+def dictionary(spark: SparkSession, path: str, columns: tuple[str, ...], required: int = 2) -> DataFrame:
+    """Composed and trimmed rows of a headed CSV, a byte order mark aside; columns that it lacks are empty, and rows with a
+    blank required column (as comments) go."""
+    table = spark.read.csv(path, header=True, escape='"')
+    names = {c.lstrip("\ufeff").strip(): c for c in table.columns}
+    value = lambda c: F.trim(F.coalesce(F.col(f"`{names[c]}`"), F.lit(""))) if c in names else F.lit("")
+    rows = with_nfc(table.select(*[value(c).alias(c) for c in columns]), *columns)
+    return rows.filter(" and ".join(f"{c} <> ''" for c in columns[:required]))
+
 
-    Dictionaries are configuration of a few hundred rows, used as literals.
-    """
-    text = "\n".join(r[0] for r in spark.read.text(path).collect()).lstrip("﻿")
+def read_dictionary(spark: SparkSession, path: str, columns: tuple[str, ...], required: int = 2) -> list[tuple[str, ...]]:
+    """The rows of a dictionary that is configuration of a few hundred rows, used as literals, in their order."""
+    text = unicodedata.normalize("NFC", "\n".join(r[0] for r in spark.read.text(path).collect()).lstrip("\ufeff"))
     rows = [tuple((row.get(c) or "").strip() for c in columns) for row in csv.DictReader(io.StringIO(text))]
     return [r for r in rows if all(r[:required])]
 
 
+def keywords(spark: SparkSession, path: str) -> DataFrame:
+    """(keyword, food_type) of a keyword table of any size, as ``read_keywords`` gives them; a type that is not allowed fails
+    the job."""
+    rows = dictionary(spark, path, ("keyword", "food_type"))
+    kind = F.upper("food_type")
+    wrong = F.raise_error(F.concat("keyword", F.lit(": unknown type "), "food_type")).cast("string")
+    return rows.select(F.lower("keyword").alias("keyword"), F.when(kind.isin(*FOOD_TYPES, BLOCKER), kind).otherwise(wrong).alias("food_type"))
+
+
 def validate_types(pairs: list[tuple[str, str]], allowed: tuple[str, ...] = FOOD_TYPES, blocker: bool = False) -> list[tuple[str, str]]:
     """(key, upper-cased type) pairs; raises ValueError on a type that is not allowed."""
     out = []
