@@ -85,6 +85,19 @@ def chunk_pattern(pieces: list[str]) -> re.Pattern:
     return re.compile(f"(?s){MARK}*(?:{''.join(f'[{c}]+|' for c in classes.values())}[^{MARK}])|{MARK}+")
 
 
+class Chunks(Generations):
+    """A cache that is asked for the chunks of one text at a time: these are looked up, while a set's difference, which suits
+    many keys, would walk the whole cache."""
+
+    def missing(self, keys: set) -> set:
+        new = {k for k in keys if k not in self}
+        back = [k for k in new if k in self.old]
+        if back:
+            self.add(back, [self.old[k] for k in back])
+            new.difference_update(back)
+        return new
+
+
 class Pieces:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.text = vocabulary, [p for p, _, _ in vocabulary.pieces]
@@ -100,7 +113,7 @@ class Pieces:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.chunks = chunk_pattern(list(self.score))
-        self.words, self.judged, self.judged_before = Generations(CACHE_BYTES), {}, {}
+        self.words, self.judged, self.judged_before = Chunks(CACHE_BYTES), {}, {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two pieces stay as they are when their joined letters are merged from the start."""
