@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from larder.enums import CAFE, CONTAIN_LEAST_LENGTH, CONTAIN_LEAST_RATIO, EDIT_LEAST, NGRAM_LEAST, SHORTLIST
 from larder.functions.numeric import confidence
 from larder.functions.text import basis_key, bigrams, candidate_keys, flat, has_term, is_branch, strict_subset, tokens
-from larder.runtime import materialise, ship
+from larder.runtime import is_materialised, materialise, ship
 
 GENERAL = ""
 #: Rows (key, bigram) that may be broadcast, some hundred bytes each; the whole food table has about 300,000.
@@ -108,19 +108,30 @@ def is_structural() -> Column:
     return F.col("allow_contain") & (holds | ((F.size("key_tokens") > 0) & strict_subset(F.col("key_tokens"), tokens(name))))
 
 
+def most_ratio(a: Column, b: Column) -> Column:
+    """An upper bound of ``seq_ratio``, to be computed cheaply: twice the letters that two texts share, each as often as in
+    both, of all their letters. Blocks that match are made of such letters."""
+    chars, all_ = F.filter(F.split(a, ""), lambda c: c != ""), F.length(a) + F.length(b)
+    # What is left of b when each letter of a has taken away one like it.
+    left = F.aggregate(chars, b, lambda rest, c: F.when(F.contains(rest, c), F.concat(F.substr(rest, F.lit(1), F.instr(rest, c) - 1), F.substr(rest, F.instr(rest, c) + 1))).otherwise(rest))
+    return F.when(all_ > 0, 2 * (F.length(b) - F.length(left)) / all_).otherwise(1.0)
+
+
 def with_ratio(listed: DataFrame, least: float = EDIT_LEAST) -> DataFrame:
-    """The shortlist with ``ratio``; Python sees only pairs whose lengths can reach the threshold."""
+    """The shortlist with ``ratio``; Python sees only pairs whose lengths and letters can reach the threshold."""
     ship(listed.sparkSession)
     a, b = flat(F.col("name")), F.col("key_flat")
-    possible = 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
-    return listed.withColumn("ratio", seq_ratio(F.when(possible, a), F.when(possible, b)))
+    by_length = 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+    possible = F.when(by_length, most_ratio(a, b) >= least - 1e-9).otherwise(False)
+    return listed.withColumn("possible", possible).withColumn("ratio", seq_ratio(F.when(F.col("possible"), a), F.when(F.col("possible"), b))).drop("possible")
 
 
 def cascade(names: DataFrame, cands: DataFrame, edit_least: float | None = EDIT_LEAST) -> DataFrame:
     """(pool, name, food_code, food_name, method) of each distinct name that some stage matches; brands' pools have no
     bigram stage. Without ``edit_least`` the edit stage is left out, and with it all Python."""
     # Both are used several times; written once, the menus and foods behind them are read once.
-    names, cands = materialise(names.select("pool", "name"), "match-names"), materialise(cands, "match-candidates")
+    names = materialise(names.select("pool", "name"), "match-names")
+    cands = cands if is_materialised(cands) else materialise(cands, "match-candidates")
     found = exact(names, cands)
     rest = names.select("pool", "name").join(found, ["pool", "name"], "left_anti")
     food = ("food_code", "food_name")
@@ -136,14 +147,26 @@ def cascade(names: DataFrame, cands: DataFrame, edit_least: float | None = EDIT_
     return both.withColumn("method", F.when(F.col("pool") == GENERAL, F.col("method")).otherwise(F.concat(F.lit("BRAND_"), "method")))
 
 
-def match_menus(menus: DataFrame, foods: DataFrame, brands: list[str] | None = None) -> DataFrame:
-    """Every menu (menu_id, normalized_name, restaurant_name) with pool, food_code, food_name, matched_by, confidence.
+def routed(menus: DataFrame, brands: list[str]) -> DataFrame:
+    """Menus with the pool they are matched in: that of the brand of their restaurant, also where it is empty, else the general
+    one."""
+    return menus.withColumn("pool", F.coalesce(brand_of(F.col("restaurant_name"), brands), F.lit(GENERAL)))
 
-    A menu of a brand's restaurant is matched in that brand's pool alone, also where the pool is empty.
-    """
+
+def names_of(menus: DataFrame) -> DataFrame:
+    return menus.filter("normalized_name <> ''").select("pool", F.col("normalized_name").alias("name")).distinct()
+
+
+def with_hits(menus: DataFrame, hits: DataFrame) -> DataFrame:
+    """Routed menus with food_code, food_name, matched_by and confidence from (pool, name, food_code, food_name, method)."""
+    h = hits.withColumnRenamed("name", "normalized_name").withColumnRenamed("method", "matched_by")
+    return menus.join(h, ["pool", "normalized_name"], "left").withColumn("confidence", confidence(F.col("matched_by")))
+
+
+def match_menus(menus: DataFrame, foods: DataFrame, brands: list[str] | None = None) -> DataFrame:
+    """Every menu (menu_id, normalized_name, restaurant_name) with pool, food_code, food_name, matched_by, confidence."""
     brands = brands or []
-    routed = menus.withColumn("pool", F.coalesce(brand_of(F.col("restaurant_name"), brands), F.lit(GENERAL)))
-    names = routed.filter("normalized_name <> ''").select("pool", F.col("normalized_name").alias("name")).distinct()
+    rows = routed(menus, brands)
+    names = names_of(rows)
     pooled = pools(foods, brands).join(names.select("pool").distinct(), "pool", "left_semi")
-    hits = cascade(names, candidates(pooled)).withColumnRenamed("name", "normalized_name").withColumnRenamed("method", "matched_by")
-    return routed.join(hits, ["pool", "normalized_name"], "left").withColumn("confidence", confidence(F.col("matched_by")))
+    return with_hits(rows, cascade(names, candidates(pooled)))

@@ -60,6 +60,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def is_materialised(df: DataFrame) -> bool:
+    return "_scratch" in vars(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote for ``df``, where it did. To be called once nothing reads it any more: everything
     made of it has been written in turn."""

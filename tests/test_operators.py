@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.enums import EDIT_LEAST, NGRAM_LEAST, SHORTLIST
 from larder.operators import aliasing, evaluation, health, ingest, matching, scans, upsert
 from larder.sources import crawler, readers
-from larder.streaming.incremental import MENU_STREAM, match_stream, read_matches
+from larder.streaming.incremental import MENU_STREAM, match_stream, read_matches, read_names
 
 FOOD = "food_code string, food_name string, normalized_name string, origin string, major_category string, serving_basis string, company_name string"
 
@@ -101,6 +102,23 @@ def test_stream_of_menus(spark, tmp_path):
     assert sorted((r.menu_id, r.matched_by) for r in read_matches(spark, f"{tmp_path}/out").collect()) == [(1, "EXACT"), (2, "STRUCT")]
 
 
+def test_a_decided_name_is_not_matched_again(spark, tmp_path, monkeypatch):
+    foods = spark.createDataFrame([("D1", "갈비탕", "갈비탕", None, None, "100g", None)], FOOD)
+    asked, cascade = [], matching.cascade
+    monkeypatch.setattr(matching, "cascade", lambda names, *a: (asked.extend(r.name for r in names.collect()), cascade(names, *a))[1])
+    stream = lambda at: match_stream(spark, f"{tmp_path}/in", foods, f"{tmp_path}/out", f"{tmp_path}/{at}").awaitTermination()
+    for batch, names in enumerate([["갈비탕", "xx", ""], ["갈비탕", "xx", "왕갈비탕"], ["xx"]]):
+        spark.createDataFrame([(10 * batch + i, "m", n, "r") for i, n in enumerate(names)], MENU_STREAM).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream("state")
+    want = [(0, "EXACT"), (1, None), (2, None), (10, "EXACT"), (11, None), (12, "STRUCT"), (20, None)]
+    got = lambda: sorted((r.menu_id, r.matched_by) for r in read_matches(spark, f"{tmp_path}/out").collect())
+    assert got() == want and sorted(asked) == sorted(["갈비탕", "xx", "왕갈비탕"])
+    for commit in (tmp_path / "state" / "commits").glob("*2*"):  # the last batch was not marked as done: it is run again
+        commit.unlink()
+    stream("state")
+    assert got() == want and read_names(spark, f"{tmp_path}/out").count() == 3 and len(asked) == 3
+
+
 # --- upserts ----------------------------------------------------------------------------------------------------------
 def test_upsert_keeps_ids_and_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", "x", 10), (2, "b", "y", 20)], "id long, key string, name string, created int")
@@ -314,3 +332,13 @@ def test_label_score(spark):
     sheet = spark.createDataFrame([(i, a) for i, a in enumerate(["1", "3", "10", "11", "0", "D101-018430000-0001", "제외", "x", "", None, "hm"])], "row_no int, answer string")
     r = evaluation.label_score(sheet).first()
     assert (r.total_rows, r.unlabeled, r.invalid, r.excluded, r.recall_miss, r.no_match, r.rank1, r.rank_le3, r.rank_le_n, r.labeled, r.exists_in_table, r.recall_at_n) == (11, 2, 2, 2, 1, 1, 1, 2, 3, 5, 4, 75.0)
+
+
+def test_letters_bound_the_edit_ratio(spark):
+    rng = random.Random(4)
+    texts = ["", "가", "가나", "나가", "aab", "aba", "bb", "갈비탕", "왕갈비탕", "김치찌개", "치즈김개"] + ["".join(rng.choices("가나다a", k=rng.randint(0, 9))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = pairs.select("a", "b", matching.most_ratio(F.col("a"), F.col("b")).alias("most"), matching.seq_ratio(F.col("a"), F.col("b")).alias("ratio")).collect()
+    for r in rows:
+        shared = sum((Counter(r.a) & Counter(r.b)).values())
+        assert abs(r.most - (2 * shared / (len(r.a) + len(r.b)) if r.a or r.b else 1.0)) < 1e-12 and r.ratio <= r.most + 1e-12
