@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, in flat arrays.
 
 Inner product is searched as nearness on a sphere: every stored vector gets one more component that makes all lengths
-equal. Graphs are built and searched in NumPy, many vectors at once. Equal vectors are one node. Shards are searched for
+equal. Vectors of a shard are divided by the longest one's length first, and those of very unequal lengths get graphs of
+their own, so that no magnitude of finite vectors matters. Graphs are built and searched in NumPy, many vectors at once. Equal vectors are one node. Shards are searched for
 all queries in blocks and their results merged.
 """
 
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.llm.common import materialise, ship
 
-MIN_SHARDS, SHARD_ROWS = 8, 100_000
+MIN_SHARDS, SHARD_ROWS = 8, 20_000
 #: Bytes of vectors in a shard and in a block of queries, by which long vectors make more of either.
 SHARD_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
 LINKS, BASE_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 32, 64, 128
 EXPAND = 4
+#: Lengths in a band differ by at most this logarithm; a band of at most so many vectors is compared one by one.
+BAND, SCANNED = 0.2, 512
 
 
 def _dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -84,8 +87,10 @@ def select(x: np.ndarray, ids: np.ndarray, score: np.ndarray, m: int) -> np.ndar
 
 
 def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
-    """Add the reverse of every new link; a full list keeps its nearest."""
-    m = links.shape[1]
+    """Add the reverse of every new link. A list's first half holds the links a node chose itself, which lead in all
+    directions and stay; its second half the nearest reverse ones."""
+    half = links.shape[1] // 2
+    m = links.shape[1] - half
     to, of = chosen.ravel(), np.repeat(new, chosen.shape[1])
     to, of = to[to >= 0], of[to >= 0]
     near = np.einsum("bd,bd->b", x[to], x[of])
@@ -97,11 +102,11 @@ def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.nda
     node, at = np.unique(to, return_inverse=True)
     fresh = np.full((len(node), m), -1, np.int32)
     fresh[at, place] = of
-    pool = np.concatenate([links[node], fresh], 1)
+    pool = np.concatenate([links[node, half:], fresh], 1)
     s = _dots(x[pool], x[node])
     s[pool < 0] = -np.inf
     top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-    links[node] = np.take_along_axis(pool, top, 1)
+    links[node, half:] = np.take_along_axis(pool, top, 1)
 
 
 def _layer(x: np.ndarray, m: int, guide) -> np.ndarray:
@@ -119,7 +124,8 @@ def _layer(x: np.ndarray, m: int, guide) -> np.ndarray:
         mine = np.argpartition(-peers, c - 1, axis=1)[:, :c] if 0 < c < step else np.zeros((step, 0), int)
         ids, score = new[mine], np.take_along_axis(peers, mine, 1)
         if done:
-            old, s = beam(x[:done], links[:done], x[new], guide(new), BUILD_WIDTH)
+            start = guide(new)  # the layer above may hold nodes that are not in this one yet
+            old, s = beam(x[:done], links[:done], x[new], np.where(start < done, start, 0), BUILD_WIDTH)
             ids, score = np.concatenate([old, ids], 1), np.concatenate([s, score], 1)
         order = np.argsort(-score, axis=1, kind="stable")[:, :BUILD_WIDTH]
         chosen = select(x, np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1), m // 2)
@@ -129,6 +135,16 @@ def _layer(x: np.ndarray, m: int, guide) -> np.ndarray:
     return links
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by one number, so that the longest has about length one and no square overflows: the order of inner
+    products with any one vector stays."""
+    v = np.asarray(vectors, dtype=np.float64)
+    if v.size:
+        v = v / max(np.abs(v).max(), np.finfo(float).tiny)
+        v = v / max(np.sqrt((v * v).sum(axis=1)).max(), np.finfo(float).tiny)
+    return v
+
+
 class Graph:
     """``x`` sorted so that every layer is a prefix; ``layers`` are its link arrays, base first, -1 for none."""
 
@@ -137,9 +153,9 @@ class Graph:
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
-        v = vectors.astype(np.float32)
+        v = unit(vectors)
         norm = (v * v).sum(axis=1)
-        x = np.concatenate([v, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]], 1)
+        x = np.concatenate([v, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]], 1).astype(np.float32)
         level = np.floor(-np.log(np.random.default_rng(len(v)).random(len(v)) + 1e-12) / math.log(LINKS)).astype(int)
         order = np.argsort(-level, kind="stable")
         x, level = np.ascontiguousarray(x[order]), level[order]
@@ -161,7 +177,9 @@ class Graph:
 
     def search(self, q: np.ndarray, width: int) -> np.ndarray:
         """Positions in the vectors as given to build, best first, -1 for none."""
-        q = np.concatenate([q.astype(np.float32), np.zeros((len(q), 1), np.float32)], 1)
+        # Each query by its own length: the order of its inner products stays.
+        q = np.concatenate([unit(row[None]) for row in q]) if len(q) else np.zeros((0, self.x.shape[1] - 1))
+        q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
         out = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
@@ -175,13 +193,61 @@ def _table_vectors(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
+class Bands:
+    """The vectors of a shard in bands of about equal length, longest first, each a graph of its own: in one graph the short
+    vectors would lie near one another whatever their direction. Vectors of small bands are compared one by one."""
+
+    def __init__(self, vectors: np.ndarray, graphs: list[tuple[np.ndarray, Graph]], scanned: np.ndarray):
+        self.vectors, self.graphs, self.scanned = vectors, graphs, scanned
+        self.rows = unit(vectors[scanned])
+
+    @classmethod
+    def build(cls, vectors: np.ndarray) -> Bands:
+        v = np.asarray(vectors, dtype=np.float64)
+        largest = np.maximum(np.abs(v).max(axis=1), np.finfo(float).tiny)  # no vector is zero
+        length = np.log(largest) + np.log(np.sqrt(((v / largest[:, None]) ** 2).sum(axis=1)))
+        order, graphs, scanned, at = np.argsort(-length, kind="stable"), [], [], 0
+        while at < len(order):
+            end = at + int(np.searchsorted(-length[order[at:]], -length[order[at]] + BAND, side="right"))
+            mine, at = np.sort(order[at:end]), end
+            if len(mine) > SCANNED:
+                graphs.append((mine, Graph.build(v[mine])))
+            else:
+                scanned.append(mine)
+        return cls(vectors, graphs, np.concatenate(scanned) if scanned else np.zeros(0, int))
+
+    def search(self, q: np.ndarray, width: int, k: int) -> np.ndarray:
+        """Positions of what may be nearest to each query, -1 for none: what each graph finds, and the first k of the rest."""
+        found = [np.where((at := graph.search(q, width)) >= 0, mine[at], -1) for mine, graph in self.graphs]
+        if len(self.scanned):
+            found.append(np.concatenate([self._first(q[at : at + 256], min(k, len(self.scanned))) for at in range(0, len(q), 256)]))
+        return np.concatenate(found, axis=1) if found else np.zeros((len(q), 0), int)
+
+    def _first(self, q: np.ndarray, k: int) -> np.ndarray:
+        score = np.concatenate([unit(row[None]) for row in q]) @ self.rows.T
+        return self.scanned[np.argsort(-score, axis=1, kind="stable")[:, :k]]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        out = {"vectors": self.vectors, "scanned": self.scanned}
+        for b, (mine, g) in enumerate(self.graphs):
+            out |= {f"mine{b}": mine, f"x{b}": g.x, f"order{b}": g.order, **{f"layer{b}_{i}": a for i, a in enumerate(g.layers)}}
+        return out
+
+    @classmethod
+    def of(cls, z: dict[str, np.ndarray]) -> Bands:
+        graphs = []
+        for b in range(sum(f.startswith("mine") for f in z)):
+            layers = [z[f"layer{b}_{i}"] for i in range(sum(f.startswith(f"layer{b}_") for f in z))]
+            graphs.append((z[f"mine{b}"], Graph(z[f"x{b}"], layers, z[f"order{b}"])))
+        return cls(z["vectors"], graphs, z["scanned"])
+
+
 def _build(table: pa.Table) -> pa.Table:
     rows, ids = _table_vectors(table.column("vec")), table.column("vec_id").to_numpy()
     vectors, owner = np.unique(rows, axis=0, return_inverse=True)
     pairs = np.unique(np.stack([owner.ravel(), ids], 1), axis=0)
-    graph = Graph.build(vectors)
     blob = io.BytesIO()
-    np.savez(blob, vectors=vectors, ids=pairs[:, 1], start=np.searchsorted(pairs[:, 0], np.arange(len(vectors) + 1)), order=graph.order, x=graph.x, **{f"layer{i}": a for i, a in enumerate(graph.layers)})
+    np.savez(blob, ids=pairs[:, 1], start=np.searchsorted(pairs[:, 0], np.arange(len(vectors) + 1)), **Bands.build(vectors).arrays())
     return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "graph": pa.array([blob.getvalue()], pa.binary())})
 
 
@@ -189,14 +255,16 @@ def _search(k: int, width: int):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"qid": [], "vec_id": [], "score": []}
         if index.num_rows and queries.num_rows:
-            z = np.load(io.BytesIO(index.column("graph")[0].as_py()))
-            graph = Graph(z["x"], [z[f"layer{i}"] for i in range(sum(f.startswith("layer") for f in z.files))], z["order"])
-            vectors, ids, start = z["vectors"], z["ids"], z["start"]
+            with np.load(io.BytesIO(index.column("graph")[0].as_py())) as z:
+                arrays = {f: z[f] for f in z.files}
+            bands, vectors, ids, start = Bands.of(arrays), arrays["vectors"], arrays["ids"], arrays["start"]
             q = _table_vectors(queries.column("vec"))
-            found = graph.search(q, width)
+            found = bands.search(q, width, 2 * k + 2)
             for row, near, qid in zip(q, found, queries.column("qid").to_pylist()):
                 near = near[near >= 0]
-                exact = (vectors[near] * row).sum(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (vectors[near] * row).sum(axis=1)
+                exact[np.isnan(exact)] = -np.inf  # beyond doubles on either side
                 hits = []
                 taken: set[int] = set()  # an id with several vectors counts with its best
                 for j in np.argsort(-exact, kind="stable"):
@@ -238,7 +306,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, width: int =
     vec_id. Vectors that are null, zero or hold a null or non-finite component take no part; vectors meet only others of
     their length. Repeated rows with one vec_id and vector count once as candidates, and each as a query; of several
     vectors under one vec_id the best counts as candidate, and none of them for a query of that vec_id. Empty tables give
-    an empty result.
+    an empty result. A score beyond doubles is infinite, one whose sum is of both infinities the lowest.
     """
     ship(embeddings.sparkSession)
     rows = usable(embeddings)

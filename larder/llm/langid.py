@@ -21,8 +21,6 @@ SIZES = (2, 3)
 #: Labelled rows taken for training, over all languages; rows for each are this over the number of languages.
 SAMPLE_ROWS = 2400
 CENTROIDS = 4
-#: Languages that can be learned, those with most documents; bounds what a sample holds where there are more than its rows.
-MAX_LANGS = 500
 #: How much of what is left from the farthest training text to a right angle is still within reach.
 SLACK = 0.6
 NO_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -101,18 +99,19 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int =
     """Fit on (doc_id, text, lang). Rows with null lang or without a letter are left out.
 
     At most ``sample_rows`` documents are used (one for each language, where there are more languages), the first of
-    each language by a hash of doc_id, of at most ``MAX_LANGS`` languages; the driver gets their sparse counts alone. Repeated rows of a language and doc_id
-    count once; of their texts the first in order that has a letter is used. Without labelled rows the model knows no
-    language and answers ``und``.
+    each language by a hash of doc_id; the driver gets their sparse counts alone. Every labelled language is learned, so
+    that the model grows with their number, by some 16 KB each. Repeated rows of a language and doc_id count once; of their
+    texts the first in order that has a letter is used. Without labelled rows the model knows no language and answers
+    ``und``.
     """
     spark = labelled.sparkSession
     prepare(spark)
     ids = labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    ids_of = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    ids_of = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
     each = max(1, sample_rows // max(1, len(ids_of)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    share = [x for r in ids_of for x in (F.lit(r["lang"]), F.lit(min(1 << 31, 3 * each * (1 << 31) // max(1, r["n"]))))]  # some three times the sample
-    near = ids.filter(draw < F.element_at(F.create_map(*share), F.col("lang"))) if share else ids.limit(0)
+    share = spark.createDataFrame([(r["lang"], min(1 << 31, 3 * each * (1 << 31) // max(1, r["n"]))) for r in ids_of], "lang string, upto long")
+    near = ids.join(F.broadcast(share), "lang").filter(draw < F.col("upto"))  # some three times the sample; one row for each language
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     picked = near.select("lang", draw.alias("draw"), "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= each)
     wanted = materialise(picked.select("lang", "doc_id"), "langid-sample")  # at most sample_rows ids, or one for each language

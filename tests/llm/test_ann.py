@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from larder.llm.ann import Graph, search
+from larder.llm.ann import Bands, Graph, search
 from tests.llm.helpers import DATA
 
 
@@ -75,3 +76,50 @@ def test_graph_recall_and_layers():
     found = graph.search(x[::30], 128)
     exact = np.argsort(-(x[::30] @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, found)]) >= 0.9
+
+
+def magnitudes(kind, n=2500, d=32):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        return x * rng.lognormal(0, 0.5, size=(n, 1))
+    if kind == "integers":
+        return rng.integers(-3, 4, size=(n, 8)) + 0.0
+    if kind == "clusters":
+        return rng.normal(size=(30, d))[rng.integers(30, size=n)] + 0.1 * x
+    x[5] *= {"one long": 1e4, "one far longer": 1e40}.get(kind, 1)
+    return x * {"large": 1e20, "small": 1e-25, "largest": 1e150}.get(kind, 1)
+
+
+@pytest.mark.parametrize("kind", ["unit", "one long", "large", "largest", "one far longer", "small", "lognormal", "integers", "clusters"])
+def test_recall_at_any_magnitude(kind):
+    x = magnitudes(kind)
+    x = x[np.any(x != 0, axis=1)]
+    q = x[::25]
+    score = q @ x.T
+    last = np.sort(score, axis=1)[:, -20]
+    near = Bands.of(Bands.build(x).arrays()).search(q, 128, 42)
+    hits = [min(20, (s[n[n >= 0]] >= least).sum()) for s, n, least in zip(score, near, last)]
+    assert sum(hits) >= 0.95 * 20 * len(q) and min((n >= 0).sum() for n in near) >= 20
+
+
+@pytest.mark.parametrize("scale", [1e20, 1e-25, 1e160])
+def test_no_query_is_left_without_neighbours(spark, scale):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) * scale for c in rng.normal(size=6)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(table, table.filter("vec_id % 20 = 0")).groupBy("query_id").count().collect()
+    assert len(got) == 20 and all(r["count"] == 20 for r in got)
+
+
+def test_a_layer_above_with_more_nodes_than_the_first_step():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph.build(x)
+    assert len(graph.layers) > 1 and len(graph.layers[1]) > 512
+    q = x[::100]
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    got = graph.search(q, 128)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, got)]) >= 0.95

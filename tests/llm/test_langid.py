@@ -99,3 +99,11 @@ def test_clustering_against_plain_loops():
         centres = [mean([r for r, m in zip(rows, near) if m == j]) if j in near else centres[j] for j in range(3)]
     centres = [[v / math.sqrt(dot(c, c)) for v in c] for c in centres]
     assert np.allclose(langid._kmeans(x, 3), centres)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    rows = [(i, "".join(rng.choice([letters[i], letters[(i * 7 + 1) % 600], " "], 60)), f"g{i:03d}") for i in range(600)] + [(1000, None, "none"), (1001, "123", "digits")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    assert model.langs == tuple(f"g{i:03d}" for i in range(600))
