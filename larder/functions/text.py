@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from larder.enums import BLOCKER, CATEGORY_HINTS, ORIGIN_RANKS, PRICE_PLACEHOLDERS
+from larder.functions.patterns import MOST_EXPRESSIONS, outer_labels, words_in
 from larder.runtime import ship
 
 # --- fixed values: what a menu name is cleaned of ----------------------------------------------------------------------
@@ -153,6 +154,8 @@ def is_beverage(original: Column) -> Column:
 
 
 def has_term(text: Column, terms: list[str]) -> Column:
+    if len(terms) > MOST_EXPRESSIONS:
+        return F.size(words_in(text, terms)) > 0
     return reduce(lambda c, t: c | F.contains(text, F.lit(t)), terms, F.lit(False))
 
 
@@ -232,10 +235,7 @@ def guess_brand(name: Column) -> Column:
 def keyword_tags(normalized: Column, keywords: list[tuple[str, str]]) -> Column:
     """Food types of the keywords that the name holds, less those inside a longer keyword that it holds too."""
     low = F.lower(F.coalesce(normalized, F.lit("")))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in keywords])
-    hits = F.filter(table, lambda e: F.contains(low, e["k"]))
-    free = F.filter(hits, lambda h: (h["t"] != BLOCKER) & ~F.exists(hits, lambda o: (o["k"] != h["k"]) & F.contains(o["k"], h["k"])))
-    return F.array_sort(F.array_distinct(F.transform(free, lambda h: h["t"])))
+    return F.array_sort(F.array_distinct(F.filter(outer_labels(low, keywords), lambda t: t != BLOCKER)))
 
 
 def category_tags(category: Column, mapping: dict[str, list[str]]) -> Column:

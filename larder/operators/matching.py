@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from larder.enums import CAFE, CONTAIN_LEAST_LENGTH, CONTAIN_LEAST_RATIO, EDIT_LEAST, NGRAM_LEAST, SHORTLIST
 from larder.functions.numeric import confidence
+from larder.functions.patterns import words_in
 from larder.functions.text import basis_key, bigrams, candidate_keys, flat, has_term, is_branch, strict_subset, tokens
 from larder.runtime import is_materialised, materialise, ship
 
@@ -32,8 +33,7 @@ def brand_of(name: Column, brands: list[str]) -> Column:
     """The longest brand that the name holds, else null."""
     if not brands:
         return F.lit(None).cast("string")
-    ordered = F.array(*[F.lit(b) for b in sorted(brands, key=len, reverse=True)])
-    return F.get(F.filter(ordered, lambda b: F.contains(F.lower(name), b)), 0)
+    return F.get(words_in(F.lower(name), sorted(brands, key=len, reverse=True)), 0)
 
 
 def scope_label(restaurant: Column, cuisine: Column, brands: list[str], franchise: bool, branch: bool, cafe: bool) -> Column:
@@ -46,7 +46,7 @@ def pools(foods: DataFrame, brands: list[str]) -> DataFrame:
     """Foods with their pool: the general one without rows of any brand's company, and one for each brand that a company's
     name holds; a row may be in several brands' pools."""
     company = F.lower(F.coalesce("company_name", F.lit("")))
-    hits = F.filter(F.array(*[F.lit(b) for b in brands]).cast("array<string>"), lambda b: F.contains(company, b))
+    hits = words_in(company, brands)
     return foods.filter("normalized_name <> ''").withColumn("pool", F.explode(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(GENERAL)))))
 
 

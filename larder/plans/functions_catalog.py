@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import DataFrame, functions as F
 
 from larder.enums import CATEGORY_HINTS, DISEASE_ISSUES, ISSUE_LABELS, METHOD_CONFIDENCE, NUTRITION_FILTERS
@@ -110,19 +112,31 @@ def fn_guess_brand(v: Views) -> DataFrame:
     return v.restaurant.select("id", text.guess_brand(F.col("name")).alias("brand_guess"))
 
 
-_HITS = "list_filter([" + ", ".join(f"{{'k': '{k}', 't': '{t}'}}" for k, t in KEYWORDS) + "], lambda e : contains(normalized_name, e.k))"
-KEYWORD_SQL = f"""
-    WITH h AS (SELECT DISTINCT normalized_name, {_HITS} AS hits FROM menu)
+def _keyword_sql(pairs: list[tuple[str, str]]) -> str:
+    hits = "list_filter([" + ", ".join(f"{{'k': '{k}', 't': '{t}'}}" for k, t in pairs) + "], lambda e : contains(normalized_name, e.k))"
+    return f"""
+    WITH h AS (SELECT DISTINCT normalized_name, {hits} AS hits FROM menu)
     SELECT normalized_name, array_to_string(list_sort(list_distinct(list_transform(list_filter(hits, lambda a : a.t <> '-' AND len(list_filter(hits, lambda o : o.k <> a.k AND contains(o.k, a.k))) = 0), lambda a : a.t))), ',') AS tags FROM h
 """
 
 
+KEYWORD_SQL = _keyword_sql(KEYWORDS)
+#: Beside the keywords every pair of letters, so that the automaton finds them.
+MANY_KEYWORDS = KEYWORDS + [(a + b, f"PAIR{(ord(a) + ord(b)) % 11}") for a in ascii_lowercase for b in ascii_lowercase]
+
+
 @query("fn_keyword_tags", KEYWORD_SQL)
 def fn_keyword_tags(v: Views) -> DataFrame:
     rows = v.menu.select("normalized_name").distinct()
     return rows.select("normalized_name", F.array_join(text.keyword_tags(F.col("normalized_name"), KEYWORDS), ",").alias("tags"))
 
 
+@query("fn_keyword_tags_many", _keyword_sql(MANY_KEYWORDS))
+def fn_keyword_tags_many(v: Views) -> DataFrame:
+    rows = v.menu.select("normalized_name").distinct()
+    return rows.select("normalized_name", F.array_join(text.keyword_tags(F.col("normalized_name"), MANY_KEYWORDS), ",").alias("tags"))
+
+
 @query("fn_category_tags", "SELECT food_code, CASE major_category WHEN 'ECONOMY' THEN 'RICE' WHEN 'LARGE' THEN 'MEAT,SOUP' WHEN 'PROMO' THEN 'DESSERT' ELSE '' END AS tags FROM official_food")
 def fn_category_tags(v: Views) -> DataFrame:
     return v.official_food.select("food_code", F.array_join(text.category_tags(F.col("major_category"), CATEGORY_MAP), ",").alias("tags"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from larder.operators import evaluation, search, tagging
+from larder.operators.ordered import Ordered
+from larder.operators.trigrams import Trigrams
 from larder.plans.catalog import query
 from larder.plans.functions_catalog import CATEGORY_MAP, KEYWORD_SQL, KEYWORDS, RATE_SQL
 from larder.plans.views import Views
@@ -56,6 +58,18 @@ def flt_find_food(v: Views) -> DataFrame:
     return search.find_foods(v.official_food, "Ring", 30).select("food_code", "food_name")
 
 
+@query("flt_find_food_indexed", "SELECT food_code, food_name FROM official_food WHERE contains(normalized_name, 'hot ring') ORDER BY normalized_name, food_code LIMIT 30")
+def flt_find_food_indexed(v: Views) -> DataFrame:
+    index = Trigrams.write(v.official_food, "food_code", ["lower(normalized_name)", "lower(food_name)"], v.scratch("food-runs"))
+    return search.find_foods(index.candidates(["hot ring"]), "Hot ring", 30).select("food_code", "food_name")
+
+
+@query("flt_words_indexed", "SELECT id, name FROM menu WHERE contains(lower(name), 'plate') AND contains(lower(name), 'big')")
+def flt_words_indexed(v: Views) -> DataFrame:
+    index = Trigrams.write(v.menu.select("id", "name"), "id", ["lower(name)"], v.scratch("menu-runs"))
+    return index.search(["big", "plate"])
+
+
 @query("prj_dto", f"SELECT m.id, m.name, price, r.id AS restaurant_id, r.name AS restaurant_name, cuisine {_BASE}")
 @query("jn_menu_restaurant", f"SELECT m.id, m.name, price, r.id AS restaurant_id, r.name AS restaurant_name, cuisine {_BASE}")
 def jn_menu_restaurant(v: Views) -> DataFrame:
@@ -157,6 +171,35 @@ def lim_db_page(v: Views) -> DataFrame:
     return search.page(found, [F.asc("name"), F.asc("id")], 2, 25)[0]
 
 
+_MENU_ORDER = ["name", "-price", "id"]
+_MENU_PAGE = "SELECT name, price, id FROM menu {where} ORDER BY name, price DESC NULLS LAST, id LIMIT 25"
+
+
+def ordered_menus(v: Views) -> Ordered:
+    return Ordered.write(v.menu.select("name", "price", "id"), _MENU_ORDER, v.scratch("menus-in-order"))
+
+
+@query("lim_page_in_order", _MENU_PAGE.format(where="") + " OFFSET 375")
+def lim_page_in_order(v: Views) -> DataFrame:
+    return ordered_menus(v).page(15, 25)
+
+
+@query("lim_seek_page", _MENU_PAGE.format(where="") + " OFFSET 50")
+def lim_seek_page(v: Views) -> DataFrame:
+    """The third page, asked for by the last row of the second."""
+    menus = ordered_menus(v)
+    seen = menus.page(1, 25).collect()
+    return menus.after(tuple(seen[-1]), 25) if seen else menus.page(2, 25)
+
+
+@query("lim_seek_filtered", _MENU_PAGE.format(where="WHERE contains(lower(name), 'plate')") + " OFFSET 25")
+def lim_seek_filtered(v: Views) -> DataFrame:
+    """The second page of a search, asked for by the last row of the first."""
+    menus, plates = ordered_menus(v), F.contains(F.lower("name"), F.lit("plate"))
+    first = menus.after(None, 25, plates).collect()
+    return menus.after(tuple(first[-1]), 25, plates) if first else menus.page(0, 0)
+
+
 _TAGGED = f"""
     WITH k AS ({KEYWORD_SQL}), t AS (SELECT m.id, cuisine = 'CAFE_DESSERT' AS cafe, k.tags AS kt, CASE major_category WHEN 'ECONOMY' THEN 'RICE' WHEN 'LARGE' THEN 'MEAT,SOUP' WHEN 'PROMO' THEN 'DESSERT' ELSE '' END AS ct
       {_BASE} JOIN k ON k.normalized_name = m.normalized_name LEFT JOIN official_food f ON f.food_code = m.official_food_code)"""
