@@ -2,24 +2,25 @@
 
 Inner product is searched as nearness on a sphere: every stored vector gets one more component that makes all lengths
 equal. Vectors of a shard are divided by the longest one's length first, and those of very unequal lengths get graphs of
-their own, so that no magnitude of finite vectors matters. Graphs are built and searched in NumPy, many vectors at once. Equal vectors are one node. Shards are searched for
-all queries in blocks and their results merged.
+their own, so that no magnitude of finite vectors matters. Graphs are built and searched in NumPy, many vectors at once.
+Equal vectors are one node. A task takes in a shard's graph once, then all queries stream past it; shards' results are merged.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larder.llm.common import materialise, ship
+from larder.llm.common import materialise, prepare
 
 MIN_SHARDS, SHARD_ROWS = 8, 20_000
-#: Bytes of vectors in a shard and in a block of queries, by which long vectors make more of either.
-SHARD_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
+#: Bytes of vectors in a shard, by which long vectors make more shards.
+SHARD_BYTES = 64 << 20
 LINKS, BASE_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 32, 64, 128
 EXPAND = 4
 #: Lengths in a band differ by at most this logarithm; a band of at most so many vectors is compared one by one.
@@ -188,8 +189,7 @@ class Graph:
         return np.concatenate(out)
 
 
-def _table_vectors(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _vectors(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
@@ -243,7 +243,7 @@ class Bands:
 
 
 def _build(table: pa.Table) -> pa.Table:
-    rows, ids = _table_vectors(table.column("vec")), table.column("vec_id").to_numpy()
+    rows, ids = _vectors(table.column("vec").combine_chunks()), table.column("vec_id").to_numpy()
     vectors, owner = np.unique(rows, axis=0, return_inverse=True)
     pairs = np.unique(np.stack([owner.ravel(), ids], 1), axis=0)
     blob = io.BytesIO()
@@ -251,33 +251,67 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "graph": pa.array([blob.getvalue()], pa.binary())})
 
 
-def _search(k: int, width: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+def _nearest(graph: bytes, queries: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """What one shard holds nearest to each query, k and one in case the query itself is among them."""
+    with np.load(io.BytesIO(graph)) as z:
+        arrays = {f: z[f] for f in z.files}
+    bands, vectors, ids, start = Bands.of(arrays), arrays["vectors"], arrays["ids"], arrays["start"]
+    for batch in queries:
+        q = _vectors(batch.column("vec"))
         out = {"qid": [], "vec_id": [], "score": []}
-        if index.num_rows and queries.num_rows:
-            with np.load(io.BytesIO(index.column("graph")[0].as_py())) as z:
-                arrays = {f: z[f] for f in z.files}
-            bands, vectors, ids, start = Bands.of(arrays), arrays["vectors"], arrays["ids"], arrays["start"]
-            q = _table_vectors(queries.column("vec"))
-            found = bands.search(q, width, 2 * k + 2)
-            for row, near, qid in zip(q, found, queries.column("qid").to_pylist()):
-                near = near[near >= 0]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    exact = (vectors[near] * row).sum(axis=1)
-                exact[np.isnan(exact)] = -np.inf  # beyond doubles on either side
-                hits = []
-                taken: set[int] = set()  # an id with several vectors counts with its best
-                for j in np.argsort(-exact, kind="stable"):
-                    if len(hits) > k and exact[j] < hits[k][0]:
-                        break
-                    fresh = [i for i in ids[start[near[j]] : start[near[j] + 1]].tolist() if i not in taken]
-                    taken.update(fresh)
-                    hits += [(float(exact[j]), i) for i in fresh]
-                hits = sorted(hits, key=lambda h: (-h[0], h[1]))[: k + 1]
-                out["qid"].append(qid)
-                out["vec_id"].append([i for _, i in hits])
-                out["score"].append([s for s, _ in hits])
-        return pa.table({"qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.list_(pa.float64()))})
+        for row, near, qid in zip(q, bands.search(q, width, 2 * k + 2), batch.column("qid").to_pylist()):
+            near = near[near >= 0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (vectors[near] * row).sum(axis=1)
+            exact[np.isnan(exact)] = -np.inf  # beyond doubles on either side
+            hits = []
+            taken: set[int] = set()  # an id with several vectors counts with its best
+            for j in np.argsort(-exact, kind="stable"):
+                if len(hits) > k and exact[j] < hits[k][0]:
+                    break
+                fresh = [i for i in ids[start[near[j]] : start[near[j] + 1]].tolist() if i not in taken]
+                taken.update(fresh)
+                hits += [(float(exact[j]), i) for i in fresh]
+            hits = sorted(hits, key=lambda h: (-h[0], h[1]))[: k + 1]
+            out["qid"].append(qid)
+            out["vec_id"].append([i for _, i in hits])
+            out["score"].append([s for s, _ in hits])
+        yield pa.record_batch({"qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.list_(pa.float64()))})
+
+
+def _stream(k: int, width: int):
+    """Rows sorted by shard, in each its graph before its queries: one graph and one batch are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def more() -> pa.RecordBatch | None:
+            while not waiting:
+                batch = next(batches, None)
+                if batch is None:
+                    return None
+                if batch.num_rows:
+                    waiting.append(batch)
+            return waiting.pop()
+
+        def queries() -> Iterator[pa.RecordBatch]:
+            """Up to the next graph, with which what follows waits."""
+            while (batch := more()) is not None:
+                cut = np.flatnonzero(batch.column("graph").is_valid().to_numpy(zero_copy_only=False))
+                end = int(cut[0]) if len(cut) else batch.num_rows
+                if end < batch.num_rows:
+                    waiting.append(batch.slice(end))
+                if end:
+                    yield batch.slice(0, end)
+                if end < batch.num_rows:
+                    return
+
+        while (batch := more()) is not None:
+            graph = batch.column("graph")[0].as_py()
+            if batch.num_rows > 1:
+                waiting.append(batch.slice(1))
+            del batch
+            yield from _nearest(graph, queries(), k, width)
 
     return run
 
@@ -308,19 +342,21 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, width: int =
     vectors under one vec_id the best counts as candidate, and none of them for a query of that vec_id. Empty tables give
     an empty result. A score beyond doubles is infinite, one whose sum is of both infinities the lowest.
     """
-    ship(embeddings.sparkSession)
+    prepare(embeddings.sparkSession)
     rows = usable(embeddings)
     n, widest = rows.agg(F.count("*"), F.max("dim")).first()
     index = build_index(rows, k, n, widest or 1)
     asked = usable(queries)
     distinct = materialise(asked.select("dim", "vec").distinct().withColumn("qid", F.monotonically_increasing_id()), "query-vectors")
-    blocks = max(1, -(-distinct.count() // max(1, BLOCK_BYTES // (8 * (widest or 1)))))
-    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = distinct.withColumn("block", block).join(F.broadcast(shards), "dim")  # one row per shard
-    by = ("dim", "shard", "block")
-    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k, width), "qid long, vec_id array<long>, score array<double>")
+    shards = index.select("dim", "shard")
+    asked_of = distinct.join(F.broadcast(shards), "dim")  # one row per shard
+    rows = index.select("dim", "shard", "graph", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<double>").alias("vec")).unionByName(
+        asked_of.select("dim", "shard", F.lit(None).cast("binary").alias("graph"), "qid", "vec")
+    )
+    # More partitions than shards, so that few shards meet in one; the one null qid of a shard is its graph's and comes first.
+    tasks = 2 * shards.count() or 1
+    streams = rows.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "qid")
+    hits = streams.mapInArrow(_stream(k, width), "qid long, vec_id array<long>, score array<double>")
     flat = hits.select("qid", F.explode(F.arrays_zip("vec_id", "score")).alias("h")).select("qid", "h.vec_id", "h.score")
     flat = flat.repartition("qid").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))  # shards may hold vectors of one id
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")

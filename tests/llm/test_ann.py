@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from larder.llm import ann
 from larder.llm.ann import Bands, Graph, search
 from tests.llm.helpers import DATA
 
@@ -123,3 +125,22 @@ def test_a_layer_above_with_more_nodes_than_the_first_step():
     best = np.argsort(-(q @ x.T), axis=1)[:, :20]
     got = graph.search(q, 128)
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, got)]) >= 0.95
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_a_graph_is_taken_in_once_and_queries_stream_past_it(monkeypatch, size):
+    asked = []
+
+    def nearest(graph, queries, k, width):
+        got = [b.column("qid").to_pylist() for b in queries]
+        assert all(got)
+        asked.append((graph, sum(got, [])))
+        yield from ()
+
+    monkeypatch.setattr(ann, "_nearest", nearest)
+    rows = [(b"a", None), (None, 1), (None, 2), (None, 3), (b"b", None), (b"c", None), (None, 4), (None, 5)]
+    batch = pa.record_batch({"graph": pa.array([g for g, _ in rows], pa.binary()), "qid": pa.array([q for _, q in rows], pa.int64())})
+    cut = [batch.slice(at, size) for at in range(0, len(rows), size)] + [batch.slice(0, 0)]
+    assert list(ann._stream(20, 128)(iter(cut))) == []
+    assert asked == [(b"a", [1, 2, 3]), (b"b", []), (b"c", [4, 5])]
+    assert list(ann._stream(20, 128)(iter([]))) == []
