@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.llm import exact_dedup, langid, near_dedup, packing, secrets
-from larder.llm.common import materialise, sized
+from larder.llm.common import discard, materialise, sized
 from larder.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 #: No SQL: tokenizers, centroids and signatures are outside it; tests hold the stages against brute force.
@@ -62,8 +62,9 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("minhash_near_d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
+    """All stages over documents, each one's result written and read again; a result goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
