@@ -2,7 +2,8 @@
 
 Rows lie in parts by ranges of the order, each part's rows sorted and numbered, and a directory has one row for each part: its
 first key and its number of rows. A page by number is found by the prefix sums of those numbers, a page after a row by the
-first keys, so that only the parts a page lies in are read, and of these the rows by their place.
+first keys or by that row's place, so that only the parts a page lies in are read, and of these the rows by their place. Only
+a place tells rows apart that are equal in every column.
 
     <path>/rows/part=<n>/part-...
     <path>/directory/part-...
@@ -11,8 +12,9 @@ first keys, so that only the parts a page lies in are read, and of these the row
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from larder.runtime import in_order, discard, prefix_sums
 
@@ -25,8 +27,16 @@ def _sort(key: str) -> Column:
     return F.desc(_name(key)) if key.startswith("-") else F.asc(key)
 
 
+class Place(NamedTuple):
+    """Where a row lies: in the order of places, rows are in the table's order."""
+
+    part: int
+    place: int
+
+
 class Ordered:
-    """``keys``: column names, a minus before those in descending order. Nulls count as smallest. Together the keys name a row."""
+    """``keys``: column names, a minus before those in descending order. Nulls count as smallest. Rows with the same keys must be
+    equal in every column."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.path, self.keys = path.rstrip("/"), keys
@@ -38,13 +48,16 @@ class Ordered:
 
     @classmethod
     def write(cls, rows: DataFrame, keys: list[str], path: str) -> Ordered:
-        """``rows`` in order at a new path. ValueError where two rows have one key, or a column is named part, place or mid."""
+        """``rows`` in order at a new path. ValueError where two different rows have one key, so that their order is open, or a
+        column is named part, place or mid."""
         names, spark = [_name(k) for k in keys], rows.sparkSession
         if clash := {"part", "place", "mid"} & set(rows.columns):
             raise ValueError(f"no column may be named {', '.join(sorted(clash))}")
         placed = in_order(rows, [_sort(k) for k in keys], "ordered")
-        if not placed.groupBy(*names).count().filter("count > 1").isEmpty():
-            raise ValueError(f"not unique: {', '.join(names)}")
+        if rest := [c for c in rows.columns if c not in names]:
+            other = F.struct(*rest)
+            if not placed.groupBy(*names).agg(F.min(other).alias("a"), F.max(other).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+                raise ValueError(f"not unique: {', '.join(names)}")
         numbered = placed.withColumns({"part": F.shiftright("mid", 33).cast("int"), "place": F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))}).drop("mid")
         # The parts stay as they were written: each is read and written by tasks of its own, without another shuffle.
         numbered.sortWithinPartitions("part", "place").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows")
@@ -65,13 +78,20 @@ class Ordered:
     def total(self) -> int:
         return sum(n for _, n in self.counts)
 
-    def page(self, number: int, size: int) -> DataFrame:
-        """Page ``number``, from 0, in order; empty beyond the end. Rows of other places are not read from the files."""
+    @staticmethod
+    def place_of(row: Row) -> Place:
+        """The place of a row that was read with ``placed``."""
+        return Place(row["part"], row["place"])
+
+    def page(self, number: int, size: int, placed: bool = False) -> DataFrame:
+        """Page ``number``, from 0, in order; empty beyond the end. Rows of other places are not read from the files. With
+        ``placed`` the rows keep part and place."""
         begin, end, base = number * size, (number + 1) * size, prefix_sums(self.counts)
         touched = [p for p, n in self.counts if base[p] < end and base[p] + n > begin]
         inside = [(F.col("part") == p) & (F.col("place") >= begin - base[p]) & (F.col("place") < end - base[p]) for p in touched]
         rows = self._parts(touched).filter(reduce(lambda a, b: a | b, inside, F.lit(False)))
-        return rows.orderBy("part", "place").limit(size).drop("part", "place")
+        top = rows.orderBy("part", "place").limit(size)
+        return top if placed else top.drop("part", "place")
 
     def _beyond(self, last: tuple, column) -> Column:
         """Whether a row comes after the one with the keys ``last``; ``column`` gives a key's column by its name."""
@@ -86,14 +106,17 @@ class Ordered:
             out, same = out | (same & after), same & c.eqNullSafe(v)
         return out
 
-    def after(self, last: tuple | None, size: int, where: Column | None = None) -> DataFrame:
-        """The first ``size`` rows after the one with the keys ``last`` (None: from the start), of those that meet ``where``.
+    def after(self, last: Place | tuple | None, size: int, where: Column | None = None, placed: bool = False) -> DataFrame:
+        """The first ``size`` rows after the one at the place ``last``, or after all with the keys ``last`` (None: from the start),
+        of those that meet ``where``. With ``placed`` the rows keep part and place.
 
         Parts are read from the one in which that row lies, or would lie: without ``where`` as many as hold ``size`` rows more,
         with it one, then two, four and so on until enough rows are found.
         """
         first = self.counts[0][0] if self.counts else 0
-        if last is not None:
+        if isinstance(last, Place):
+            first = last.part
+        elif last is not None:
             found = self.directory.filter(~self._beyond(last, lambda k: F.col("first")[k])).agg(F.max("part")).first()[0]
             first = first if found is None else found
         rest = [(p, n) for p, n in self.counts if p >= first]
@@ -109,10 +132,12 @@ class Ordered:
                 at = min(len(rest), at + step)
                 step *= 2
             rows = self._parts([p for p, _ in rest[:at]])
-            if last is not None:
+            if isinstance(last, Place):
+                rows = rows.filter((F.col("part") > last.part) | (F.col("place") > last.place))
+            elif last is not None:
                 rows = rows.filter(self._beyond(last, F.col))
             if where is not None:
                 rows = rows.filter(where)
             top = rows.orderBy("part", "place").limit(size)
             if where is None or at >= len(rest) or top.count() >= size:
-                return top.drop("part", "place")
+                return top if placed else top.drop("part", "place")

@@ -63,3 +63,18 @@ def test_edges(spark, tmp_path):
         Ordered.write(twice, ["id"], f"file://{tmp_path}/d")
     with pytest.raises(ValueError, match="place"):
         Ordered.write(twice.withColumn("place", F.lit(1)), ["name"], f"file://{tmp_path}/c")
+
+
+def test_rows_that_are_equal_in_every_column(spark, tmp_path):
+    df = spark.range(60).select(F.when(F.col("id") < 40, F.lit("a")).otherwise(F.lit("b")).alias("name"), F.lit(None).cast("int").alias("price"), (F.col("id") % 2).alias("id"))
+    rows = [tuple(r) for r in df.orderBy("name", "id").collect()]
+    table = Ordered.write(df, KEYS, f"file://{tmp_path}/t")
+    assert got(table.page(1, 7)) == rows[7:14]
+    seen, last = [], None
+    while page := table.after(last, 7, placed=True).collect():  # no row is lost or comes twice, though pages end within equal rows
+        seen, last = seen + [(r["name"], r["price"], r["id"]) for r in page], table.place_of(page[-1])
+    assert seen == rows
+    odd = F.col("id") == 1
+    first = table.after(None, 7, odd, placed=True).collect()
+    assert got(table.after(table.place_of(first[-1]), 30, odd)) == [r for r in rows if r[2] == 1][7:37]
+    assert got(table.after(("a", None, 0), 100)) == rows[20:]  # by keys: after all rows that have them
