@@ -196,8 +196,8 @@ def lim_seek_page(v: Views) -> DataFrame:
 def lim_seek_filtered(v: Views) -> DataFrame:
     """The second page of a search, asked for by the last row of the first."""
     menus, plates = ordered_menus(v), F.contains(F.lower("name"), F.lit("plate"))
-    first = menus.after(None, 25, plates).collect()
-    return menus.after(tuple(first[-1]), 25, plates) if first else menus.page(0, 0)
+    first = menus.after(None, 25, plates, placed=True).collect()
+    return menus.after(menus.place_of(first[-1]), 25, plates) if first else menus.page(0, 0)
 
 
 _TAGGED = f"""
