@@ -188,8 +188,8 @@ def lim_page_in_order(v: Views) -> DataFrame:
 def lim_seek_page(v: Views) -> DataFrame:
     """The third page, asked for by the last row of the second."""
     menus = ordered_menus(v)
-    seen = menus.page(1, 25).collect()
-    return menus.after(tuple(seen[-1]), 25) if seen else menus.page(2, 25)
+    seen = menus.page(1, 25, placed=True).collect()
+    return menus.after(menus.place_of(seen[-1]), 25) if seen else menus.page(2, 25)
 
 
 @query("lim_seek_filtered", _MENU_PAGE.format(where="WHERE contains(lower(name), 'plate')") + " OFFSET 25")
