@@ -83,7 +83,7 @@ def jn_menu_food_left(v: Views) -> DataFrame:
 
 @query("jn_menu_tags_left", "SELECT id, string_agg(food_type, ',' ORDER BY food_type) AS food_types FROM menu LEFT JOIN menu_food_type ON menu_id = id GROUP BY id")
 def jn_menu_tags_left(v: Views) -> DataFrame:
-    return search.with_tags(v.menu, v.menu_food_type).select("id", F.when(F.col("food_types").isNotNull(), F.array_join("food_types", ",")).alias("food_types"))
+    return search.tags_by_id(v.menu, v.menu_food_type).select("id", F.when(F.col("food_types").isNotNull(), F.array_join("food_types", ",")).alias("food_types"))
 
 
 @query("jn_exists_semi", """
