@@ -243,9 +243,11 @@ def menu_states(v: Views) -> tuple[DataFrame, DataFrame]:
     """Stored menus, and crawled ones of two rows of one restaurant, the later of which counts."""
     rows = v.menu.withColumn("pos", F.col("id"))
     one = ingest.first_by_normalized(rows, "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
-    late = rows.filter("id % 2 = 0 or id % 3 = 0").join(one.select("id"), "id", "left_semi").withColumn("ordinal", F.lit(2))
-    early = late.withColumns({"name": F.lit("early"), "price": F.lit(-1), "ordinal": F.lit(1)})
-    new = ingest.last_menus(early.unionByName(late), "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
+    # Not looked up by id: two restaurants' menus may have one.
+    seen = lambda n, name, price: F.struct(F.lit(n).alias("ordinal"), name.alias("name"), price.alias("price"))
+    twice = F.explode(F.array(seen(1, F.lit("early"), F.lit(-1)), seen(2, F.col("name"), F.col("price"))))
+    crawl = one.filter("id % 2 = 0 or id % 3 = 0").select("id", "restaurant_id", "normalized_name", F.col("id").alias("pos"), twice.alias("r"))
+    new = ingest.last_menus(crawl.select("id", "restaurant_id", "normalized_name", "pos", "r.*"), "restaurant_id").select("id", "restaurant_id", "normalized_name", "name", "price")
     return one.filter("id % 3 <> 0").withColumn("price", F.lit(1)), new
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-FIRST, SECOND = ("lim_page_in_order", "lim_seek_filtered", "lim_seek_page"), ("jn_menu_tags_left",)
+FIRST, SECOND = ("lim_page_in_order", "lim_seek_filtered", "lim_seek_page"), ("jn_menu_tags_left", "snk_upsert_menu")
 
 
 @pytest.fixture(scope="module")
