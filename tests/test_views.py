@@ -19,3 +19,12 @@ def test_menus_are_dealt_out_by_their_number(spark, monkeypatch):
     many = views.Views(spark, SF)
     assert many.tasks >= 9 and tasks(many.sold) == tasks(many.menu) == many.tasks
     assert sorted(map(tuple, many.menu.select("id", "name").collect())) == sorted(map(tuple, few.menu.select("id", "name").collect()))
+
+
+def test_tags_are_dealt_out_by_their_number(spark, monkeypatch):
+    few = views.Views(spark, SF)
+    monkeypatch.setattr(views, "SOLD_ROWS", few.lineitem.count() // 9)
+    many = views.Views(spark, SF)
+    assert tasks(many.menu_food_type) == many.tasks
+    tags = sorted(map(tuple, many.menu_food_type.collect()))
+    assert tags == sorted(map(tuple, few.menu_food_type.collect())) and len(set(tags)) == len(tags)
