@@ -28,3 +28,13 @@ def test_tags_are_dealt_out_by_their_number(spark, monkeypatch):
     assert tasks(many.menu_food_type) == many.tasks
     tags = sorted(map(tuple, many.menu_food_type.collect()))
     assert tags == sorted(map(tuple, few.menu_food_type.collect())) and len(set(tags)) == len(tags)
+
+
+def test_no_task_has_all_keys_of_a_pool(spark):
+    from larder.operators import matching
+
+    v = views.Views(spark, SF)
+    pooled = matching.pools(v.official_food, views.BRANDS)
+    one = pooled.repartition("pool")  # as a join by pool leaves it
+    keyed = matching.candidates(one).filter(F.col("pool") == matching.GENERAL).groupBy(F.spark_partition_id()).count().collect()
+    assert len(keyed) == int(spark.conf.get("spark.sql.shuffle.partitions"))
