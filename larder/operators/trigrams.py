@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larder.runtime import discard, materialise
+from larder.runtime import materialise
 
 #: Letters of a run, folders of lists, files over which a run's list is dealt, runs that a search looks up.
 RUN, BUCKETS, DEALT, LOOKED_UP = 3, 64, 8, 8
@@ -38,22 +38,23 @@ class Trigrams:
         """Rows and lists of a table at a new path. Rows without a key can be found, too; no column may be named part."""
         if "part" in rows.columns:
             raise ValueError("no column may be named part")
+        index = cls(rows.sparkSession, path, key, fields)
         dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        placed = materialise(dealt, "trigram-rows")
-        placed.repartition(parts, "part").sortWithinPartitions("part", key).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows")
+
+        def written(table: DataFrame, by: str, name: str) -> DataFrame:
+            """What lies in the table's folders, read back, so that nothing is worked out or written twice."""
+            table.write.option("compression", "zstd").partitionBy(by).parquet(f"{path}/{name}")
+            out = rows.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
+            if out.isEmpty():  # its folders are missing, and with them its columns
+                table.limit(0).write.mode("overwrite").parquet(f"{path}/{name}")
+            return out
+
+        placed = written(dealt.repartition(parts, "part").sortWithinPartitions("part", key), "part", "rows")
         held = reduce(F.array_union, [runs(F.expr(f)) for f in fields])
         lists = placed.select(F.explode(held).alias("run"), F.col(key).alias("key"), "part").withColumn("bucket", cls._bucket(F.col("run")))
-        lists = materialise(lists, "trigram-lists")
         spread = lists.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(DEALT))).sortWithinPartitions("bucket", "run", "key")
-        spread.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/lists")
-        counts = lists.groupBy("bucket", "run").agg(F.count("*").alias("rows"))
-        counts.repartition("bucket").sortWithinPartitions("bucket", "run").write.partitionBy("bucket").parquet(f"{path}/runs")
-        index = cls(placed.sparkSession, path, key, fields)
-        for table, name in ((placed, "rows"), (lists, "lists"), (counts, "runs")):
-            if table.isEmpty():  # its folders would be missing, and with them its columns
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
-        discard(placed)
-        discard(lists)
+        counts = written(spread, "bucket", "lists").groupBy("bucket", "run").agg(F.count("*").alias("rows"))
+        written(counts.repartition("bucket").sortWithinPartitions("bucket", "run"), "bucket", "runs")
         return index
 
     @staticmethod

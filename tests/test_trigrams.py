@@ -50,3 +50,14 @@ def test_edges(spark, tmp_path):
     assert short.search(["abc"]).collect() == [] and short.search(["ab"]).count() == 1
     with pytest.raises(ValueError, match="part"):
         Trigrams.write(spark.createDataFrame([(1, "ab")], "part long, name string"), "part", ["name"], f"file://{tmp_path}/p")
+
+
+def test_lists_are_written_once(spark, tmp_path, monkeypatch):
+    from larder.operators import trigrams
+
+    def copy(df, name):
+        raise AssertionError(f"{name} is written beside the index")
+
+    monkeypatch.setattr(trigrams, "materialise", copy)
+    index = Trigrams.write(spark.createDataFrame([(1, "big plate"), (2, "plate")], "id long, name string"), "id", ["name"], f"file://{tmp_path}/o")
+    assert {r["run"]: r["rows"] for r in index._read("runs").collect()}["pla"] == 2 and index._read("lists").count() == 10
