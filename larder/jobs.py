@@ -117,12 +117,12 @@ def load(
     and what was found is reported, too."""
     crawled = readers.read_crawl(store.spark, crawl) if isinstance(crawl, str) else crawl
     first = materialise(ingest.first_by_url(crawled), "load-first")
-    once = materialise(ingest.composed(first), "load-crawl")
-    discard(first)
+    once = ingest.composed(first)
     reasons = ingest.skip_reasons(once, cuisines).groupBy(F.coalesce("skip_reason", F.lit("loaded")).alias("outcome")).agg(F.count("*").alias("rows"))
     rows = ingest.restaurants(once, cuisines)
-    dishes = materialise(ingest.menu_status(readers.explode_menus(rows), variants, terms), "load-dishes")
-    drops = dishes.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("rows"))
+    dishes = readers.explode_menus(rows)
+    names = ingest.menu_names(dishes, variants, terms)
+    drops = names.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("outcome")).agg(F.sum("menus").alias("rows"))
     report = reasons.select(F.lit("restaurant").alias("kind"), "*").unionByName(drops.select(F.lit("menu").alias("kind"), "*"))
     if target is None and places_of is None:
         return report
@@ -142,8 +142,9 @@ def load(
     stamped = new.withColumns({"crawled_at": now, "updated_at": now})
     update.upsert("restaurant", stamped, [c for c in stamped.columns if c not in ("id", "source_url")], {"created_at": now})
     ids = new.join(old.select("source_url", F.col("id").alias("old_id")), "source_url", "left").select("source_url", F.coalesce("old_id", "id").alias("restaurant_id"))
-    menus = ingest.last_menus(dishes.filter("drop_reason is null"), "source_url").join(ids, "source_url").select("restaurant_id", "normalized_name", "name", "price")
+    menus = ingest.last_menus(ingest.with_names(dishes, names), "source_url").join(ids, "source_url").select("restaurant_id", "normalized_name", "name", "price")
     menus = materialise(menus, "load-menus")
+    discard(first)
     fresh = upsert.next_ids(update.part("menu", menus), menus, KEYS["menu"], top=top("menu"))
     update.upsert("menu", fresh, ["name", "price"])
     update.change.commit()

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.functions.numeric import gate_distance
 from larder.functions.text import has_term, is_beverage, is_notice, is_set_or_course, normalize_menu_name, source_url, strip, with_nfc
+from larder.runtime import discard, materialise
 
 
 def composed(crawled: DataFrame) -> DataFrame:
-    """Crawled rows with every text composed, before anything else is done to them."""
-    return with_nfc(crawled, "name", "address", "raw_category", "source_url", menus="name")
+    """Crawled rows with every text of their own composed, before anything else is done to them; ``menu_names`` composes menus'."""
+    return with_nfc(crawled, "name", "address", "raw_category", "source_url")
 
 
 def skip_reasons(crawled: DataFrame, cuisine_map: dict[str, str]) -> DataFrame:
@@ -69,6 +70,24 @@ def menu_status(menus: DataFrame, variants: list[tuple[str, str]] | None = None,
     return named.withColumn("drop_reason", reason)
 
 
+def menu_names(menus: DataFrame, variants: list[tuple[str, str]] | None = None, terms: list[str] | None = None) -> DataFrame:
+    """Each name of ``menus`` once, as crawled (``crawled_name``), with how many menus have it (``menus``) and, composed, its
+    ``menu_status``: many restaurants sell what one name says, and cleaning it is the dearest part of loading a menu."""
+    each = materialise(menus.groupBy(F.col("name").alias("crawled_name")).agg(F.count("*").alias("menus")), "menu-names")
+    # Names are few bytes beside the work on them: parts by bytes would leave it to one task.
+    parts = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = each.repartition(parts, "crawled_name").withColumn("name", F.col("crawled_name"))
+    named = materialise(menu_status(with_nfc(dealt, "name"), variants, terms), "menu-status")
+    discard(each)
+    return named
+
+
+def with_names(menus: DataFrame, names: DataFrame) -> DataFrame:
+    """Valid menus with their names as ``menu_names`` gives them."""
+    valid = names.filter("drop_reason is null").select(F.col("crawled_name").alias("name"), F.col("name").alias("clean_name"), "normalized_name")
+    return menus.join(valid, "name").drop("name").withColumnRenamed("clean_name", "name")
+
+
 def distinct_pairs(menus: DataFrame, owner: str) -> DataFrame:
     """One row per name and price of an owner, nulls equal, at its first place."""
     return menus.groupBy(owner, "name", "price").agg(F.min("pos").alias("pos"))

@@ -106,7 +106,7 @@ class Change:
         """Rows of the buckets ``rewritten`` (None: of all) into a folder of their own."""
         folder = f"{self.base + 1}-{uuid.uuid4().hex[:12]}"
         path = f"{self.store.root}/_data/{name}/{folder}"
-        dealt = rows.withColumn("bucket", self._bucket(table)).repartition("bucket").sortWithinPartitions("bucket", *table["keys"])
+        dealt = rows.withColumn("bucket", self._bucket(table)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *table["keys"])
         dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         there = [n.removeprefix("bucket=") for n in self.store.names_in(path) if n.startswith("bucket=")]
         kept = {} if rewritten is None else {b: f for b, f in table["folders"].items() if int(b) not in set(rewritten)}

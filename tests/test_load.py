@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder import jobs
 from larder.functions.numeric import gate_distance
-from larder.operators import aliasing
+from larder.operators import aliasing, ingest
 from larder.sources.geocoder import KnownPlaces
 
 CUISINES = {"한식": "KOREAN", "카페": "CAFE_DESSERT"}
@@ -162,3 +162,39 @@ def test_a_round_in_which_all_fails_is_the_last(spark, tmp_path):
     log = aliasing.DecisionLog(spark, f"file://{tmp_path}/log")
     decided = aliasing.ask_logged(aliasing.prompts(asked_names(spark, 12), 2), Broken(), log, round_size=2)
     assert [r.decision for r in decided.collect()] == ["failed"] * 4 and log.rounds() == [1] and log.read().collect() == []
+
+
+def test_a_name_is_cleaned_once_however_many_sell_it(spark, tmp_path, monkeypatch):
+    cleaned, status = [], ingest.menu_status
+    monkeypatch.setattr(ingest, "menu_status", lambda menus, *a: cleaned.append(menus.count()) or status(menus, *a))
+    crawl = [row(f"가{i}", f"http://m/place/{i}", **{"국밥 (대)": i, "국밥": 7, NFD("갈비탕"): None, " ": 1, "콜라 355ml": 2}) for i in range(20)]
+    crawl[3]["menus"].append({"name": None, "price": 1})
+    store = jobs.Store(spark, f"file://{tmp_path}/store", buckets=2)
+    report = {(r.kind, r.outcome): r.rows for r in jobs.load(store, write(tmp_path / "1.json", crawl), CUISINES, store).collect()}
+    assert cleaned == [6] and report == {("restaurant", "loaded"): 20, ("menu", "valid"): 60, ("menu", "blank"): 21, ("menu", "beverage"): 20}
+    got = sorted((m.restaurant_id, m.normalized_name, m.name, m.price) for m in store.read("menu").collect())
+    number = {r.id: int(r.name[1:]) for r in store.read("restaurant").collect()}
+    assert got == sorted(x for i, n in number.items() for x in ((i, "국밥", "국밥 (대)", n), (i, "갈비탕", "갈비탕", None)))
+
+
+def test_known_keys_are_not_broadcast(spark, monkeypatch):
+    """Few bytes in a file may be millions of keys."""
+    from larder.operators import upsert
+
+    plans, in_order = [], upsert.in_order
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(upsert, "in_order", lambda df, *a: plans.append(shown(df)) or in_order(df, *a))
+    old, new = spark.createDataFrame([(1, "a")], "id long, key string"), spark.createDataFrame([("a",), ("b",)], "key string")
+    got = upsert.next_ids(old, new, ["key"])
+    assert {r.key: r.id for r in got.collect()} == {"a": None, "b": 2}
+    assert all("Broadcast" not in p for p in (*plans, shown(got))) and len(plans) == 1
+
+
+def test_the_crawl_of_snk_load_is_made_once(spark, monkeypatch):
+    from larder.plans import tables_catalog
+    from larder.plans.views import Views
+
+    read, load = [], jobs.load
+    monkeypatch.setattr(jobs, "load", lambda store, crawl, *a: read.extend(crawl.inputFiles()) or load(store, crawl, *a))
+    assert tables_catalog.snk_load(Views(spark, "/root/testdata/sf0.001")).count() > 0
+    assert read and not [f for f in read if "lineitem" in f]

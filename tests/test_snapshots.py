@@ -76,3 +76,23 @@ def test_empty_tables_nulls_and_clashes(spark, tmp_path):
         store.change().replace("u", spark.createDataFrame([(1,)], "bucket int"), ["bucket"])
     with pytest.raises(KeyError):
         store.read("none")
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, value in conf.items():
+        spark.conf.set(k, value)
+    try:
+        store = Snapshots(spark, f"file://{tmp_path}")
+        change = store.change()
+        change.replace("t", spark.range(20_000).repartition(8).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("name")), ["key"], buckets=1)
+        change.commit()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(files(tmp_path, "t")) > 1
+    assert rows(store.read("t")) == [(i, f"v{i}") for i in range(20_000)]
+    change = store.change()
+    assert change.upsert("t", spark.createDataFrame([(7, "new")], "key long, name string"), ["name"]) == [0]
+    change.commit()
+    assert store.read("t").count() == 20_000 and store.read("t").filter("name = 'new'").count() == 1
