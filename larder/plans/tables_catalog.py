@@ -21,7 +21,8 @@ MENU_KEY = "restaurant_id, normalized_name"
 def crawled(v: Views) -> DataFrame:
     """Restaurants as a crawl gives them: nested menus, a category in words, some values missing."""
     # Dealt out before they are gathered: a task's own menus are of so many restaurants that gathering there saves nothing.
-    menu = v.menu.select("restaurant_id", "id", "name", "price").repartition(v.tasks, "restaurant_id").groupBy("restaurant_id").agg(F.sort_array(F.collect_list(F.struct("id", "name", "price"))).alias("m"))
+    parts = max(min(v.tasks, v.spark.sparkContext.defaultParallelism), -(-v.tasks // 8))
+    menu = v.menu.select("restaurant_id", "id", "name", "price").repartition(parts, "restaurant_id").groupBy("restaurant_id").agg(F.sort_array(F.collect_list(F.struct("id", "name", "price"))).alias("m"))
     plain = F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price")))
     name = F.when(F.col("id") % 13 != 5, F.col("name")).otherwise(" ")
     joined = v.restaurant.join(menu, F.col("id") == F.col("restaurant_id"), "left")
