@@ -173,14 +173,14 @@ def matched(store: Store, scope: Scope) -> DataFrame:
 
 
 def match(store: Store, scope: Scope = Scope(), target: Store | None = None) -> DataFrame:
-    """Matches of all menus in scope; reports totals and rates."""
+    """Matches of all menus in scope; reports totals and rates, menus by method, and what stays without a match."""
     rows = matched(store, scope)
     if target is not None:
         hits = rows.filter("scope = 'kept' and matched_by is not null").select("menu_id", "food_code", "matched_by", "confidence")
         update = Update.begin(store, target)
         update.matches(hits)
         update.change.commit()
-    return evaluation.match_report(rows)
+    return evaluation.match_report(rows, store.read("official_food"), list(scope.brands))
 
 
 def tag(store: Store, categories: dict[str, list[str]], keywords: list[tuple[str, str]], target: Store | None = None, include_cafe: bool = False) -> DataFrame:
